@@ -7,7 +7,7 @@ linked sets is at most d, so of p > d parts at least p - d agree: documents that
 Candidates are verified on their whole sets.
 
 What is emitted stays linear. Equal sets are one class. Classes that share a part's value form a candidate group by
-links to the smallest one only. Groups are then verified in blocks of bounded size, block against block, and a block
+links to a first one only. Groups are then verified in blocks of bounded size, block against block, and a block
 pair returns the links that join its documents (a forest), not all pairs.
 """
 
@@ -18,7 +18,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, cut, map_rows, maybe_broadcast
@@ -66,12 +67,12 @@ class Shingles:
 
 class Bands:
     """Size bands for links of at least `percent` per cent: band b holds sizes start[b] to start[b + 1] - 1, and a
-    document's partner that isn't smaller is in the same or the next band."""
+    document's partner that isn't smaller is in the same or the next band. A band is a quarter wide at least."""
 
     def __init__(self, percent: int, largest: int = 1 << 26):
         self.percent, start = percent, [1]
         while start[-1] <= largest:
-            start.append(max(start[-1] + 1, start[-1] * 100 // percent + 1))
+            start.append(max(start[-1] + 1, start[-1] * 100 // percent + 1, start[-1] * 5 // 4))
         self.start = np.array(start, np.int64)
 
     def of(self, n: int) -> list[int]:
@@ -129,6 +130,47 @@ def sketch(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return map_rows(rows, ["doc_id", "row_id", "text"], make, schema, "doc_id long, row_id long, n long, fp long, fp2 long, keys array<long>")
 
 
+def candidates(rows: DataFrame) -> DataFrame:
+    """(u, v) of set fingerprints: links that connect, for each key, all the sets that share it.
+
+    One shuffle sorts (key, fingerprint) over range partitions, so a key that many sets share, even a set that many rows
+    repeat (`salt`), is spread over as many partitions as it fills. Within a partition a key's sets link to its first
+    one; where a key goes on in the next partition, its first sets there and here are linked through a table of one row
+    for each partition.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["key", "fp", "salt"]
+    keys = rows.select(F.explode("keys").alias("key"), "fp", F.pmod("row_id", F.lit(64)).cast("byte").alias("salt"))
+    keys = keys.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+    def link(batches):
+        part = TaskContext.get().partitionId()
+        first = key = center = last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k, f = np.asarray(b.column(0)), np.asarray(b.column(1))
+            if key is None:
+                key, center, last = int(k[0]), int(f[0]), None
+                first = (key, center)
+            new = np.concatenate(([k[0] != key], k[1:] != k[:-1]))
+            at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
+            start = np.where(at >= 0, f[at], center)
+            before = np.concatenate(([center if last is None else last], f[:-1]))
+            take = (f != start) & ((f != before) | new)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(int(take.sum()), np.int64) - 1), pa.nulls(int(take.sum()), pa.int64()), pa.nulls(int(take.sum()), pa.int64()), pa.array(start[take]), pa.array(f[take])], names=["part", "first", "last", "u", "v"])
+            key, center, last = int(k[-1]), int(start[-1]), int(f[-1])
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([first[0]], pa.int64()), pa.array([key], pa.int64()), pa.array([first[1]], pa.int64()), pa.array([center], pa.int64())], names=["part", "first", "last", "u", "v"])
+
+    found = cut(keys.mapInArrow(link, "part long, first long, last long, u long, v long"))
+    edges = found.where("part < 0").select("u", "v")
+    ends = found.where("part >= 0")
+    before = Window.orderBy("part")  # one row for each partition
+    ends = ends.withColumn("left_key", F.lag("last").over(before)).withColumn("left", F.lag("v").over(before))
+    return edges.unionByName(ends.where("left_key = first AND left <> u").select(F.col("left").alias("u"), F.col("u").alias("v"))).distinct()
+
+
 def row_id():
     """A row's identity for joins: rows of one id with different texts stay apart, and null ids are no trouble."""
     return F.xxhash64("doc_id", "text")
@@ -202,10 +244,7 @@ def classes_of(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFr
     rows = cut(sketch(docs, k, percent))
     own = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("low"), F.col("row_id"))
     classes = cut(rows.where("n > 0").groupBy("fp", "fp2", "n").agg(F.min(own).alias("own")).withColumn("cls", F.monotonically_increasing_id()))
-    keys = rows.select("fp", F.explode("keys").alias("key"))
-    shared = cut(keys.groupBy("key").agg(F.min("fp").alias("u"), F.max("fp").alias("v")).where("u <> v").select("key", "u"))
-    near = keys.join(maybe_broadcast(shared), "key").where("fp <> u").select("u", F.col("fp").alias("v")).distinct()
-    groups = components(near)
+    groups = components(candidates(rows))
     members = cut(classes.join(groups, classes["fp"] == groups["node"]).select("cls", "n", "label", F.col("own.row_id").alias("row_id")))
     blocks = members.groupBy("label").agg(F.sum("n").alias("total")).select("label", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
     spread = members.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
