@@ -1,6 +1,383 @@
-"""All queries of the lead engine and their SQL."""
+"""All queries of the lead engine and their SQL.
+
+Most queries apply Column functions to a derived input (see inputs) and have the same rules in DuckDB SQL beside them.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import listing, text, web
+from ..operators import dedup, evidence, leads, links, runs
+from . import duck
+from .inputs import for_duckdb, rows
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+C = F.col
+
+
+def _query(name: str, run: Query, sql: str | None = None) -> None:
+    QUERIES[name] = run
+    if sql is not None:
+        ORACLES[name] = for_duckdb(sql)
+
+
+def _columns(name: str, source: str, keys: list[str], made: dict[str, tuple[Column | Callable[[], Column], str]], where: str = "") -> None:
+    """A projection: keys and made columns (Spark column made when the query runs, DuckDB expression) of a derived input."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        df = rows(spark, d, source)
+        if where:
+            df = df.where(where)
+        return df.select(*keys, *[f().alias(k) for k, (f, _) in made.items()])
+
+    body = "{" + source + "}" if source.isupper() else source
+    sql = ", ".join(keys + [f"{e} AS {k}" for k, (_, e) in made.items()])
+    _query(name, run, f"SELECT {sql} FROM ({body}) src" + (f" WHERE {where}" if where else ""))
+
+
+# urls and pages ----------------------------------------------------------------------------------------------------
+
+PAGES = "SELECT page_id, url, html FROM {pages}"
+_columns("url_domain", PAGES, ["page_id"], {"domain": (lambda: web.normalize_domain(C("url")), duck.domain("url"))})
+_columns("url_strip_tracking", PAGES, ["page_id"], {"clean": (lambda: web.normalize_url(C("url")), duck.url("url"))})
+_columns("strip_html", PAGES, ["page_id"], {"n": (lambda: F.length(web.strip_html(C("html"))).cast("long"), f"length({duck.strip_html('html')})"), "digest": (lambda: F.md5(web.strip_html(C("html"))), f"md5({duck.strip_html('html')})")})
+_TITLE_RE, _LANG_RE = "(?is)<title[^>]*>(.*?)</title>", '(?is)<html[^>]*lang="([^"]*)"'
+_columns("page_meta_title_lang", PAGES, ["page_id"], {"title": (lambda: web.strip_html(F.regexp_extract("html", _TITLE_RE, 1)), duck.strip_html(duck.ext("html", _TITLE_RE))), "lang": (lambda: F.regexp_extract("html", _LANG_RE, 1), duck.ext("html", _LANG_RE))})
+_columns("title_brand", PAGES, ["page_id"], {"brand": (lambda: web.title_brand(F.regexp_extract("html", _TITLE_RE, 1)), duck.brand(duck.ext("html", _TITLE_RE))), "valid": (lambda: web.is_company_name(F.regexp_extract("html", _TITLE_RE, 1)), duck.company(duck.ext("html", _TITLE_RE)))})
+_columns("page_meta_evidence", PAGES, ["page_id"], {"company_name": (lambda: text.or_null(web.title_brand(F.regexp_extract("html", _TITLE_RE, 1))), f"nullif({duck.brand(duck.ext('html', _TITLE_RE))}, '')"), "confidence": (lambda: evidence.initial_confidence(F.lit("company_name"), text.or_null(web.title_brand(F.regexp_extract("html", _TITLE_RE, 1))), F.lit("metadata"), F.lit("title"), F.lit("GENERIC"), F.lit(None)), f"CASE WHEN {duck.brand(duck.ext('html', _TITLE_RE))} = '' THEN 0.0::DOUBLE ELSE 0.8::DOUBLE END")})
+_columns("url_input_sanitize", PAGES, ["page_id"], {"address": (lambda: web.sanitize_input_url(C("url")), f"lower({duck.ext('url', '^([^/]+//[^/?#[:space:]]+)')}) || {duck.ext('url', '^[^/]+//[^/?#[:space:]]+(.*)$')}")})
+
+
+def _path(x: str) -> str:
+    low = f"lower(coalesce({x}, ''))"
+    p = duck.ext(low, "^https?://[^/?#]*([^?#]*)")
+    return f"CASE WHEN starts_with({low}, 'http') THEN CASE WHEN {p} = '' THEN '/' ELSE {p} END ELSE {low} END"
+
+
+def _first(rules, value) -> str:
+    return " ".join(f"WHEN {cond} THEN {value(r)}" for r, cond in rules)
+
+
+_PT = "CASE WHEN " + _path("url") + " IN ('', '/', '/index.html', '/index.htm', '/home') THEN 'HOMEPAGE' " + " ".join(f"WHEN {duck.has(_path('url'), '(' + p + ')', False)}" + (f" OR {duck.has('''lower(coalesce(anchor_text, ''))''', '(' + t + ')', False)}" if t else "") + f" THEN '{n}'" for n, p, t in links.PAGE_TYPES) + " ELSE 'GENERIC' END"
+_columns("page_type", "SITE_PAGES", ["page_id"], {"page_type": (lambda: links.page_type(C("url"), C("anchor_text")), _PT)})
+
+
+def _policy(t: str, root: str) -> str:
+    low, path, host = f"lower({t})", _path(t), duck.domain(t)
+    last = f"split_part({path}, '/', -1)"
+    ending = f"CASE WHEN contains({last}, '.') THEN split_part({last}, '.', -1) END"
+    return (
+        f"CASE WHEN {t} = '' THEN 'Empty or invalid URL' WHEN NOT {duck.has(low, '^https?://', False)} THEN 'Non-HTTP/HTTPS protocol' WHEN {host} <> {root} AND NOT ends_with({host}, '.' || {root}) THEN 'External domain: ' || {host} || ' (root: ' || {root} || ')' "
+        f"WHEN {duck.within(ending, links.EXTENSIONS)} THEN 'Excluded file extension: .' || {ending} WHEN {duck.has(path, links.IGNORED, False)} THEN 'Excluded system path: ' || {path} WHEN {duck.has(t, '[?&](s|q|search)(=|&|#|$)', False)} THEN 'Search query result URL' END"
+    )
+
+
+def _bonus(a: str) -> str:
+    return f"CASE WHEN coalesce({a}, '') = '' THEN 0 " + " ".join(f"WHEN {duck.has(a, rf'\b({w})\b')} THEN {b}" for b, w in links.ANCHOR_RULES) + " ELSE 0 END"
+
+
+def _rule(t: str, i: int, other: str) -> str:
+    return "CASE " + " ".join(f"WHEN {duck.has(_path(t), rf'/({r[2]})\b', False)} THEN {duck.quoted(r[i]) if i == 0 else r[i]}" for r in links.PATH_RULES) + f" ELSE {other} END"
+
+
+def _intent(t: str, a: str) -> str:
+    b = _bonus(a)
+    return _rule(t, 0, f"CASE WHEN {b} >= 95 THEN 'CONTACT' WHEN {b} >= 85 THEN 'TEAM' WHEN {b} >= 75 THEN 'ABOUT' WHEN {b} >= 65 THEN 'LOCATION' ELSE 'GENERIC' END")
+
+
+def _priority(t: str, a: str, depth: str, box: str) -> str:
+    place = f"CASE WHEN {duck.has(box, 'NAV|HEADER|MENU', False)} THEN 15 WHEN {duck.has(box, 'FOOTER', False)} THEN 8 WHEN {duck.has(box, 'BUTTON|CTA', False)} THEN 10 ELSE 0 END"
+    return f"CAST(greatest(-100, least(300, 20 + {_rule(t, 1, '0')} + {_bonus(a)} + {place} - greatest({depth} - 1, 0) * 20)) AS INT)"
+
+
+_P = _priority("target", "anchor_text", "depth", "container")
+_MISSING = {"email": False, "phone": True, "address": False, "people": True, "company": True, "social": True}
+_columns("link_policy", "SITE_LINKS", ["page_id", "seq"], {"reason": (lambda: links.policy(C("target"), C("root")), _policy("target", "root"))})
+_columns("link_priority", "SITE_LINKS", ["page_id", "seq"], {"priority": (lambda: links.priority(C("target"), C("anchor_text"), C("depth"), C("container")), _P), "intent": (lambda: links.intent(C("target"), C("anchor_text")), _intent("target", "anchor_text"))})
+_columns(
+    "link_priority_missing", "SITE_LINKS", ["page_id", "seq"],
+    {"priority": (lambda: links.priority(C("target"), C("anchor_text"), C("depth"), C("container"), F.struct(*[F.lit(v).alias(k) for k, v in _MISSING.items()])),
+                  f"CAST(greatest(-100, least(300, 20 + {_rule('target', 1, '0')} + {_bonus('anchor_text')} + CASE container WHEN 'NAV' THEN 15 WHEN 'FOOTER' THEN 8 WHEN 'BUTTON' THEN 10 ELSE 0 END - greatest(depth - 1, 0) * 20 + CASE {_intent('target', 'anchor_text')} WHEN 'CONTACT' THEN 40 WHEN 'LOCATION' THEN 40 WHEN 'TEAM' THEN 45 WHEN 'ABOUT' THEN 35 ELSE 0 END + CASE WHEN container = 'FOOTER' OR {duck.has('anchor_text', 'social|follow')} THEN 20 ELSE 0 END)) AS INT)")},
+)
+_DISCOVER = f"SELECT page_id, target, arg_max({{'seq': seq, 'anchor_text': anchor_text, 'depth': depth, 'priority': p}}, p::BIGINT * 100000000 - seq) AS b FROM (SELECT *, {_P} AS p, {_policy('target', 'root')} AS why FROM ({{SITE_LINKS}}) x) y WHERE why IS NULL AND p > -40 GROUP BY page_id, target"
+_query("link_dedup_max", lambda s, d: links.discover(rows(s, d, "SITE_LINKS")).select("page_id", "target", "seq", "anchor_text", "depth", "priority", "intent"), f"SELECT page_id, target, b.seq AS seq, b.anchor_text AS anchor_text, b.depth AS depth, b.priority AS priority, {_intent('target', 'b.anchor_text')} AS intent FROM ({_DISCOVER}) z")
+
+
+def _static(budget: int) -> Query:
+    return lambda s, d: links.static_plan(links.discover(rows(s, d, "SITE_LINKS")).join(rows(s, d, "SELECT page_id, site FROM ({SITE_PAGES}) p"), "page_id"), budget).select("site", "target", "priority", "visit")
+
+
+_PLAN = f"SELECT site, target, priority, visit FROM (SELECT site, target, priority, row_number() OVER (PARTITION BY site ORDER BY priority DESC, seq, target) AS visit FROM (SELECT p.site, z.target, max(z.b.priority) AS priority, min(z.b.seq) AS seq FROM ({_DISCOVER}) z JOIN ({{SITE_PAGES}}) p ON p.page_id = z.page_id GROUP BY p.site, z.target) q) r WHERE visit <= "
+_query("crawl_static_budget", _static(5), _PLAN + "5")
+_query("link_priority_top", _static(1), _PLAN + "1")
+_query("crawl_stats", lambda s, d: _static(20)(s, d).groupBy("site").agg(F.count("*").alias("pages"), F.max("priority").alias("best"), F.count_if(C("priority") >= 40).alias("high_value")), f"SELECT site, count(*) AS pages, max(priority) AS best, count(*) FILTER (priority >= 40) AS high_value FROM ({_PLAN}20) t GROUP BY site")
+_ANCHOR_SQL = links.ANCHOR.replace("'", "''")
+_query(
+    "link_extract",
+    lambda s, d: links.anchors(rows(s, d, PAGES)).withColumn("target", links.absolute(C("href"), C("url"))).groupBy("page_id").agg(F.count("*").alias("anchors"), F.count_distinct("target").alias("targets"), F.min("target").alias("first_target"), F.max("anchor_text").alias("last_text")),
+    f"SELECT page_id, count(*) AS anchors, count(DISTINCT target) AS targets, min(target) AS first_target, max(t) AS last_text FROM (SELECT page_id, {duck.url('''(regexp_extract(url, '(?i)^(https?://[^/?#]*)', 1) || href)''')} AS target, {duck.strip_html('txt')} AS t FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '{_ANCHOR_SQL}', 1)) AS href, unnest(regexp_extract_all(html, '{_ANCHOR_SQL}', 2)) AS txt FROM {{pages}}) a) b GROUP BY page_id",
+)
+
+# texts and contacts in documents -------------------------------------------------------------------------------------
+
+DOCS = "SELECT doc_id, text FROM {documents}"
+_columns("normalize_text", DOCS, ["doc_id"], {"digest": (lambda: F.md5(web.normalize_text(C("text"))), f"md5({duck.normalize_text('text')})")})
+_EMAIL_RE, _PHONE_RE = duck.quoted(duck.re2(web.EMAIL_IN_TEXT)), duck.quoted(duck.re2(web.PHONE_IN_TEXT))
+
+
+def _found(pattern: str) -> Callable[[], Column]:
+    return lambda: F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), 0))
+
+
+_columns("email_extract", DOCS, ["doc_id"], {"emails": (lambda: F.array_join(F.array_sort(_found(web.EMAIL_IN_TEXT)()), ";"), f"array_to_string(list_sort(list_distinct(regexp_extract_all(text, {_EMAIL_RE}))), ';')")})
+_columns("phone_extract", DOCS, ["doc_id"], {"phones": (lambda: F.array_join(F.array_sort(_found(web.PHONE_IN_TEXT)()), ";"), f"array_to_string(list_sort(list_distinct(regexp_extract_all(text, {_PHONE_RE}))), ';')")})
+LABELS = "SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 0 THEN 'Email: info@acme.test' WHEN 1 THEN 'Tel - (415) 555-' || CAST(1000 + o_orderkey % 9000 AS STRING) WHEN 2 THEN 'Headquarters:  5 Elm St ' WHEN 3 THEN 'Call us: now' WHEN 4 THEN 'e-mail:x@y.z' WHEN 5 THEN 'no label here' ELSE 'Visit us - ' END AS line FROM {orders}"
+_LABEL = {"email": "email|e-mail|write to us|contact email", "phone": "phone|tel|telephone|call us|mobile|contact number", "address": "address|headquarters|location|office|visit us"}
+_columns("label_fields", LABELS, ["id"], {k: (lambda p=p: text.or_null(text.js_trim(F.regexp_extract(text.js_trim(C("line")), rf"(?i)^({p})\s*[:\-]\s*(.+)$", 2))), f"nullif({duck.trim(duck.ext(duck.trim('line'), rf'(?i)^({p})\s*[:\-]\s*(.+)$', 2))}, '')") for k, p in _LABEL.items()})
+_columns("email_normalize", "LEADS", ["seq"], {"clean": (lambda: web.normalize_email(C("email")), duck.email("email"))})
+_SITE = "coalesce(website, '')"
+_columns("email_evaluate", "LEADS", ["seq"], {"class": (lambda: web.evaluate_email(web.normalize_email(C("email")), web.normalize_domain(C("website")))["classification"], duck.email_class(duck.email("email"), duck.domain("website")))})
+_columns("email_role", "LEADS", ["seq"], {"role": (lambda: web.email_role(F.substring_index(web.normalize_email(C("email")), "@", 1)), duck.email_role(f"split_part({duck.email('email')}, '@', 1)"))})
+_columns("phone_normalize", "SNIPPETS", ["id"], {"clean": (lambda: web.normalize_phone(C("tel")), duck.phone("tel")), "valid": (lambda: web.is_phone(web.normalize_phone(C("tel"))), duck.is_phone(duck.phone("tel")))})
+_columns("phone_valid", "LEADS", ["seq"], {"valid": (lambda: web.is_phone(C("phone")), duck.is_phone("phone"))})
+_CF = "SELECT c_custkey AS id, '{K}' || c_name AS raw FROM {customer}".replace("'{K}' || ", "")
+_query(
+    "cf_decode",
+    lambda s, d: rows(s, d, _CF).select("id", web.decode_protected_email(F.concat(F.lit("2a"), F.array_join(F.transform(F.split(F.concat("raw", F.lit("@x.test")), "(?<=.)(?=.)"), lambda c: F.lower(F.lpad(F.hex(F.ascii(c).bitwiseXOR(F.lit(42))), 2, "0"))), ""))).alias("email")),
+    "SELECT c_custkey AS id, c_name || '@x.test' AS email FROM {customer}",
+)
+SOCIAL = "SELECT s_suppkey AS id, CASE s_suppkey % 12 WHEN 0 THEN 'https://www.linkedin.com/company/acme/?trk=1' WHEN 1 THEN 'https://linkedin.com/pulse/x' WHEN 2 THEN 'https://twitter.com/acme/' WHEN 3 THEN 'https://x.com/intent/post' WHEN 4 THEN 'https://netflix.com/title' WHEN 5 THEN 'https://facebook.com/sharer/x' WHEN 6 THEN 'https://facebook.com/acme#a' WHEN 7 THEN 'https://instagram.com/p/abc' WHEN 8 THEN 'https://youtube.com/@acme' WHEN 9 THEN 'https://youtu.be/abc' WHEN 10 THEN 'https://github.com/acme//' ELSE 'https://github.com/login' END AS link FROM {supplier}"
+_SOCIAL = {"linkedin": ("linkedin.com/company/|linkedin.com/in/", "/sharing/|/login|/signup", ""), "twitter": ("twitter.com/|x.com/", "/intent/|/share|/home|/login", ""), "facebook": ("facebook.com/", "/sharer|/share.php|/events/|/login|/dialog/", ""), "instagram": ("instagram.com/", "/p/|/reel/|/stories/|/explore/", ""), "youtube": ("youtube.com/|youtu.be/", "/watch|/embed/|/share", "/@|/channel/|/c/"), "github": ("github.com/", "/login|/join|/pricing|/features", "")}
+_any = lambda x, ps: "(" + " OR ".join(f"contains({x}, '{p}')" for p in ps.split("|")) + ")"
+_columns("social_valid", SOCIAL, ["id"], {k: (lambda k=k: web.is_social_profile(C("link"), k), f"{_any('lower(link)', yes)} AND NOT {_any('lower(link)', no)}" + (f" AND {_any('lower(link)', also)}" if also else "")) for k, (yes, no, also) in _SOCIAL.items()})
+_columns("social_normalize", SOCIAL, ["id"], {"clean": (lambda: web.normalize_social(C("link")), duck.sub("split_part(split_part(link, '#', 1), '?', 1)", "/+$"))})
+
+# listing texts -------------------------------------------------------------------------------------------------------
+
+_T = lambda f: (lambda: f(C("txt")))
+_columns("clean_unicode", "SNIPPETS", ["id"], {"clean": (_T(text.clean_unicode), duck.clean("txt"))})
+_columns("plus_code", "SNIPPETS", ["id"], {"hit": (_T(text.is_plus_code), duck.plus_code("txt"))})
+_columns("ui_title", "SNIPPETS", ["id"], {"hit": (_T(text.is_ui_title), duck.ui_title("txt"))})
+_columns("rating_text", "SNIPPETS", ["id"], {"hit": (_T(text.is_rating_text), duck.rating("txt"))})
+_columns("price_text", "SNIPPETS", ["id"], {"hit": (_T(text.is_price_text), duck.price("txt"))})
+_columns("website_text", "SNIPPETS", ["id"], {"hit": (_T(text.is_website_text), duck.website_text("txt"))})
+_columns("sanitize_field", "SNIPPETS", ["id"], {"clean": (_T(text.sanitize_field), duck.field("txt"))})
+_columns("number_from_text", "SNIPPETS", ["id"], {"n": (_T(text.number), duck.number("txt"))})
+_columns("opening_status", "LEADS", ["seq"], {"status": (lambda: text.opening_status(C("opening_status")), duck.status("opening_status"))})
+_columns("sanitize_url", "SNIPPETS", ["id"], {"a": (lambda: listing.sanitize_url(C("txt")), duck.sanitize_url("txt")), "b": (lambda: listing.sanitize_url(C("link")), duck.sanitize_url("link"))})
+_columns("clean_address", "LEADS", ["seq"], {"clean": (lambda: text.clean_address(C("address")), duck.address("address"))})
+_columns("company_name_valid", "LEADS", ["seq"], {"valid": (lambda: web.is_company_name(C("company_name")), duck.company("company_name"))})
+_columns("name_normalize", "LEADS", ["seq"], {"name": (lambda: text.normalize_name(C("company_name")), duck.name("company_name"))})
+_columns("query_normalize", "RUNS", ["seq"], {"q": (lambda: text.normalize_query(C("query")), duck.query("query"))})
+_columns("filename_slug", "LEADS", ["seq"], {"slug": (lambda: text.slug(C("company_name")), duck.slug("company_name")), "of_email": (lambda: text.slug(C("email")), duck.slug("email"))})
+_columns("label_prefix_strip", "LEADS", ["seq"], {"rest": (lambda: text.strip_prefix(C("address"), r"^(address|location):?\s*"), f"nullif({duck.trim(duck.sub(duck.clean('address', False), '^(address|location):?[[:space:]]*', ci=True))}, '')")})
+_columns("phone_from_text", "SNIPPETS", ["id"], {"phone": (lambda: listing.phone_from_text(C("tel")), duck.phone_from_text("tel"))})
+_columns("website_resolve", "SNIPPETS", ["id"], {"website": (lambda: listing.resolve_website(C("link")), duck.resolve_website("link"))})
+_columns("query_from_url", "SNIPPETS", ["id"], {"q": (lambda: listing.query_from_url(C("href")), "nullif(trim(url_decode(replace(coalesce(nullif(regexp_extract(href, '/maps/search/([^/@?]+)', 1), ''), nullif(regexp_extract(href, '/maps/place/([^/@?]+)', 1), '')), '+', ' '))), '')")})
+_columns("coords_place_id", "SNIPPETS", ["id"], {"latitude": (lambda: listing.coordinates(C("href"))["latitude"], duck.coordinate("href", 1)), "longitude": (lambda: listing.coordinates(C("href"))["longitude"], duck.coordinate("href", 2)), "place": (lambda: listing.place_id(C("href")), duck.place_id("href"))})
+
+
+def _address_parts() -> str:
+    clean = duck.clean("address", False)
+    postal = f"nullif({duck.ext(clean, r'\b([A-Z]{1,2}[0-9][A-Z0-9]?[[:space:]]?[0-9][A-Z]{2}|[0-9]{5,6}(?:-[0-9]{4})?)\b')}, '')"
+    parts = f"list_filter(list_transform(string_split({clean}, ','), lambda x: {duck.clean('x', False)}), lambda x: x <> '' AND NOT {duck.rating('x')} AND NOT {duck.price('x')})"
+    strip = lambda x: f"CASE WHEN contains({x}, postal) THEN nullif({duck.clean(f'''substr({x}, 1, strpos({x}, postal) - 1) || substr({x}, strpos({x}, postal) + length(postal))''', False)}, '') ELSE {x} END"
+    return f"SELECT seq, CASE WHEN n > 0 AND ok THEN clean END AS address, CASE WHEN ok THEN CASE WHEN n <= 3 THEN parts[1] ELSE parts[n - 2] END END AS city, CASE WHEN ok THEN {strip('region')} END AS region, CASE WHEN ok THEN {strip('country')} END AS country, CASE WHEN ok THEN postal END AS postal_code FROM (SELECT *, CASE WHEN n IN (2, 3) THEN parts[2] WHEN n > 3 THEN parts[n - 1] END AS region, CASE WHEN n >= 3 THEN parts[n] END AS country FROM (SELECT seq, {clean} AS clean, {postal} AS postal, {parts} AS parts, len({parts}) AS n, {clean} <> '' AND NOT {duck.rating(clean)} AND NOT {duck.price(clean)} AS ok FROM ({{LEADS}}) l) a) b"
+
+
+_query("parse_address", lambda s, d: rows(s, d, "LEADS").select("seq", listing.parse_address(C("address")).alias("a")).select("seq", "a.*"), _address_parts())
+
+
+def _validate(s: SparkSession, d: str) -> DataFrame:
+    df = rows(s, d, "LEADS")
+    name = text.clean_unicode(C("company_name"))
+    ok = ~text.is_ui_title(name)
+    return df.select("seq", F.when(ok, name).alias("company_name"), F.when(~ok, F.lit("Invalid or blacklisted UI title")).alias("reason"), F.when(ok, text.sanitize_field(C("category"))).alias("category"), F.when(ok, text.sanitize_field(C("city"))).alias("city"), F.when(ok, listing.sanitize_url(C("website"))).alias("website"), F.when(ok, text.opening_status(C("opening_status"))).alias("opening_status"))
+
+
+_query("validate_lead", _validate, "SELECT seq, CASE WHEN ok THEN name END AS company_name, CASE WHEN NOT ok THEN 'Invalid or blacklisted UI title' END AS reason, CASE WHEN ok THEN cat END AS category, CASE WHEN ok THEN town END AS city, CASE WHEN ok THEN site END AS website, CASE WHEN ok THEN st END AS opening_status FROM (SELECT seq, " + f"{duck.clean('company_name')} AS name, NOT {duck.ui_title('company_name')} AS ok, {duck.field('category')} AS cat, {duck.field('city')} AS town, {duck.sanitize_url('website')} AS site, {duck.status('opening_status')} AS st FROM ({{LEADS}}) l) v")
+NAMES = "SELECT c.c_custkey AS a, s.s_suppkey AS b, CASE c.c_custkey % 6 WHEN 0 THEN 'La Pizzeria Milano' WHEN 1 THEN 'Milano''s Pizza Shop' WHEN 2 THEN 'Blue River Foods' WHEN 3 THEN 'The Restaurant' WHEN 4 THEN 'Milano Oven House' ELSE 'Pinoz Pizza' END AS x, CASE s.s_suppkey % 6 WHEN 0 THEN 'Milano Pizza' WHEN 1 THEN 'Blue River' WHEN 2 THEN 'the restaurant' WHEN 3 THEN 'Milano Wood Oven House' WHEN 4 THEN 'Pinoz' ELSE '' END AS y FROM {customer} c JOIN {supplier} s ON c.c_nationkey = s.s_nationkey"
+
+
+def _identity() -> str:
+    cl = lambda x: duck.squeeze(duck.sub(duck.sub(f"lower({duck.clean(x, False)})", "['\"’]"), "[^a-z0-9]", " "))
+    tok = lambda x: f"list_filter(string_split({cl(x)}, ' '), lambda w: length(w) >= 2 AND NOT {duck.within('w', listing.IDENTITY_STOP)})"
+    return f"SELECT a, b, coalesce(x <> '' AND y <> '' AND (ca = cb OR CASE WHEN len(ta) > 0 AND len(tb) > 0 THEN contains(ja, jb) OR contains(jb, ja) OR ((ta[1] = tb[1] OR contains(ta[1], tb[1]) OR contains(tb[1], ta[1])) AND CASE WHEN least(len(ta), len(tb)) = 1 THEN common = 1 ELSE common >= ceil(least(len(ta), len(tb)) * 0.6) END) ELSE false END), false) AS same FROM (SELECT *, array_to_string(ta, ' ') AS ja, array_to_string(tb, ' ') AS jb, len(list_filter(ta, lambda w: list_contains(tb, w))) AS common FROM (SELECT a, b, x, y, {cl('x')} AS ca, {cl('y')} AS cb, {tok('x')} AS ta, {tok('y')} AS tb FROM ({NAMES}) n) m) k"
+
+
+_query("identity_match", lambda s, d: rows(s, d, NAMES).select("a", "b", listing.is_identity_match(C("x"), C("y")).alias("same")), _identity())
+
+# people --------------------------------------------------------------------------------------------------------------
+
+_columns("person_name_valid", "PEOPLE", ["seq"], {"valid": (lambda: web.is_person_name(C("name")), duck.person("name"))})
+_columns("seniority_score", "PEOPLE", ["seq"], {"score": (lambda: web.seniority(C("title")), duck.seniority("title"))})
+_JOB = f"(length({duck.normalize_text('title')}) <= 70 AND NOT {duck.has(duck.normalize_text('title'), '[.!?]$')} AND len(string_split({duck.normalize_text('title')}, ' ')) <= 7 AND NOT {duck.has(duck.normalize_text('title'), web.NARRATIVE)} AND {duck.has(duck.normalize_text('title'), web.TITLE)})"
+_columns("job_title_valid", "PEOPLE", ["seq"], {"valid": (lambda: web.is_job_title(C("title")), _JOB)})
+SPLIT = "SELECT seq, CASE seq % 3 WHEN 0 THEN name || ' — ' || coalesce(title, '') WHEN 1 THEN coalesce(title, '') || ' | ' || name ELSE name END AS txt FROM ({PEOPLE}) p"
+
+
+def _split_sql() -> str:
+    parts = f"regexp_split_to_array(txt, {duck.quoted(duck.re2(web.SPLITTER))})"
+    return f"SELECT seq, CASE WHEN f THEN p1 WHEN g THEN p2 ELSE {duck.normalize_text('txt')} END AS name, CASE WHEN f THEN p2 WHEN g THEN p1 END AS title FROM (SELECT *, n >= 2 AND {duck.person('p1')} AND {duck.has('p2', web.TITLE)} AS f, n >= 2 AND {duck.person('p2')} AND {duck.has('p1', web.TITLE)} AS g FROM (SELECT seq, txt, len({parts}) AS n, {duck.normalize_text(f'({parts})[1]')} AS p1, {duck.normalize_text(f'({parts})[2]')} AS p2 FROM ({SPLIT}) s) a) b"
+
+
+_query("name_title_split", lambda s, d: rows(s, d, SPLIT).select("seq", web.split_name_title(C("txt")).alias("s")).select("seq", "s.*"), _split_sql())
+_RANKED = f"SELECT *, row_number() OVER (PARTITION BY site ORDER BY seniority DESC, coalesce(trim(email) <> '', false) DESC, coalesce(trim(linkedin_url) <> '', false) DESC, coalesce(confidence, 0) DESC, seq) AS place FROM (SELECT *, {duck.seniority('title')} AS seniority FROM ({{PEOPLE}}) p) q"
+_query("people_rank", lambda s, d: leads.rank_people(rows(s, d, "PEOPLE")).select("site", "seq", "seniority", "place"), f"SELECT site, seq, seniority, place FROM ({_RANKED}) r")
+_query("decision_maker", lambda s, d: leads.decision_makers(rows(s, d, "PEOPLE")).select("site", "name", "title", "email"), f"SELECT site, name, title, email FROM ({_RANKED}) r WHERE place = 1")
+_fst = lambda c: f"arg_min({c}, seq) FILTER (coalesce({c}, '') <> '') AS {c}"
+_query("people_dedup", lambda s, d: leads.dedup_people(rows(s, d, "PEOPLE")).select("site", "key", "seq", "name", "title", "email", "phone", "linkedin_url", "confidence"), f"SELECT site, lower(name) AS key, min(seq) AS seq, arg_min(name, seq) AS name, {_fst('title')}, {_fst('email')}, {_fst('phone')}, {_fst('linkedin_url')}, max(coalesce(confidence, 0.75)) AS confidence FROM ({{PEOPLE}}) p WHERE {duck.person('name')} GROUP BY site, lower(name)")
+
+# evidence ------------------------------------------------------------------------------------------------------------
+
+
+def _map(values: dict, x: str, other) -> str:
+    return f"CASE {x} " + " ".join(f"WHEN {duck.quoted(k)} THEN {v}::DOUBLE" for k, v in values.items()) + f" ELSE {other}::DOUBLE END"
+
+
+def _confidence(cls: str) -> str:
+    mods = {f"{p}:{f}": v for p, fs in evidence.MODIFIERS.items() for f, v in fs.items()}
+    s = f"(CASE WHEN evidence_type IN ({', '.join(duck.quoted(k) for k in evidence.KIND)}) THEN {_map(evidence.KIND, 'evidence_type', 0)} ELSE {_map(evidence.BASE, 'lower(source)', 0.5)} END + {_map(mods, '''coalesce(page_type, 'GENERIC') || ':' || field''', 0)} + CASE WHEN field = 'email' AND {cls} = 'business_role' THEN 0.05::DOUBLE WHEN field = 'email' AND {cls} = 'freemail' AND source NOT IN ('mailto', 'json-ld') THEN -0.2::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN field = 'linkedin' AND {duck.has('value', 'linkedin[.]com/(?:company|school)/')} THEN 0.15::DOUBLE WHEN field = 'linkedin' AND {duck.has('value', '/in/')} THEN -0.1::DOUBLE ELSE 0.0::DOUBLE END)"
+    return f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, floor({s} * 1000 + 0.5::DOUBLE) / 1000))"
+
+
+_EV_SITE = "'acme.test'"
+_columns("confidence_initial", "EVIDENCE", ["seq"], {"confidence": (lambda: evidence.initial_confidence(C("field"), C("value"), C("source"), C("evidence_type"), C("page_type"), F.when(C("field") == "email", web.evaluate_email(web.normalize_email(C("value")), F.lit("acme.test"))["classification"])), _confidence(f"CASE WHEN field = 'email' THEN {duck.email_class(duck.email('value'), _EV_SITE)} END"))})
+
+
+def _evidence(s: SparkSession, d: str) -> DataFrame:
+    e = rows(s, d, "EVIDENCE")
+    return evidence.validate(e.withColumn("id", C("site")).withColumn("site", F.lit("acme.test"))).withColumn("site", C("id")).drop("id")
+
+
+_VALUE = f"CASE field WHEN 'email' THEN CASE WHEN cls NOT IN ('invalid_syntax', 'asset_filename', 'placeholder', 'vendor_tracker') THEN {duck.email('value')} END WHEN 'phone' THEN CASE WHEN {duck.is_phone(duck.phone('value'))} THEN {duck.phone('value')} END WHEN 'company_name' THEN CASE WHEN {duck.company(duck.normalize_text('value'))} THEN {duck.normalize_text('value')} END WHEN 'linkedin' THEN CASE WHEN contains(value, 'linkedin.com/company/') OR contains(value, 'linkedin.com/in/') THEN value END ELSE nullif({duck.normalize_text('value')}, '') END"
+_VALID = f"SELECT * FROM (SELECT *, {_confidence('cls')} AS confidence FROM (SELECT * REPLACE ({_VALUE} AS value) FROM (SELECT *, CASE WHEN field = 'email' THEN {duck.email_class(duck.email('value'), _EV_SITE)} END AS cls FROM ({{EVIDENCE}}) e) f) g WHERE value IS NOT NULL) h WHERE confidence >= 0.45"
+_CORR = f"SELECT * REPLACE (greatest(0.0::DOUBLE, least(1.0::DOUBLE, floor((confidence + (least(0.06::DOUBLE, greatest(0.0::DOUBLE, (pages - 1) * 0.03::DOUBLE)) + CASE WHEN sources >= 2 THEN 0.04::DOUBLE ELSE 0.0::DOUBLE END)) * 1000 + 0.5::DOUBLE) / 1000)) AS confidence) FROM (SELECT v.*, pages, sources FROM ({_VALID}) v JOIN (SELECT site, field, lower(trim(value)) AS k, count(DISTINCT page_url) AS pages, count(DISTINCT source) AS sources FROM ({_VALID}) w GROUP BY site, field, lower(trim(value))) n ON n.site = v.site AND n.field = v.field AND n.k = lower(trim(v.value))) c"
+_PLACE = f"SELECT *, row_number() OVER (PARTITION BY site, field ORDER BY confidence DESC, {_map(evidence.PAGE_RANK, '''coalesce(page_type, 'GENERIC')''', 1)} DESC, {_map(evidence.SOURCE_RANK, 'source', 0)} DESC, pages DESC, lower(value), value, seq) AS place FROM ({_CORR}) c WHERE confidence >= 0.45"
+_query("evidence_validate", lambda s, d: _evidence(s, d).select("site", "seq", "field", "value", "classification", "confidence"), f"SELECT site, seq, field, value, cls AS classification, confidence FROM ({_VALID}) v")
+_query("corroboration", lambda s, d: evidence.corroborate(_evidence(s, d)).select("site", "seq", "pages", "sources", "confidence"), f"SELECT site, seq, pages, sources, confidence FROM ({_CORR}) v")
+_query("conflict_ranking", lambda s, d: evidence.rank(evidence.corroborate(_evidence(s, d))).select("site", "field", "seq", "place"), f"SELECT site, field, seq, place FROM ({_PLACE}) v")
+_query("conflict_winner", lambda s, d: evidence.winners(_evidence(s, d)).select("site", "field", "value", "confidence"), f"SELECT site, field, value, confidence FROM ({_PLACE}) v WHERE place = 1")
+_EV_FIELDS = ("company_name", "email", "phone", "linkedin", "city")
+_query("lead_pivot", lambda s, d: evidence.pivot(evidence.winners(_evidence(s, d)), _EV_FIELDS), "SELECT site, " + ", ".join(f"max(value) FILTER (field = '{f}') AS {f}" for f in _EV_FIELDS) + f" FROM ({_PLACE}) v WHERE place = 1 GROUP BY site")
+_query("evidence_top10", lambda s, d: evidence.rank(evidence.corroborate(_evidence(s, d))).where("place <= 10").groupBy("site", "field").agg(F.count("*").alias("n"), F.max("confidence").alias("best")), f"SELECT site, field, count(*) AS n, max(confidence) AS best FROM ({_PLACE}) v WHERE place <= 10 GROUP BY site, field")
+_query("best_candidates", lambda s, d: _evidence(s, d).groupBy("site", "field").agg(F.max_by("value", F.struct("confidence", -C("seq"))).alias("value"), F.max("confidence").alias("confidence")), f"SELECT site, field, arg_max(value, confidence * 1000 * 10000000 - seq) AS value, max(confidence) AS confidence FROM ({_VALID}) v GROUP BY site, field")
+_ROLE = _map(leads.ROLE_BONUS, "role", 0)
+_query(
+    "email_rollup",
+    lambda s, d: leads.roll_up_emails(_evidence(s, d), rows(s, d, "PEOPLE")).select("site", "email", "role", "confidence", "place"),
+    f"SELECT site, email, role, confidence, row_number() OVER (PARTITION BY site ORDER BY round(confidence + {_ROLE}, 6) DESC, seq) AS place FROM (SELECT site, email, max(confidence) AS confidence, min(seq) AS seq, {duck.email_role('''split_part(email, '@', 1)''')} AS role FROM (SELECT site, {duck.email('value')} AS email, confidence, seq FROM ({_VALID}) v WHERE field = 'email') m WHERE NOT EXISTS (SELECT 1 FROM ({{PEOPLE}}) p WHERE p.site = m.site AND lower(trim(p.email)) = m.email) GROUP BY site, email) r",
+)
+_query(
+    "phone_rollup",
+    lambda s, d: leads.roll_up_phones(_evidence(s, d), rows(s, d, "PEOPLE")).select("site", "digits", "confidence", "place"),
+    f"SELECT site, digits, confidence, row_number() OVER (PARTITION BY site ORDER BY confidence DESC, seq) AS place FROM (SELECT site, regexp_replace(value, '[^0-9]', '', 'g') AS digits, max(confidence) AS confidence, min(seq) AS seq FROM ({_VALID}) v WHERE field = 'phone' AND NOT EXISTS (SELECT 1 FROM ({{PEOPLE}}) p WHERE p.site = v.site AND regexp_replace(p.phone, '[^0-9]', '', 'g') = regexp_replace(v.value, '[^0-9]', '', 'g')) GROUP BY site, regexp_replace(value, '[^0-9]', '', 'g')) r",
+)
+_query("employee_isolation", lambda s, d: _evidence(s, d).where("field = 'email'").join(rows(s, d, "PEOPLE").select("site", F.lower("email").alias("value")), ["site", "value"], "left_anti").select("site", "seq", "value"), f"SELECT site, seq, value FROM ({_VALID}) v WHERE field = 'email' AND NOT EXISTS (SELECT 1 FROM ({{PEOPLE}}) p WHERE p.site = v.site AND lower(p.email) = v.value)")
+EXTRAS = "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'a@x.test,b@x.test' END AS mails, CASE WHEN c_custkey % 4 = 0 THEN '+1 415' END AS phones, CASE WHEN c_custkey % 5 = 0 THEN 'Jane Roe (CEO),Max Doe' END AS people FROM {customer}"
+_list = lambda c: F.coalesce(F.split(c, ","), F.array().cast("array<string>"))
+_query("extras_text", lambda s, d: rows(s, d, EXTRAS).select("id", leads.extras_text(_list("mails"), _list("phones"), _list("people")).alias("extras")), f"SELECT id, nullif(concat_ws(' | ', 'Additional Emails: ' || replace(mails, ',', ', '), 'Additional Phones: ' || replace(phones, ',', ', '), 'Leadership / Team: ' || replace(people, ',', ', ')), '') AS extras FROM ({EXTRAS}) e")
+
+# scores, merging, metrics --------------------------------------------------------------------------------------------
+
+
+def _scored(df: DataFrame) -> DataFrame:
+    c = {k: C(k) for k in ("company_name", "phone", "email", "address", "city", "region", "postal_code", "website", "decision_maker_name", "email_status", "has_social", "n_people", "has_titled")}
+    parts = leads.score_parts(c | {"from_listing": C("seq") % 3 == 0, "from_website": C("seq") % 2 == 0})
+    total = sum(parts.values(), F.lit(0))
+    return df.select("*", *[v.cast("int").alias(f"pts_{k}") for k, v in parts.items()], F.greatest(F.lit(0), F.least(F.lit(100), total)).cast("int").alias("lead_score")).withColumn("tier", leads.tier(C("lead_score")))
+
+
+_NB = lambda c: f"coalesce(trim({c}) <> '', false)"
+_PTS = {
+    "company_name": f"CASE WHEN {_NB('company_name')} THEN 10 ELSE 0 END", "phone": f"CASE WHEN {_NB('phone')} THEN 15 ELSE 0 END", "email": f"CASE WHEN {_NB('email')} THEN 20 ELSE 0 END",
+    "address": f"CASE WHEN {_NB('address')} THEN 10 WHEN {_NB('city')} AND {_NB('postal_code')} THEN 7 WHEN {_NB('city')} OR {_NB('region')} THEN 4 ELSE 0 END", "website": f"CASE WHEN {_NB('website')} THEN 10 ELSE 0 END", "social": "CASE WHEN has_social THEN 10 ELSE 0 END",
+    "decision_maker": f"CASE WHEN {_NB('decision_maker_name')} THEN 15 WHEN n_people > 0 THEN CASE WHEN has_titled THEN 12 ELSE 8 END ELSE 0 END",
+    "corroboration": f"least(15, CASE WHEN seq % 6 = 0 THEN 10 ELSE 0 END + CASE WHEN coalesce(email_status IN ('business_role', 'verified', 'sales'), false) THEN 5 WHEN {_NB('email')} AND seq % 6 <> 0 THEN 3 ELSE 0 END)",
+}
+_SCORED = "SELECT *, CASE WHEN lead_score >= 75 THEN 'HIGH' WHEN lead_score >= 45 THEN 'MEDIUM' ELSE 'LOW' END AS tier FROM (SELECT *, CAST(" + " + ".join(_PTS.values()) + " AS INT) AS lead_score, " + ", ".join(f"CAST({v} AS INT) AS pts_{k}" for k, v in _PTS.items()) + " FROM ({LEADS}) l) s"
+_query("lead_score", lambda s, d: _scored(rows(s, d, "LEADS")).select("seq", *[f"pts_{k}" for k in _PTS], "lead_score", "tier"), f"SELECT seq, {', '.join(f'pts_{k}' for k in _PTS)}, lead_score, tier FROM ({_SCORED}) s")
+_query("quality_tier_hist", lambda s, d: _scored(rows(s, d, "LEADS")).groupBy("tier").agg(F.count("*").alias("n"), F.min("lead_score").alias("low"), F.max("lead_score").alias("high")), f"SELECT tier, count(*) AS n, min(lead_score) AS low, max(lead_score) AS high FROM ({_SCORED}) s GROUP BY tier")
+_query("website_coverage", lambda s, d: rows(s, d, "LEADS").agg(F.count_if(text.nonblank(C("website"))).alias("with_website"), F.count("*").alias("total")), "SELECT count(*) FILTER (coalesce(trim(website) <> '', false)) AS with_website, count(*) AS total FROM ({LEADS}) l")
+WEB = "SELECT s_suppkey AS key, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE s_name END AS company_name, '+49 30 ' || CAST(s_suppkey AS STRING) AS phone, CASE WHEN s_suppkey % 3 = 0 THEN 'hq ' || s_name END AS address, CASE WHEN s_suppkey % 2 = 0 THEN 'Metropolis' END AS city, CAST(NULL AS STRING) AS region, 'DE' AS country, '10115' AS postal_code, 'https://w' || CAST(s_suppkey AS STRING) || '.test' AS website, 'Tools' AS category, CAST(NULL AS STRING) AS booking_url, 'https://o.test' AS ordering_url, CAST(NULL AS STRING) AS menu_url, CASE WHEN s_suppkey % 4 = 0 THEN 'info@w.test' END AS email, CASE WHEN s_suppkey % 8 = 0 THEN 'business_role' ELSE '' END AS email_status FROM {supplier}"
+BASE = "SELECT seq, seq % 173 AS key, company_name, phone, address, city, region, CAST(NULL AS STRING) AS country, postal_code, website, category, CAST(NULL AS STRING) AS booking_url, '' AS ordering_url, CAST(NULL AS STRING) AS menu_url, email, email_status, decision_maker_name FROM ({LEADS}) l"
+
+
+def _merged(s: SparkSession, d: str) -> DataFrame:
+    return leads.merge(rows(s, d, BASE), rows(s, d, WEB), "key")
+
+
+_fill = lambda c: f"CASE WHEN NOT {_NB('m.' + c)} AND {_NB('w.' + c)} THEN w.{c} ELSE m.{c} END AS {c}, CASE WHEN NOT {_NB('m.' + c)} AND {_NB('w.' + c)} THEN 'WEBSITE' WHEN coalesce(m.{c} <> '', false) THEN 'LISTING' END AS {c}_source"
+_MERGED = "SELECT m.seq, m.key, m.decision_maker_name, " + ", ".join(_fill(c) for c in (*leads.FILLED, "email")) + f", CASE WHEN NOT {_NB('m.email')} AND {_NB('w.email')} THEN coalesce(nullif(w.email_status, ''), 'verified') ELSE m.email_status END AS email_status, CASE WHEN w.key IS NOT NULL THEN 'enriched' WHEN {_NB('m.website')} THEN 'failed' ELSE 'skipped_no_website' END AS enrichment_status FROM ({BASE}) m LEFT JOIN ({WEB}) w ON m.key = w.key"
+_query("enrich_merge", _merged, _MERGED)
+_query("enrich_status", lambda s, d: _merged(s, d).groupBy("enrichment_status").agg(F.count("*").alias("n")), f"SELECT enrichment_status, count(*) AS n FROM ({_MERGED}) m GROUP BY enrichment_status")
+_query(
+    "batch_metrics",
+    lambda s, d: leads.batch_metrics(_merged(s, d).join(_scored(rows(s, d, "LEADS")).select("seq", "lead_score"), "seq").withColumn("lead_score", F.when(C("enrichment_status") == "enriched", C("lead_score")))),
+    f"SELECT count(*) FILTER (enrichment_status = 'enriched') AS enriched, count(*) FILTER (enrichment_status = 'skipped_no_website') AS skipped, count(*) FILTER (enrichment_status = 'failed') AS failed, count(*) FILTER ({_NB('email')}) AS with_email, count(*) FILTER ({_NB('decision_maker_name')}) AS with_decision_maker, floor(avg(lead_score) FILTER (enrichment_status = 'enriched') + 0.5)::BIGINT AS mean_score FROM ({_MERGED}) m JOIN (SELECT seq, lead_score FROM ({_SCORED}) s) z ON z.seq = m.seq",
+)
+_query("is_enriched_batch", lambda s, d: _merged(s, d).agg(F.bool_or(C("enrichment_status") == "enriched").alias("enriched")), f"SELECT bool_or(enrichment_status = 'enriched') AS enriched FROM ({_MERGED}) m")
+CARDS = "SELECT o_orderkey AS idx, o_orderstatus AS category, o_orderpriority AS phone, o_totalprice AS rating FROM {orders}"
+DETAILS = "SELECT l_orderkey AS idx, max(CASE WHEN l_quantity > 25 THEN l_returnflag END) AS category, max(l_linestatus) AS phone FROM {lineitem} WHERE l_orderkey % 3 <> 0 GROUP BY l_orderkey"
+_query("card_detail_overlay", lambda s, d: leads.overlay(rows(s, d, CARDS), rows(s, d, DETAILS), ["idx"], ["category", "phone"]), f"SELECT c.idx, CASE WHEN e.idx IS NULL THEN c.category ELSE e.category END AS category, CASE WHEN e.idx IS NULL THEN c.phone ELSE e.phone END AS phone, c.rating FROM ({CARDS}) c LEFT JOIN ({DETAILS}) e ON c.idx = e.idx")
+
+# duplicates ----------------------------------------------------------------------------------------------------------
+
+
+def _similar(a: str, b: str) -> str:
+    tok = lambda x: f"list_filter(regexp_split_to_array(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9[:space:]]', ' ', 'g'), '[[:space:]]+'), lambda w: w <> '' AND NOT {duck.within('w', dedup.NAME_STOP)})"
+    x, y = tok(a), tok(b)
+    both, union = f"len(list_intersect({x}, {y}))", f"len(list_distinct(list_concat({x}, {y})))"
+    inside = f"(len(list_filter({x}, lambda w: NOT list_contains({y}, w))) = 0 OR len(list_filter({y}, lambda w: NOT list_contains({x}, w))) = 0)"
+    return f"CASE WHEN len({x}) = 0 OR len({y}) = 0 THEN 0.0::DOUBLE WHEN {inside} AND least(len({x}), len({y})) >= 2 THEN greatest({both}::DOUBLE / {union}, 0.85::DOUBLE) ELSE {both}::DOUBLE / {union} END"
+
+
+_PREP = f"SELECT seq, company_name AS name, {duck.domain('website')} AS domain, regexp_replace(coalesce(phone, ''), '[^0-9]', '', 'g') AS digits, lower(trim(coalesce(place_id, ''))) AS pid FROM (SELECT seq, company_name, coalesce(website, '') AS website, phone, place_id FROM ({{LEADS}}) l) p"
+_WHY = f"CASE WHEN x.pid <> '' AND y.pid <> '' THEN CASE WHEN x.pid = y.pid THEN 'place_id' END WHEN x.domain = '' OR x.domain <> y.domain THEN NULL WHEN length(x.digits) >= 7 AND length(y.digits) >= 7 THEN CASE WHEN right(x.digits, 7) = right(y.digits, 7) THEN 'domain_phone' END WHEN {_similar('x.name', 'y.name')} >= 0.75 THEN 'domain_name_similarity' END"
+_PAIRS = f"SELECT x.seq AS a, y.seq AS b, {_WHY} AS reason FROM ({_PREP}) x JOIN ({_PREP}) y ON x.seq < y.seq AND ((x.pid <> '' AND x.pid = y.pid) OR (x.domain <> '' AND x.domain = y.domain AND (x.pid = '' OR y.pid = '')))"
+_query("dup_pairs", lambda s, d: dedup.duplicate_pairs(rows(s, d, "LEADS")), f"SELECT * FROM ({_PAIRS}) p WHERE reason IS NOT NULL")
+_query("dup_reasons", lambda s, d: dedup.duplicate_pairs(rows(s, d, "LEADS")).groupBy("reason").agg(F.count("*").alias("n")), f"SELECT reason, count(*) AS n FROM ({_PAIRS}) p WHERE reason IS NOT NULL GROUP BY reason")
+SIMILAR = "SELECT a.seq AS a, b.seq AS b, a.company_name AS x, b.company_name AS y FROM ({LEADS}) a JOIN ({LEADS}) b ON b.seq = a.seq + 1"
+_query("name_similarity", lambda s, d: rows(s, d, SIMILAR).select("a", "b", dedup.name_similarity(C("x"), C("y")).alias("similarity")), f"SELECT a, b, {_similar('x', 'y')} AS similarity FROM ({SIMILAR}) s")
+_query("dedup_greedy", lambda s, d: dedup.greedy(rows(s, d, "LEADS")))
+_query("terminal_dedup", lambda s, d: (lambda df: dedup.merged(df, dedup.greedy(df), ["company_name", "website", "phone", "place_id", "email"]))(rows(s, d, "LEADS")))
+PID_ONLY = "SELECT seq, company_name, place_id, CAST(NULL AS STRING) AS website, phone FROM ({LEADS}) l"
+_query("dedup_place_id", lambda s, d: dedup.greedy(rows(s, d, PID_ONLY)), "SELECT seq, CASE WHEN place_id IS NULL THEN seq ELSE min(seq) OVER (PARTITION BY place_id) END AS kept FROM ({LEADS}) l")
+
+# queues, runs, exports -----------------------------------------------------------------------------------------------
+
+FOUND = "SELECT o_orderkey AS pos, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'P' || CAST(o_custkey % 500 AS STRING) END AS place_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'u' || CAST(o_custkey % 700 AS STRING) END AS source_url, o_orderpriority AS name FROM {orders}"
+_KEY_SQL = "coalesce('pid:' || place_id, 'url:' || source_url, 'name:' || lower(trim(name)))"
+_key = lambda: F.coalesce(F.concat(F.lit("pid:"), "place_id"), F.concat(F.lit("url:"), "source_url"), F.concat(F.lit("name:"), F.lower(text.js_trim(C("name")))))
+_columns("listing_key", FOUND, ["pos"], {"key": (_key, _KEY_SQL)})
+_query("discovery_first_wins", lambda s, d: leads.first_wins(rows(s, d, FOUND).withColumn("key", _key()), ["key"], ["pos"]).select("key", "pos"), f"SELECT {_KEY_SQL} AS key, min(pos) AS pos FROM ({FOUND}) f GROUP BY {_KEY_SQL}")
+_query("candidate_queue", lambda s, d: leads.first_wins(rows(s, d, FOUND).withColumn("key", _key()), ["key"], ["pos"]).orderBy("pos").limit(50).select("key", "pos"), f"SELECT {_KEY_SQL} AS key, min(pos) AS pos FROM ({FOUND}) f GROUP BY {_KEY_SQL} ORDER BY pos LIMIT 50")
+_query(
+    "listing_find",
+    lambda s, d: leads.first_wins(rows(s, d, FOUND).alias("c").join(rows(s, d, "SELECT c_custkey AS id, 'P' || CAST(c_custkey % 600 AS STRING) AS pid, 'u' || CAST(c_custkey % 800 AS STRING) AS url FROM {customer}"), (C("place_id") == C("pid")) | ((C("place_id").isNull() | (C("place_id") != C("pid"))) & (C("source_url") == C("url")))).withColumn("rank", F.when(C("place_id") == C("pid"), 1).otherwise(2)), ["id"], ["rank", "pos"]).select("id", "pos", "rank"),
+    f"SELECT id, pos, rank FROM (SELECT id, pos, CASE WHEN place_id = pid THEN 1 ELSE 2 END AS rank, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN place_id = pid THEN 1 ELSE 2 END, pos) AS nth FROM ({FOUND}) f JOIN (SELECT c_custkey AS id, 'P' || CAST(c_custkey % 600 AS STRING) AS pid, 'u' || CAST(c_custkey % 800 AS STRING) AS url FROM {{customer}}) c ON place_id = pid OR source_url = url) x WHERE nth = 1",
+)
+READY = "SELECT seq AS idx, company_name, CASE WHEN seq % 2 = 0 THEN 'r1' ELSE 'r2' END AS run_id, CASE WHEN seq % 3 = 0 THEN 'Coffee+Shop ' ELSE 'tea' END AS source_query, CASE WHEN seq % 5 = 0 THEN 'FAILED' ELSE 'READY' END AS status FROM ({LEADS}) l"
+_query("exportable_limit", lambda s, d: leads.exportable(rows(s, d, READY), "r1", "coffee shop", 30).select("idx", "company_name"), f"SELECT idx, company_name FROM ({READY}) r WHERE run_id = 'r1' AND {duck.query('source_query')} = 'coffee shop' AND status = 'READY' ORDER BY idx LIMIT 30")
+_columns("export_valid_rows", "LEADS", ["seq"], {"valid": (lambda: leads.valid_for_export(C("decision_maker_name"), C("website"), C("email"), C("phone")), f"({_NB('decision_maker_name')} OR {_NB('website')} OR {_NB('email')} OR {_NB('phone')})")})
+_query("stable_topk", lambda s, d: rows(s, d, "LEADS").orderBy(F.desc("balance"), "seq").limit(25).select("seq", "balance"), "SELECT seq, balance FROM ({LEADS}) l ORDER BY balance DESC, seq LIMIT 25")
+_query("run_fold", lambda s, d: runs.first_terminal(rows(s, d, "RUNS")), "SELECT run_id, idx, arg_min(state, seq) AS state FROM ({RUNS}) r WHERE state <> 'PENDING' GROUP BY run_id, idx")
+_query("run_stats", lambda s, d: runs.run_stats(runs.first_terminal(rows(s, d, "RUNS"))), "SELECT run_id, count(*) AS discovered, count(*) FILTER (state = 'READY') AS ready, count(*) FILTER (state = 'FAILED') AS failed, count(*) FILTER (state = 'DUPLICATE_SKIPPED') AS duplicate_skipped, count(*) FILTER (state = 'PENDING') AS pending FROM (SELECT run_id, idx, arg_min(state, seq) AS state FROM ({RUNS}) r WHERE state <> 'PENDING' GROUP BY run_id, idx) s GROUP BY run_id")
+_query("dup_pid_skip", lambda s, d: runs.skip_duplicates(rows(s, d, "RUNS").where("state <> 'PENDING'")).select("seq", "state"), "SELECT seq, CASE WHEN place_id IS NOT NULL AND state = 'READY' AND row_number() OVER (PARTITION BY run_id, place_id ORDER BY seq) > 1 THEN 'DUPLICATE_SKIPPED' ELSE state END AS state FROM ({RUNS}) r WHERE state <> 'PENDING'")
+_query("timeout_fail", lambda s, d: runs.timed_out(rows(s, d, "RUNS"), 3600).select("seq", "timed_out"), "SELECT seq, coalesce(epoch_us(lead(ts) OVER (PARTITION BY run_id ORDER BY ts, seq)) - epoch_us(ts) > 3600000000, false) AS timed_out FROM ({RUNS}) r")
+_query("watchdog_gap", lambda s, d: runs.timed_out(rows(s, d, "RUNS"), 45).groupBy("run_id").agg(F.count_if("timed_out").alias("stalls")), "SELECT run_id, count(*) FILTER (late) AS stalls FROM (SELECT run_id, epoch_us(lead(ts) OVER (PARTITION BY run_id ORDER BY ts, seq)) - epoch_us(ts) > 45000000 AS late FROM ({RUNS}) r) w GROUP BY run_id")
+_query("session_reset", lambda s, d: runs.sessions(rows(s, d, "RUNS")).select("seq", "session"), "SELECT seq, CAST(sum(c) OVER (PARTITION BY run_id ORDER BY ts, seq) AS BIGINT) AS session FROM (SELECT *, CASE WHEN lag(query) OVER (PARTITION BY run_id ORDER BY ts, seq) <> query THEN 1 ELSE 0 END AS c FROM ({RUNS}) r) s")
+_query("debounce_session", lambda s, d: runs.debounce(rows(s, d, "RUNS"), 600).select("run_id", "seq", "events"), "SELECT run_id, arg_max(seq, epoch_us(ts)) AS seq, count(*) AS events FROM (SELECT *, sum(c) OVER (PARTITION BY run_id ORDER BY ts, seq) AS burst FROM (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY run_id ORDER BY ts, seq) > 600000000 THEN 1 ELSE 0 END AS c FROM ({RUNS}) r) s) b GROUP BY run_id, burst")
+_query("progress_percent", lambda s, d: runs.progress(rows(s, d, "RUNS")).select("seq", "done", "percent"), "SELECT seq, CAST(done AS BIGINT) AS done, CAST(floor(done * 100 / n) AS BIGINT) AS percent FROM (SELECT seq, sum(CASE WHEN state <> 'PENDING' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY ts, seq) AS done, count(*) OVER (PARTITION BY run_id) AS n FROM ({RUNS}) r) p")
+_query(
+    "stale_reject",
+    lambda s, d: runs.accepted(rows(s, d, "RUNS").where("event_type IN ('click', 'error')").select("run_id", "idx", "attempt_id", "seq", "query"), rows(s, d, "RUNS").where("event_type = 'view'").select("run_id", "idx", "attempt_id", "seq", "query")).select("run_id", "idx", "seq", "verdict"),
+    "SELECT run_id, idx, seq, CASE WHEN v = 'ok' THEN CASE WHEN row_number() OVER (PARTITION BY run_id, idx, v ORDER BY seq) > 1 THEN 'already_terminal' ELSE 'accepted' END ELSE v END AS verdict FROM (SELECT r.run_id, r.idx, r.seq, CASE WHEN x.live IS NULL THEN 'unknown_candidate' WHEN x.live.a <> r.attempt_id THEN 'stale_attempt' WHEN x.live.q <> r.query THEN 'stale_query' ELSE 'ok' END AS v FROM ({RUNS}) r LEFT JOIN (SELECT r.seq, arg_max({'a': d.attempt_id, 'q': d.query}, d.seq) AS live FROM ({RUNS}) r JOIN ({RUNS}) d ON d.run_id = r.run_id AND d.idx = r.idx AND d.seq < r.seq AND d.event_type = 'view' GROUP BY r.seq) x ON x.seq = r.seq WHERE r.event_type IN ('click', 'error')) y",
+)
+_query("json_props", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k")), "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
