@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import listing, text, web
-from ..operators import dedup, evidence, leads, links, runs
+from ..operators import crawl, dedup, evidence, leads, links, runs
+from ..sources import export, html
 from . import duck
 from .inputs import for_duckdb, rows
 
@@ -381,3 +382,74 @@ _query(
     "SELECT run_id, idx, seq, CASE WHEN v = 'ok' THEN CASE WHEN row_number() OVER (PARTITION BY run_id, idx, v ORDER BY seq) > 1 THEN 'already_terminal' ELSE 'accepted' END ELSE v END AS verdict FROM (SELECT r.run_id, r.idx, r.seq, CASE WHEN x.live IS NULL THEN 'unknown_candidate' WHEN x.live.a <> r.attempt_id THEN 'stale_attempt' WHEN x.live.q <> r.query THEN 'stale_query' ELSE 'ok' END AS v FROM ({RUNS}) r LEFT JOIN (SELECT r.seq, arg_max({'a': d.attempt_id, 'q': d.query}, d.seq) AS live FROM ({RUNS}) r JOIN ({RUNS}) d ON d.run_id = r.run_id AND d.idx = r.idx AND d.seq < r.seq AND d.event_type = 'view' GROUP BY r.seq) x ON x.seq = r.seq WHERE r.event_type IN ('click', 'error')) y",
 )
 _query("json_props", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k")), "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+
+# pages that hold evidence --------------------------------------------------------------------------------------------
+
+#: A site's page from a supplier: JSON-LD, microdata, links, an address, labels and a team card.
+HTML = """
+SELECT s_suppkey AS page_id, 'https://www.s' || CAST(s_suppkey AS STRING) || '.test/contact' AS url,
+  '<html><head><title>' || s_name || ' | Contact</title><script type="application/ld+json">[{"@type":"Organization","name":"' || s_name || '","telephone":"+49 30 ' || CAST(100000 + s_suppkey AS STRING) || '","address":{"streetAddress":"Main St ' || CAST(s_suppkey AS STRING) || '","addressLocality":"' || n_name || '","postalCode":"0' || CAST(1000 + s_suppkey % 9000 AS STRING) || '"}}]</script><script type="application/ld+json">{broken</script></head><body>'
+  || '<nav class="menu"><a href="/about-us">About us</a><a href="mailto:info@s' || CAST(s_suppkey AS STRING) || '.test?subject=x">mail</a><a href="tel:+49-30-' || CAST(100000 + s_suppkey AS STRING) || '">call</a></nav>'
+  || '<div itemscope itemtype="https://schema.org/LocalBusiness"><span itemprop="name">' || s_name || '</span><meta itemprop="email" content="md@s' || CAST(s_suppkey AS STRING) || '.test"></div><address>5 Elm St, ' || n_name || '</address><p>Phone: 030 ' || CAST(1000000 + s_suppkey AS STRING)
+  || '<p><a href="https://linkedin.com/company/s' || CAST(s_suppkey AS STRING) || '">in</a> <a href="https://calendly.com/s">Book now</a> <a href="/shop">Shop</a></p><div class="team-member"><h3>Jane Smith</h3><p class="role">CEO</p><a href="mailto:jane@s.test">m</a></div></body></html>' AS html, s_name AS sname, n_name AS nname
+FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
+"""
+_SUPP = "FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey"
+
+
+def _extracted(kind: str, where: str, columns: list[str]) -> Query:
+    return lambda s, d: html.extract(rows(s, d, HTML)).where(f"kind = '{kind}' AND {where}").select("page_id", *columns)
+
+
+_query("jsonld_org", _extracted("evidence", "evidence_type IN ('json-ld-organization-name', 'json-ld-organization-telephone')", ["field", "value"]), f"SELECT s_suppkey AS page_id, 'company_name' AS field, s_name AS value {_SUPP} UNION ALL SELECT s_suppkey, 'phone', '+49 30 ' || CAST(100000 + s_suppkey AS STRING) {_SUPP}")
+_query("jsonld_address", _extracted("evidence", "evidence_type = 'json-ld-organization-address'", ["value"]), f"SELECT s_suppkey AS page_id, 'Main St ' || CAST(s_suppkey AS STRING) || ', ' || n_name || ', 0' || CAST(1000 + s_suppkey % 9000 AS STRING) AS value {_SUPP}")
+_query("microdata", _extracted("evidence", "source = 'microdata'", ["field", "value"]), f"SELECT s_suppkey AS page_id, 'company_name' AS field, s_name AS value {_SUPP} UNION ALL SELECT s_suppkey, 'email', 'md@s' || CAST(s_suppkey AS STRING) || '.test' {_SUPP}")
+_query("mailto_tel", _extracted("evidence", "source IN ('mailto', 'tel')", ["field", "value"]), f"SELECT s_suppkey AS page_id, 'email' AS field, 'info@s' || CAST(s_suppkey AS STRING) || '.test' AS value {_SUPP} UNION ALL SELECT s_suppkey, 'email', 'jane@s.test' {_SUPP} UNION ALL SELECT s_suppkey, 'phone', '+49-30-' || CAST(100000 + s_suppkey AS STRING) {_SUPP}")
+_query("social_action_links", _extracted("evidence", "source = 'semantic-dom' AND field <> 'address'", ["field", "value"]), f"SELECT s_suppkey AS page_id, 'linkedin' AS field, 'https://linkedin.com/company/s' || CAST(s_suppkey AS STRING) AS value {_SUPP} UNION ALL SELECT s_suppkey, 'booking_url', 'https://calendly.com/s' {_SUPP} UNION ALL SELECT s_suppkey, 'ordering_url', '/shop' {_SUPP}")
+_query("address_tag", _extracted("evidence", "evidence_type = 'address-tag'", ["value"]), f"SELECT s_suppkey AS page_id, '5 Elm St, ' || n_name AS value {_SUPP}")
+_query("team_cards", _extracted("person", "source = 'team-card'", ["value", "title", "email"]), f"SELECT s_suppkey AS page_id, 'Jane Smith' AS value, 'CEO' AS title, 'jane@s.test' AS email {_SUPP}")
+_query("page_links", _extracted("link", "value LIKE '%.test/%'", ["field", "value", "title"]), f"SELECT s_suppkey AS page_id, 'NAV' AS field, 'https://www.s' || CAST(s_suppkey AS STRING) || '.test/about-us' AS value, 'About us' AS title {_SUPP} UNION ALL SELECT s_suppkey, '', 'https://www.s' || CAST(s_suppkey AS STRING) || '.test/shop', 'Shop' {_SUPP}")
+
+
+def _crawl(s: SparkSession, d: str) -> DataFrame:
+    pages = rows(s, d, "SITE_PAGES")
+    out = links.discover(rows(s, d, "SITE_LINKS")).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("target", C("anchor_text").alias("anchor"), C("container").alias("box")))).alias("links"))
+    first = pages.groupBy("site").agg(F.min("page_id").alias("first"))
+    found = F.when(C("page_id") % 3 == 0, F.array(F.lit("company_name"), F.lit("email"))).when(C("page_id") % 3 == 1, F.array(F.lit("phone"), F.lit("address"))).otherwise(F.array(F.lit("people")))
+    p = pages.join(first, "site").join(out, "page_id", "left").select("site", "url", (C("page_id") == C("first")).alias("root"), found.alias("found"), "links")
+    return crawl.replay(p.groupBy("site", "url").agg(F.bool_or("root").alias("root"), F.min("found").alias("found"), F.min("links").alias("links")), 5, 2)
+
+
+_query("crawl_replay_stats", lambda s, d: _crawl(s, d).groupBy("site", "stop_reason").agg(F.count("*").alias("pages"), F.count_if(C("status") == "failed").alias("failed"), F.count_if((C("status") == "completed") & C("intent").isin(*crawl.HIGH_VALUE)).alias("high_value")))
+
+
+def _batch(s: SparkSession, d: str) -> DataFrame:
+    """Listings to enriched, scored, deduplicated leads: parse sites, validate and resolve evidence, merge, dedup."""
+    ev = html.extract(rows(s, d, HTML)).where("kind = 'evidence'").select(C("page_id").alias("id"), web.normalize_domain(C("url")).alias("site"), "seq", "field", "value", "source", "evidence_type", C("url").alias("page_url"), F.lit("CONTACT").alias("page_type"))
+    site = evidence.pivot(evidence.winners(evidence.validate(ev)))
+    web_leads = site.select(*[C(c) for c in ("company_name", "phone", "address", "city", "region", "country", "postal_code", "website", "booking_url", "ordering_url", "menu_url", "email")], F.lit(None).cast("string").alias("category"), F.lit("business_role").alias("email_status"), F.regexp_extract("site", r"s(\d+)\.test", 1).cast("long").alias("key"))
+    merged = leads.merge(rows(s, d, BASE), web_leads, "key")
+    kept = dedup.greedy(rows(s, d, "LEADS"))
+    return merged.join(kept.where("seq = kept").select("seq"), "seq").select("seq", "company_name", "website", "phone", "email", "email_status", "enrichment_status")
+
+
+_query("batch_pipeline_end_to_end", _batch)
+
+# exports -------------------------------------------------------------------------------------------------------------
+
+EXPORT = "SELECT seq, company_name, CASE WHEN seq % 5 = 0 THEN 'a \"b\", c' ELSE category END AS category, address, city, postal_code, phone, website, email, email_status, CAST(balance AS STRING) AS rating, place_id, CAST(n_people AS STRING) AS people_count FROM ({LEADS}) l"
+
+
+def _csv_sql(layout: dict[str, str]) -> str:
+    have = ("company_name", "category", "address", "city", "postal_code", "phone", "website", "email", "email_status", "rating", "place_id", "people_count")
+    one = lambda c: f"CASE WHEN {duck.has(duck.trim(f'''coalesce({c}, '')'''), '[,\"]', False)} THEN '\"' || replace({duck.trim(f'''coalesce({c}, '')''')}, '\"', '\"\"') || '\"' ELSE {duck.trim(f'''coalesce({c}, '')''')} END" if c in have else "''"
+    return "SELECT " + " || ',' || ".join(one(c) for c in layout.values()) + f" AS line FROM ({EXPORT}) e"
+
+
+_query("csv24_rows", lambda s, d: export.csv_lines(rows(s, d, EXPORT), export.LISTING), _csv_sql(export.LISTING))
+_query("csv34_rows", lambda s, d: export.csv_lines(rows(s, d, EXPORT), export.ENRICHED), _csv_sql(export.ENRICHED))
+_query(
+    "people_sheet",
+    lambda s, d: (lambda df: df.toDF(*[c.lower().replace(" ", "_") for c in df.columns]))(export.people_rows(rows(s, d, "SELECT c.c_name AS company_name, 'w' || CAST(c.c_custkey AS STRING) AS website, CASE WHEN c.c_custkey % 3 = 0 THEN NULL ELSE array(named_struct('name', 'Jane', 'title', c.c_mktsegment, 'email', CAST(NULL AS STRING), 'phone', '1', 'linkedin_url', 'l')) END AS people FROM {customer} c"))),
+    "SELECT c_name AS company_name, CASE WHEN c_custkey % 3 <> 0 THEN 'Jane' END AS name, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS title, CAST(NULL AS VARCHAR) AS email, CASE WHEN c_custkey % 3 <> 0 THEN '1' END AS phone, CASE WHEN c_custkey % 3 <> 0 THEN 'l' END AS linkedin, 'w' || CAST(c_custkey AS VARCHAR) AS website FROM {customer}",
+)

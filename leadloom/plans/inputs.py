@@ -103,5 +103,6 @@ def for_duckdb(sql: str) -> str:
 def rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A derived input, or any SQL over derived inputs and tables in braces, as a DataFrame."""
     text = expand(DERIVED.get(sql, sql))
+    text = "".join(part if i % 2 else part.replace("{", "{{").replace("}", "}}") for i, part in enumerate(re.split(r"(\{(?:" + "|".join(TABLES) + r")\})", text)))
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in text}
     return spark.sql(text, **used)
