@@ -49,7 +49,7 @@ def _order() -> tuple[Column, Column]:
     so reruns agree. Bucketing uses q / (1 + q), which keeps the order and lies in [0, 1).
     """
     u = (F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.col("id").cast("string"))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(16**13))
-    pi = F.col("part") * F.least(F.lit(1.0), F.col("extra") / (F.col("size") * F.lit(float(LONG))))
+    pi = F.col("part") * F.least(F.lit(1.0), F.when(F.col("size") > 0, F.col("extra") / (F.col("size") * F.lit(float(LONG)))).otherwise(F.lit(1.0)))
     pi = F.least(F.greatest(pi, F.lit(1e-12)), F.lit(1 - 1e-9))
     q = (u / (1 - u)) / (pi / (1 - pi))
     return F.floor(q / (1 + q) * BUCKETS).cast("int"), q
@@ -108,10 +108,9 @@ def op2(spark, docs: DataFrame) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it, in the columns it came with."""
-    columns = docs.columns
-    rows = docs.withColumn("size", n_words(F.col("text")))
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.struct(*docs.columns).alias("document"))
     plan = mixing_plan(cut(rows.select("doc_id", "source", "size")))
-    return mix(rows, plan).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
+    return mix(rows, plan).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("document.*")
 
 
 #: The same sample in SQL: the same hash, order and end, ranked whole.
