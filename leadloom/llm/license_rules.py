@@ -136,14 +136,15 @@ CLAUSES = (
 #: Contract phrases; their detections are never suppressed.
 BASE = (("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved"))
 
-_REGEX_WORDS = re.compile(r"\([^()]*\)[?*+]?(?:\{[^}]*\})?|\[[^\]]*\](?:\{[^}]*\})?\??|[^ ]*[\[\](){}|?*+\\^][^ ]*")
+_GROUP = re.compile(r"\([^()]*\)(?:[?*+]|\{[^}]*\})?")
+_SPECIAL = re.compile(r"[^ ]*[\[\](){}|?*+\\^][^ ]*")
 
 
 def _keywords(pattern: str) -> frozenset[bytes]:
-    """Words that every match has: what is left of the pattern beside groups and classes, without the short ones."""
-    while (less := _REGEX_WORDS.sub(" . ", pattern)) != pattern:
+    """Up to three words that every match has: whole words of the pattern outside its groups and classes, the longest."""
+    while (less := _GROUP.sub(" . ", pattern)) != pattern:
         pattern = less
-    plain = [w for w in pattern.split() if w.isalnum()]
+    plain = [w for w in _SPECIAL.sub(" . ", pattern).split() if w.isalnum()]
     return frozenset(w.encode() for w in sorted(plain, key=lambda w: (-len(w), w))[:3])
 
 
