@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import js_trim, truthy
 from ..functions.web import normalize_domain
+from ..sources.storage import cut
 
 # Words that a company's name is compared without.
 NAME_STOP = ("inc", "llc", "ltd", "corp", "corporation", "co", "the", "and", "&", "group", "services", "service", "company", "solutions", "holdings")
@@ -72,25 +73,19 @@ def groups(leads: DataFrame) -> DataFrame:
     aggregations until none changes; what is left alone by both keys is a group of its own."""
     p = prepared(leads).select("seq", "pid", "domain")
     links = p.where("pid <> ''").select("seq", F.concat(F.lit("p:"), "pid").alias("key")).union(p.where("domain <> ''").select("seq", F.concat(F.lit("d:"), "domain").alias("key")))
-    links = _cut(links)
-    label = _cut(p.select("seq", F.col("seq").alias("grp")))
+    links = cut(links)
+    label = cut(p.select("seq", F.col("seq").alias("grp")))
     while True:
         low = links.join(label, "seq").groupBy("key").agg(F.min("grp").alias("low"))
         new = links.join(low, "key").groupBy("seq").agg(F.min("low").alias("low")).join(label, "seq", "right").select("seq", F.least(F.coalesce("low", "grp"), "grp").alias("grp"))
         # a label's own label is taken over too, so that long chains take few rounds
         jump = label.select(F.col("seq").alias("grp"), F.col("grp").alias("far"))
-        new = _cut(new.join(jump, "grp", "left").select("seq", F.least("grp", F.coalesce("far", "grp")).alias("grp")))
+        new = cut(new.join(jump, "grp", "left").select("seq", F.least("grp", F.coalesce("far", "grp")).alias("grp")))
         if new.join(label.withColumnRenamed("grp", "old"), "seq").where("grp <> old").isEmpty():
             return new
         label = new
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    from ..sources.storage import cut
-
-    return cut(df)
-
-
 def _same(a: dict, b: dict) -> bool:
     if a["pid"] and b["pid"]:
         return a["pid"] == b["pid"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import js_trim, let, matches, or_null, round3
 from ..functions.web import evaluate_email, is_company_name, is_phone, is_social_profile, normalize_email, normalize_phone, normalize_text, normalize_url
+from ..sources.storage import cut
 
 # Base confidences of sources, page modifiers, ranks.
 BASE = {"json-ld": 0.96, "microdata": 0.90, "mailto": 0.92, "tel": 0.92, "semantic-dom": 0.85, "open-graph": 0.82, "metadata": 0.80, "contextual-label": 0.72, "team-card": 0.86, "regex-fallback": 0.55, "unknown": 0.50}
@@ -75,9 +76,9 @@ def corroborate(rows: DataFrame) -> DataFrame:
     """Adds pages, sources and the bonus of equal values on further pages and from further sources.
 
     Counts come from an aggregation by (site, field, value) that combines before its shuffle, joined back on the key.
+    The rows are written once before, so that their validation is not computed for both sides.
     """
-    key = F.lower(js_trim(F.col("value")))
-    rows = rows.withColumn("key", key)
+    rows = cut(rows.withColumn("key", F.lower(js_trim(F.col("value")))))
     n = rows.groupBy("site", "field", "key").agg(F.count_distinct("page_url").alias("pages"), F.count_distinct("source").alias("sources"))
     bonus = F.least(F.lit(0.06), F.greatest(F.lit(0.0), (F.col("pages") - 1) * 0.03)) + F.when(F.col("sources") >= 2, 0.04).otherwise(0.0)
     out = rows.join(n, ["site", "field", "key"]).drop("key")

@@ -62,7 +62,7 @@ SELECT CAST(o_orderkey % 199 AS BIGINT) AS site, o_orderkey AS seq,
 FROM {orders}
 """
 
-#: Page addresses with telling paths, and links between the pages of a host.
+#: Page addresses with telling paths, and links from each page to the next six of its host.
 SITE_PAGES = """
 SELECT page_id, CAST(page_id % 41 AS BIGINT) AS site, 'https://www.site' || CAST(page_id % 41 AS STRING) || '.test' || CASE page_id % 19
   WHEN 0 THEN '/contact' WHEN 1 THEN '/about-us' WHEN 2 THEN '/our-team' WHEN 3 THEN '/locations' WHEN 4 THEN '/services' WHEN 5 THEN '/careers' WHEN 6 THEN '/faq' WHEN 7 THEN '/blog/post' WHEN 8 THEN '/tag/x' WHEN 9 THEN '/cart' WHEN 10 THEN '/privacy-policy' WHEN 11 THEN '/files/file.pdf' WHEN 12 THEN '/?s=q' WHEN 13 THEN '' WHEN 14 THEN '/index.html' WHEN 15 THEN '/company/story' WHEN 16 THEN '/2024/05/x' WHEN 17 THEN '/page/3' ELSE '/p' || CAST(page_id AS STRING) END AS url,
@@ -72,7 +72,7 @@ FROM {pages}
 """
 SITE_LINKS = """
 SELECT a.page_id, a.site, a.url AS src, b.page_id AS seq, b.url AS target, b.anchor_text, b.container, CAST(1 + a.page_id % 3 AS INT) AS depth, 'site' || CAST(a.site AS STRING) || '.test' AS root
-FROM ({SITE_PAGES}) a JOIN ({SITE_PAGES}) b ON b.page_id > a.page_id AND b.page_id <= a.page_id + 246 AND (b.page_id - a.page_id) % 41 = 0 AND a.site = b.site
+FROM ({SITE_PAGES}) a JOIN (VALUES (41), (82), (123), (164), (205), (246)) AS k(step) ON a.page_id + k.step > 0 JOIN ({SITE_PAGES}) b ON b.page_id = a.page_id + k.step
 """
 
 #: Candidate events of runs (a user is a run).
