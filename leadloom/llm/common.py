@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -49,6 +52,14 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.coalesce(c, F.lit("")), BLANKS), lambda w: w != "")
 
 
+def release() -> None:
+    """Gives what a task has freed back to the system: Python workers live on between tasks, beside the JVM's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable], schema: pa.Schema, spark_schema: str) -> DataFrame:
     """mapInArrow over `columns`: make() builds, once a task, a function from column lists to output lists.
 
@@ -62,6 +73,8 @@ def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable], sc
                 part = batch.slice(at, 512)
                 out = f(*[part.column(i).to_pylist() for i in range(len(columns))])
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, schema.types, strict=True)], schema=schema)
+        del f
+        release()
 
     return df.select(*columns).mapInArrow(run, spark_schema)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_broadcast, table
+from .common import cut, maybe_broadcast, release, table
 
 LABELLED = 24_000  # labelled documents that terms are mined from, at most about
 FITTED = 30_000  # documents that the classifier is trained on, at most about
@@ -33,7 +33,8 @@ SCALE = 1 << 20  # posteriors are summed as whole numbers, so that reruns agree
 
 LEXICON = frozenset("idiot idiots moron morons stupid loser losers scum trash garbage pathetic worthless disgusting clown dumb fool jerk ugly hate shut kill bastard bitch crap damn arschloch dumm idiotin scheiße hass connard idiote stupide merde haine salaud estúpido idiota basura mierda odio imbécil cabrón".split())
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE = 500_000
+_CACHE = 200_000  # words whose terms a task keeps
+SLICE = 256  # documents counted or scored at once, which bounds a task's memory
 
 
 def terms_of(word: str) -> list[str]:
@@ -75,11 +76,14 @@ def mine(docs: DataFrame, labels: DataFrame) -> list[str]:
 
     def count(batches):
         for b in batches:
-            n = (Counter(), Counter())
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                n[toxic].update(t if isinstance(t, str) else t[0] + "^" for t in occurring(text, terms_of))
-            keys = sorted({*n[0], *n[1]})
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([n[1][k] for k in keys], pa.int64()), pa.array([n[0][k] for k in keys], pa.int64())], names=["term", "pos", "neg"])
+            for at in range(0, b.num_rows, SLICE):
+                part = b.slice(at, SLICE)
+                n = (Counter(), Counter())
+                for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    n[toxic].update(t if isinstance(t, str) else t[0] + "^" for t in occurring(text, terms_of))
+                keys = sorted({*n[0], *n[1]})
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([n[1][k] for k in keys], pa.int64()), pa.array([n[0][k] for k in keys], pa.int64())], names=["term", "pos", "neg"])
+        release()
 
     totals = {r["toxic"]: r["count"] for r in some.groupBy("toxic").count().collect()}
     p, q = totals.get(1, 0), totals.get(0, 0)
@@ -112,8 +116,10 @@ def features(docs: DataFrame, terms: list[str]) -> DataFrame:
             found = ((t, 0) if isinstance(t, str) else (t[0], 1) for t in occurring(text, look))
             return sorted(x for x in (dense if t == "" else number.get(t + "^" * dense) for t, dense in found) if x is not None)
 
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([numbers(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "terms"])
+        known.clear()
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, terms array<int>")
 
@@ -183,14 +189,15 @@ def fit_label_model(patterns: DataFrame, k: int) -> LabelModel:
                     w = np.round(w * SCALE)
                     total[c] += int(w.sum())
                     pairs[c] += np.round(votes.T @ (votes * w[:, None])).astype(np.int64)
-            flat = np.concatenate([total, pairs.ravel()])
-            at = np.flatnonzero(flat)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(flat[at])], names=["cell", "value"])
-
-        flat = np.zeros(2 + 2 * k * k)
-        for r in patterns.mapInArrow(run, "cell long, value long").groupBy("cell").agg(F.sum("value").alias("value")).collect():  # 2 + 2 k^2 rows at most
-            flat[r["cell"]] = r["value"] / SCALE
-        return LabelModel(flat[2:].reshape(2, k, k), flat[:2])
+            lines = np.zeros((2 * k + 2, k), np.int64)
+            lines[: 2 * k], lines[2 * k :, 0] = pairs.reshape(2 * k, k), total
+            yield pa.RecordBatch.from_arrays([pa.array(range(2 * k + 2), pa.int32()), pa.array(lines.tolist(), pa.list_(pa.int64()))], names=["line", "cells"])
+
+        sums = [F.sum(F.col("cells")[j]).alias(f"c{j}") for j in range(k)]
+        flat = np.zeros((2 * k + 2, k))
+        for r in patterns.mapInArrow(run, "line int, cells array<long>").groupBy("line").agg(*sums).collect():  # 2 k + 2 rows
+            flat[r["line"]] = np.array(r[1:]) / SCALE
+        return LabelModel(flat[: 2 * k].reshape(2, k, k), flat[2 * k :, 0])
 
     model = moments(None)
     for _ in range(ROUNDS):
