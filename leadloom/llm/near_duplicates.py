@@ -7,7 +7,7 @@ linked sets is at most d, so of p > d parts at least p - d agree: documents that
 Candidates are verified on their whole sets.
 
 What is emitted stays linear. Equal sets are one class. Classes that share a part's value form a candidate group by
-links to a first one only. Groups are then verified in blocks of bounded size, block against block, and a block
+links that their whole sketches allow. Groups are then verified in blocks of bounded size, block against block, and a block
 pair returns the links that join its documents (a forest), not all pairs.
 """
 
@@ -22,10 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, map_rows, maybe_broadcast
+from .common import components, cut, map_rows, maybe_broadcast, release
 
 BLOCK = 500_000  # shingles of a block: a verifying task holds two blocks at most (or two documents, if longer)
-WORD_CACHE = 500_000  # words whose hashes a worker keeps
+GROUP = 4096  # sets of one key that are compared by their sketches
+WORD_CACHE = 200_000  # words whose hashes a worker keeps
 _M1, _M2, _K = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 _S33, _S32 = np.uint64(33), np.uint64(32)
 
@@ -88,7 +89,7 @@ class Bands:
 
 
 def part_keys(hashes: np.ndarray, bands: Bands) -> list[int]:
-    """Keys of a set's sketch parts. Parts without a toggled place are left out, unless so many are that no other part
+    """Keys of a set's sketch parts; the lowest bit is that of the band. Parts without a toggled place are left out, unless so many are that no other part
     need agree with a partner's."""
     out: list[np.ndarray] = []
     with np.errstate(over="ignore"):
@@ -104,13 +105,24 @@ def part_keys(hashes: np.ndarray, bands: Bands) -> list[int]:
             if p - len(which) >= p - d:
                 empty = np.setdiff1d(np.arange(p, dtype=np.uint64), which)
                 which, value = np.concatenate((which, empty)), np.concatenate((value, np.zeros(len(empty), np.uint64)))
-            out.append(mix(value ^ mix(np.uint64(b) * _K + which)))
+            out.append((mix(value ^ mix(np.uint64(b) * _K + which)) & ~np.uint64(1)) | np.uint64(b & 1))
     return np.concatenate(out).view(np.int64).tolist() if out else []
 
 
+def bit_sketches(hashes: np.ndarray, bands: Bands) -> tuple[bytes | None, bytes | None]:
+    """Parity sketches of a place for each shingle in the set's even and odd band: what candidates are compared by."""
+    out: list[bytes | None] = [None, None]
+    with np.errstate(over="ignore"):
+        places = mix(hashes ^ _M2) >> _S32
+        for b in bands.of(len(hashes)):
+            m = -(-int(bands.start[b + 1]) // 64) * 64
+            out[b & 1] = np.packbits((np.bincount(((places * np.uint64(m)) >> _S32).astype(np.int64), minlength=m) & 1).astype(np.uint8)).tobytes()
+    return out[0], out[1]
+
+
 def sketch(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, row_id, n, fp, fp2, keys): a row for each document; equal sets have equal (fp, fp2, n)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("row_id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """(doc_id, row_id, n, fp, fp2, keys, even, odd): a row for each document; equal sets have equal (fp, fp2, n)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row_id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("keys", pa.list_(pa.int64())), ("even", pa.binary()), ("odd", pa.binary())])
 
     def make():
         shingles, bands = Shingles(k), Bands(percent)
@@ -118,20 +130,20 @@ def sketch(docs: DataFrame, k: int, percent: int) -> DataFrame:
         def one(doc_id, row_id, text):
             h = shingles(text)
             if not len(h):
-                return doc_id, row_id, 0, 0, 0, []
+                return doc_id, row_id, 0, 0, 0, [], None, None
             with np.errstate(over="ignore"):
                 two = np.array([mix(h ^ _K).sum(dtype=np.uint64) + np.uint64(len(h)), np.bitwise_xor.reduce(mix(h ^ _M1)) + np.uint64(len(h))])
             fp = mix(two).view(np.int64)
-            return doc_id, row_id, len(h), int(fp[0]), int(fp[1]), part_keys(h, bands)
+            return doc_id, row_id, len(h), int(fp[0]), int(fp[1]), part_keys(h, bands), *bit_sketches(h, bands)
 
         return lambda *columns: tuple(zip(*map(one, *columns)))
 
     rows = docs.select("doc_id", row_id().alias("row_id"), "text")
-    return map_rows(rows, ["doc_id", "row_id", "text"], make, schema, "doc_id long, row_id long, n long, fp long, fp2 long, keys array<long>")
+    return map_rows(rows, ["doc_id", "row_id", "text"], make, schema, "doc_id long, row_id long, n long, fp long, fp2 long, keys array<long>, even binary, odd binary")
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """(u, v) of set fingerprints: links that connect, for each key, all the sets that share it.
+def sharing(rows: DataFrame) -> DataFrame:
+    """(key, u, v): for each key that different sets share, links from a first set u to each other one v.
 
     One shuffle sorts (key, fingerprint) over range partitions, so a key that many sets share, even a set that many rows
     repeat (`salt`), is spread over as many partitions as it fills. Within a partition a key's sets link to its first
@@ -143,6 +155,11 @@ def candidates(rows: DataFrame) -> DataFrame:
     keys = rows.select(F.explode("keys").alias("key"), "fp", F.pmod("row_id", F.lit(64)).cast("byte").alias("salt"))
     keys = keys.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
+    def out(part, first, k, u, v):
+        n = len(k)
+        part, first = (pa.array([part] * n, pa.int64()), pa.array([first] * n, pa.int64()))
+        return pa.RecordBatch.from_arrays([part, first, pa.array(k, pa.int64()), pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["part", "first", "key", "u", "v"])
+
     def link(batches):
         part = TaskContext.get().partitionId()
         first = key = center = last = None
@@ -151,24 +168,77 @@ def candidates(rows: DataFrame) -> DataFrame:
                 continue
             k, f = np.asarray(b.column(0)), np.asarray(b.column(1))
             if key is None:
-                key, center, last = int(k[0]), int(f[0]), None
+                key, center = int(k[0]), int(f[0])
                 first = (key, center)
             new = np.concatenate(([k[0] != key], k[1:] != k[:-1]))
             at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
             start = np.where(at >= 0, f[at], center)
             before = np.concatenate(([center if last is None else last], f[:-1]))
             take = (f != start) & ((f != before) | new)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(int(take.sum()), np.int64) - 1), pa.nulls(int(take.sum()), pa.int64()), pa.nulls(int(take.sum()), pa.int64()), pa.array(start[take]), pa.array(f[take])], names=["part", "first", "last", "u", "v"])
+            yield out(-1, None, k[take], start[take], f[take])
             key, center, last = int(k[-1]), int(start[-1]), int(f[-1])
         if key is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([first[0]], pa.int64()), pa.array([key], pa.int64()), pa.array([first[1]], pa.int64()), pa.array([center], pa.int64())], names=["part", "first", "last", "u", "v"])
+            yield out(part, first[0], [key], [first[1]], [center])
+        release()
 
-    found = cut(keys.mapInArrow(link, "part long, first long, last long, u long, v long"))
-    edges = found.where("part < 0").select("u", "v")
-    ends = found.where("part >= 0")
+    found = cut(keys.mapInArrow(link, "part long, first long, key long, u long, v long"))
     before = Window.orderBy("part")  # one row for each partition
-    ends = ends.withColumn("left_key", F.lag("last").over(before)).withColumn("left", F.lag("v").over(before))
-    return edges.unionByName(ends.where("left_key = first AND left <> u").select(F.col("left").alias("u"), F.col("u").alias("v"))).distinct()
+    ends = found.where("part >= 0").withColumn("left_key", F.lag("key").over(before)).withColumn("left", F.lag("v").over(before))
+    return found.where("part < 0").select("key", "u", "v").unionByName(ends.where("left_key = first AND left <> u").select(F.col("first").alias("key"), F.col("left").alias("u"), F.col("u").alias("v")))
+
+
+def candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of set fingerprints: links that connect all pairs of sets that share a key and whose sketches are no
+    farther apart than a link's sets can be (so documents that only share a passage stay apart).
+
+    The sets of a key are compared in one group while they are at most GROUP; those of a larger key keep their links to
+    the first one, which connect more, never less.
+    """
+    found = sharing(rows)
+    members = found.select("key", F.col("v").alias("fp")).union(found.select("key", F.col("u").alias("fp"))).distinct()
+    large = cut(members.groupBy("key").count().where(F.col("count") > GROUP).select("key"))
+    big = large.count()
+    own = rows.groupBy("fp").agg(F.first("n").alias("n"), F.first("even").alias("even"), F.first("odd").alias("odd"))
+    small = members.join(maybe_broadcast(large, big), "key", "left_anti").join(own, "fp")
+    small = small.select("key", "fp", "n", F.when(F.col("key").bitwiseAND(F.lit(1)) == 0, F.col("even")).otherwise(F.col("odd")).alias("bits"))
+    small = small.repartition("key").sortWithinPartitions("key", "fp")
+
+    def near(batches):
+        held: list[tuple] = []
+
+        def links():
+            x = np.frombuffer(b"".join(r[3] for r in held), np.uint64).reshape(len(held), -1)
+            n = np.array([r[2] for r in held], np.int64)
+            group, u, v = np.arange(len(held)), [], []
+            for i in range(1, len(held)):
+                apart = np.bitwise_count(x[:i] ^ x[i]).sum(1, dtype=np.int64)
+                close = np.flatnonzero((apart * (100 + percent) <= (n[:i] + n[i]) * (100 - percent)) & (group[:i] != group[i]))
+                if len(close):
+                    labels, at = np.unique(group[close], return_index=True)
+                    u += [held[i][1]] * len(labels)
+                    v += [held[int(close[j])][1] for j in at]
+                    group[np.isin(group, labels)] = group[i]
+            return u, v
+
+        for batch in batches:
+            u, v = [], []
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if held and row[0] != held[0][0]:
+                    a, b = links()
+                    u, v, held = u + a, v + b, []
+                held.append(row)
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        if held:
+            u, v = links()
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            held = []
+        release()
+
+    edges = small.mapInArrow(near, "u long, v long")
+    if big:
+        edges = edges.unionByName(found.join(maybe_broadcast(large, big), "key", "left_semi").select("u", "v"))
+    return edges.distinct()
 
 
 def row_id():
@@ -234,6 +304,8 @@ def _verify(k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                 held.append(row)
         if held and (out := links()) is not None:
             yield out
+        held = []
+        release()
 
     return run
 
@@ -244,7 +316,7 @@ def classes_of(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFr
     rows = cut(sketch(docs, k, percent))
     own = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("low"), F.col("row_id"))
     classes = cut(rows.where("n > 0").groupBy("fp", "fp2", "n").agg(F.min(own).alias("own")).withColumn("cls", F.monotonically_increasing_id()))
-    groups = components(candidates(rows))
+    groups = components(candidates(rows, percent))
     members = cut(classes.join(groups, classes["fp"] == groups["node"]).select("cls", "n", "label", F.col("own.row_id").alias("row_id")))
     blocks = members.groupBy("label").agg(F.sum("n").alias("total")).select("label", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
     spread = members.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
