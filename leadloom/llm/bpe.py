@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from .common import map_rows
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-CACHE = 1_000_000  # pieces whose ids a worker keeps, and pairs whose stability it keeps; cleared when full
+CACHE = 300_000  # pieces whose ids a worker keeps, and pairs whose stability it keeps; cleared when full
 
 
 class Vocabulary:

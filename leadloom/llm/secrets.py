@@ -19,7 +19,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_rows
+from .common import map_rows, release
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -268,5 +268,6 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
                 old = batch.column(columns.index("n_chars")).to_pylist()
                 cols[columns.index("n_chars")] = pa.array([n if a == b else len(b) for n, a, b in zip(old, texts, new)], batch.column(columns.index("n_chars")).type)
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+        release()
 
     return docs.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in columns))
