@@ -238,6 +238,21 @@ def test_token_file_round_trip_and_damage(spark):
         start += len(ids)
 
 
+def test_token_file_against_the_library_as_it_comes(spark):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path(token_file.VOCABULARY))
+    r = random.Random(5)
+    rows = [(i, "".join(r.choice(["<|endoftext|>", "<|endof", "text|>", "<|", "a", " ", "  ", "\n", "é", "12", "'ll"]) for _ in range(r.randint(0, 40))), "en", "a") for i in range(200)]
+    out = {x["doc_id"]: x for x in token_file.op8(spark, docs(spark, rows)).collect()}
+    start = 0
+    for i, text, *_ in rows:
+        ids = [*t.encode(text, add_special_tokens=False).ids, 0]
+        assert (out[i]["start"], out[i]["n_tokens"], out[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def _slow_crc(data: bytes) -> int:
     c = 0
     for b in data:
