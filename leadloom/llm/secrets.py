@@ -7,6 +7,7 @@ character under the best format's automaton over that under a background model o
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
@@ -26,6 +27,9 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+_PART = re.compile("[^=]+")
+_DELIMITER = re.compile("[/._+-]")
+SHORTEST = 16  # characters of a candidate
 
 ALPHA = 0.05  # of the merge test
 SEED = 20  # of the labelled credentials
@@ -77,6 +81,7 @@ def ordinary(seed: int = SEED, each: int = EACH) -> dict[str, tuple[int, list[st
     }
 
 
+_CLASS = {c: "0" if c in string.digits else "f" if c in "abcdef" else "z" if c in string.ascii_lowercase else "F" if c in "ABCDEF" else "Z" for c in NAMES}
 _WIDTH = {"0": math.log(10), "f": math.log(6), "z": math.log(20), "F": math.log(6), "Z": math.log(20)}
 
 
@@ -104,6 +109,26 @@ class Automaton(NamedTuple):
         return (total + self.ends[at]) / max(1, len(s))
 
 
+    def begins(self) -> list[str]:
+        """The fixed heads that the format was learned with; none if it has none."""
+        paths = [("", 0)]
+        for _ in range(self.head):
+            paths = [(p + k[1:], to) for p, at in paths for k, (to, _) in self.moves[at].items() if k[0] == "=" and len(k) > 1]
+        return [p for p, _ in paths if p]
+
+    def walk(self, s: str) -> tuple[list[float], int]:
+        """(log-likelihood of each prefix with its end, characters up to where the format cannot go on)."""
+        at, total, out = 0, 0.0, [-math.inf]
+        for i, c in enumerate(s):
+            k = f"={c}" if i < self.head else _CLASS.get(c, c)
+            step = self.moves[at].get(k)
+            if step is None:
+                break
+            at, total = step[0], total + step[1] - _WIDTH.get(k, 0.0)
+            out.append(total + self.ends[at])
+        return out, len(out) - 1
+
+
 def learn(examples: Iterable[str], head: int = 0, alpha: float = ALPHA) -> Automaton:
     """ALERGIA: a prefix tree of the examples, whose states merge where the Hoeffding bound can't tell them apart."""
     kids: list[dict[str, int]] = [{}]
@@ -167,17 +192,58 @@ def learn(examples: Iterable[str], head: int = 0, alpha: float = ALPHA) -> Autom
 class Grammar(NamedTuple):
     formats: dict[str, Automaton]
     plain: list[Automaton]
+    heads: re.Pattern  # where a format's fixed head begins
 
     @classmethod
     def build(cls, seed: int = SEED, each: int = EACH, alpha: float = ALPHA) -> Grammar:
-        return cls({k: learn(x, head, alpha) for k, (head, x) in labelled(seed, each).items()}, [learn(x, head, alpha) for head, x in ordinary(seed, each).values()])
+        formats = {k: learn(x, head, alpha) for k, (head, x) in labelled(seed, each).items()}
+        heads = sorted({h for a in formats.values() for h in a.begins()})
+        return cls(formats, [learn(x, head, alpha) for head, x in ordinary(seed, each).values()], re.compile(f"(?={'|'.join(map(re.escape, heads))})"))
 
     def judge(self, s: str, margin: float = MARGIN) -> str | None:
         """The likeliest format of a candidate, if it beats all ordinary strings by the margin."""
         best, kind = max((a.score(s), k) for k, a in self.formats.items())
         if best == -math.inf:
             return None
-        return kind if best - max(max(a.score(s) for a in self.plain), -6.0) >= margin else None
+        return kind if best - self.ordinary(s) >= margin else None
+
+    def ordinary(self, s: str) -> float:
+        """Log-likelihood a character of an ordinary string."""
+        return max(max(a.score(s) for a in self.plain), -6.0)
+
+    def inside(self, s: str, margin: float = MARGIN) -> list[tuple[int, int, str]]:
+        """(start, end, format) of the credentials within a longer run, apart from each other; the strongest are taken first.
+
+        They start after a delimiter or where a format's head begins, and end before a delimiter or where the format
+        cannot go on: where the format's likelihood with its end, times that of an ordinary rest, is largest.
+        """
+        starts = {0, *(m.end() for m in _DELIMITER.finditer(s))}
+        heads = {m.start() for m in self.heads.finditer(s)}
+        borders = [m.start() for m in _DELIMITER.finditer(s)] + [len(s)]
+        found = []
+        for start in sorted(starts | heads):
+            if len(s) - start < SHORTEST:
+                break
+            for kind, a in self.formats.items():
+                if start not in (heads if a.head else starts):
+                    continue
+                upto, n = a.walk(s[start : start + SHORTEST])
+                if n < SHORTEST:
+                    continue
+                upto, n = a.walk(s[start:])
+                ends = borders[bisect.bisect_left(borders, start + SHORTEST) : bisect.bisect_right(borders, start + n)]
+                if a.head and start + n not in ends:
+                    ends.append(start + n)
+                best, end = max(((upto[e - start] + (start + n - e) * (self.ordinary(s[e + 1 : start + n]) if e + 1 < start + n else -6.0), e) for e in ends), default=(-math.inf, 0))
+                gain = (upto[end - start] / (end - start) if best > -math.inf else -math.inf) - self.ordinary(s[start:end])
+                if gain >= margin and any(c in string.digits for c in s[start:end]):
+                    found.append((gain * (end - start), start, end, kind))
+        out: list[tuple[int, int, str]] = []
+        for _, start, end, kind in sorted(found, reverse=True):
+            i = bisect.bisect_left(out, (start, end, kind))
+            if (i == 0 or out[i - 1][1] <= start) and (i == len(out) or end <= out[i][0]):
+                out.insert(i, (start, end, kind))
+        return out
 
 
 def base_spans(text: str) -> list[Span]:
@@ -189,14 +255,17 @@ def base_spans(text: str) -> list[Span]:
 
 
 def format_spans(text: str, grammar: Grammar) -> list[Span]:
-    """Candidates, runs of 16 and more credential characters with a digit, that a format's automaton explains best."""
+    """Candidates, of 16 and more credential characters with a digit, that a format's automaton explains best: whole
+    runs, or what a run that no format explains as a whole has inside."""
     out = []
     for m in _CANDIDATE.finditer(text):
-        s, start = m[0].rstrip(".="), m.start()
-        for part in [s] if "=" not in s else re.split("=+", s):
-            at = s.index(part)
-            if len(part) >= 16 and any(c in part for c in string.digits) and (kind := grammar.judge(part)):
-                out.append(Span(start + at, start + at + len(part), kind))
+        for part in _PART.finditer(m[0].rstrip(".=")):
+            s, at = part[0], m.start() + part.start()
+            if len(s) < SHORTEST or not any(c in s for c in string.digits):
+                continue
+            kind = grammar.judge(s)
+            for start, end, k in [(0, len(s), kind)] if kind else grammar.inside(s):
+                out.append(Span(at + start, at + end, k))
     return out
 
 

@@ -116,6 +116,23 @@ def test_secret_automata_and_spans(spark):
     assert out["base_sha256"] == hashlib.sha256(secrets.joined(secrets.base_spans(text)).encode()).hexdigest() and (out["n_assign"], out["n_access"], out["n_hex"]) == (1, 1, 1)
 
 
+def test_secret_spans_within_longer_runs():
+    g = secrets.grammar()
+    for kind, (_, xs) in secrets.labelled(seed=77, each=40).items():
+        for form in ("https://host/v1/{}", "user.{}", "key-{}", "{}/", "{}-", "a/{}/b", "prefix+{}"):
+            hits = 0
+            for x in xs:
+                text = f"see {form.format(x)} ok"
+                at = text.index(x)
+                hits += any(s.start <= at and s.end >= at + len(x) and s.end <= at + len(x) + 1 for s in secrets.format_spans(text, g))
+            assert hits >= 36, (kind, form, hits)
+    x = secrets.labelled(seed=77, each=1)["npm"][1][0]
+    assert [(s.start, s.end) for s in secrets.format_spans(f"{x}={x}", g)] == [(0, len(x)), (len(x) + 1, 2 * len(x) + 1)]
+    assert x not in secrets.redact(f"https://host/v1/{x}", secrets.format_spans(f"https://host/v1/{x}", g))
+    plain = [x for _, xs in secrets.ordinary(seed=77, each=50).values() for x in xs]
+    assert sum(bool(secrets.format_spans(f"/{x}/{x}", g)) for x in plain) <= 0.05 * len(plain)
+
+
 def _clusters(texts: dict[int, str], k: int, percent: int) -> dict[int, int]:
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
