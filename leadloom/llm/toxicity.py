@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, maybe_broadcast, release, table
+from .near_duplicates import row_id
 
 LABELLED = 24_000  # labelled documents that terms are mined from, at most about
 FITTED = 30_000  # documents that the classifier is trained on, at most about
@@ -97,7 +98,7 @@ def mine(docs: DataFrame, labels: DataFrame) -> list[str]:
 
 
 def features(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(doc_id, terms array<int>) of every whole text: numbers of the terms that occur (0: a lexicon word, 1: such words
+    """(doc_id, row_id, terms array<int>) of every whole text: numbers of the terms that occur (0: a lexicon word, 1: such words
     densely, then the mined terms; a term's dense form is marked ^)."""
     number = {t: i + 2 for i, t in enumerate(terms)}
 
@@ -117,11 +118,11 @@ def features(docs: DataFrame, terms: list[str]) -> DataFrame:
             return sorted(x for x in (dense if t == "" else number.get(t + "^" * dense) for t, dense in found) if x is not None)
 
         for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([numbers(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([numbers(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "row_id", "terms"])
         known.clear()
         release()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, terms array<int>")
+    return docs.select(F.col("doc_id").cast("long"), "text", row_id().alias("row_id")).mapInArrow(run, "doc_id long, row_id long, terms array<int>")
 
 
 def _bits(pattern: np.ndarray, k: int) -> np.ndarray:
@@ -222,7 +223,7 @@ def train(rows: list[list[int]], target: np.ndarray, size: int, decay: float = 2
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, score) of every whole text; see op3."""
+    """(doc_id, row_id, score) of every whole text; see op3."""
     learn = training_labels(labels)
     terms = mine(docs, learn)
     table_ = cut(features(docs, terms))
@@ -238,7 +239,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         weights, bias = np.array([1.5, 3.0]), -3.0  # nothing to learn from: the lexicon alone decides
     pairs = F.array(*[F.lit(float(round(x, 9))) for x in weights])
     z = F.aggregate("terms", F.lit(float(bias)), lambda s, t: s + F.element_at(pairs, t + 1))
-    return table_.select("doc_id", F.round(1 / (1 + F.exp(-z)), 9).alias("score"))
+    return table_.select("doc_id", "row_id", F.round(1 / (1 + F.exp(-z)), 9).alias("score"))
 
 
 def op3(spark, docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -251,7 +252,7 @@ def op3(spark, docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are not predicted toxic; one of several rows with an id goes if any of them is."""
-    found = op3(spark, docs, table(spark, sf_dir, "labels"))
-    gone = cut(found.where("predicted = 1 AND doc_id IS NOT NULL").select("doc_id").distinct())
-    return docs.join(maybe_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
+    """The documents that are not predicted toxic. Each row is judged by its own text, whatever its id."""
+    found = score(docs, table(spark, sf_dir, "labels")).where(F.col("score") >= THRESHOLD)
+    gone = cut(found.select(F.col("row_id").alias("toxic_row")).distinct())
+    return docs.join(maybe_broadcast(gone), row_id() == F.col("toxic_row"), "left_anti").select(*docs.columns)

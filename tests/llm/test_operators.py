@@ -88,6 +88,19 @@ def test_mixing_reaches_targets(spark):
     assert {c["doc_id"]: c["count"] for c in copies} == {x["doc_id"]: x["taken"] // x["size"] for x in out if x["taken"]}
 
 
+def test_toxicity_stage_decides_by_row(spark, tmp_path):
+    r = random.Random(2)
+    word = lambda: "".join(r.choices("aeioulmnrst", k=5))
+    toxic = lambda: " ".join("zork" + word()[:2] if r.random() < 0.2 else word() for _ in range(100))
+    clean = lambda: " ".join(word() for _ in range(100))
+    rows = [(i, toxic() if i % 5 == 0 else clean(), "en", "a") for i in range(1000)]
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(1000)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    bad, good = toxic(), clean()
+    rows += [(None, bad, "en", "null"), (None, good, "en", "null"), (2000, bad, "en", "twice"), (2000, good, "en", "twice")]
+    kept = toxicity.stage(spark, docs(spark, rows), str(tmp_path)).where("source <> 'a'").collect()
+    assert sorted((x["source"], x["text"]) for x in kept) == [("null", good), ("twice", good)]
+
+
 def test_toxicity_is_learned(spark):
     r = random.Random(2)
     word = lambda: "".join(r.choices("aeioulmnrst", k=5))
