@@ -46,13 +46,17 @@ def _order() -> tuple[Column, Column]:
 
     The key is Pareto's ranking variable, random odds over inclusion odds: u / (1 - u) / (pi / (1 - pi)). pi is the
     source's share still to sample, less for documents that alone are a large part of it. u comes from the id's hash,
-    so reruns agree. Bucketing uses q / (1 + q), which keeps the order and lies in [0, 1).
+    so reruns agree. Bucketing uses z / (1 + z) of z = q times the source's own odds, which keeps the order within a
+    source, lies in [0, 1] and is u but for long documents: whatever a source's share, its rows spread over all buckets.
     """
     u = (F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.col("id").cast("string"))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(16**13))
+    bounded = lambda p: F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-9))
+    own = bounded(F.col("part"))
     pi = F.col("part") * F.least(F.lit(1.0), F.when(F.col("size") > 0, F.col("extra") / (F.col("size") * F.lit(float(LONG)))).otherwise(F.lit(1.0)))
-    pi = F.least(F.greatest(pi, F.lit(1e-12)), F.lit(1 - 1e-9))
+    pi = bounded(pi)
     q = (u / (1 - u)) / (pi / (1 - pi))
-    return F.floor(q / (1 + q) * BUCKETS).cast("int"), q
+    z = q * (own / (1 - own))
+    return F.floor(z / (1 + z) * BUCKETS).cast("int"), q
 
 
 def _joined(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -67,12 +71,13 @@ def mixing_plan(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: flo
     A document is expected target / source_size times: the whole part is allocated for certain, the rest is a sample
     of fixed size (in words) taken in Pareto order. Words are summed per (source, bucket) before any ranking; only the
     documents of the one bucket in which the sample ends are ranked, so a hot source is never sorted in one task.
-    The document at the end is taken if that brings the source nearer to its target.
+    The document at the end is taken if that brings the source nearer to its target. A source with nothing left to
+    sample (at its cap, say) takes no part in this.
     """
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = source_targets(sizes, weights, share, most).withColumn("whole", F.floor(rate).cast("int"))
     plan = cut(plan.withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("part", F.when(F.col("source_size") > 0, F.col("extra") / F.col("source_size")).otherwise(F.lit(0.0))))
-    rows = _joined(sizes.select("doc_id", "source", "size"), plan)
+    rows = _joined(sizes.select("doc_id", "source", "size"), plan.where("extra > 0"))
     binned = rows.groupBy("source", "bucket", "extra").agg(F.sum("size").alias("words"))
     w = Window.partitionBy("source").orderBy("bucket")
     ends = binned.withColumn("upto", F.sum("words").over(w)).where("upto >= extra").groupBy("source").agg(F.min("bucket").alias("end_bucket"), F.min_by(F.col("extra") - (F.col("upto") - F.col("words")), "bucket").alias("room"))

@@ -88,6 +88,19 @@ def test_mixing_reaches_targets(spark):
     assert {c["doc_id"]: c["count"] for c in copies} == {x["doc_id"]: x["taken"] // x["size"] for x in out if x["taken"]}
 
 
+def test_mixing_of_sources_at_their_cap(spark):
+    r = random.Random(4)
+    rows = [(i, " " if i % 7 == 0 else "w " * r.randint(1, 20), "en", "abc"[i % 3]) for i in range(900)]
+    copies = {c["doc_id"]: c["count"] for c in mixing.stage(spark, docs(spark, rows), "").groupBy("doc_id").count().collect()}
+    assert max(copies.values()) == 2 and {copies[i] for i in range(0, 900, 3)} == {2}  # a's weight is half, its cap two thirds
+    sizes = docs(spark, rows).select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
+    ends = {x["source"]: (x["extra"], x["end_bucket"]) for x in mixing.mixing_plan(sizes).collect()}
+    assert ends["a"] == (0.0, None) and ends["b"][1] is not None and ends["c"][1] is not None
+    for part in (1e-9, 1e-6, 0.5, 1 - 1e-8):  # a small or nearly whole rest spreads over the buckets as well
+        plan = spark.createDataFrame([("a", 1e6, part)], "source string, extra double, part double")
+        assert mixing._joined(sizes.where("source = 'a'"), plan).select("bucket").distinct().count() > 250
+
+
 def test_toxicity_stage_decides_by_row(spark, tmp_path):
     r = random.Random(2)
     word = lambda: "".join(r.choices("aeioulmnrst", k=5))
