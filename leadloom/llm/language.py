@@ -14,30 +14,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import cut, map_rows, maybe_broadcast
 
 DOCS = 48  # labelled documents a language at most
 WINDOW = 800  # characters of each, at a place drawn by the id's hash
-LANGUAGES = 64  # learned at most: those with most labelled documents
+DENSE = 1 << 26  # cells of automata kept as dense tables (4 bytes each); further languages have sorted transitions
+GROUP = 16  # languages parsed in step
 SEGMENT = 512  # characters parsed as one: phrases end at a segment's border
 SHARPNESS = 20.0  # of the score
 
 
 def sample(docs: DataFrame) -> dict[str, list[str]]:
-    """Labelled text by language, a bounded sample: LANGUAGES x DOCS x WINDOW characters reach the driver at most.
+    """Labelled text of every language, a bounded sample of each: DOCS x WINDOW characters a language at most.
 
     Rows of a language are drawn by their id's hash: a threshold keeps a few times DOCS of them, whatever their number,
     before they are ranked.
     """
-    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL AND pmod(crc32(cast(cast(doc_id AS string) AS binary)), 5) <> 0")
+    rows = docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL AND pmod(crc32(cast(cast(doc_id AS string) AS binary)), 5) <> 0")
     rows = rows.withColumn("u", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return {}
-    limit = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 8.0 * DOCS / r["count"]))) for r in counts])
+    counts = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(8.0 * DOCS) / F.count("*")).alias("most"))
     room = F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1
     part = F.substr("text", (F.pmod(F.xxhash64("doc_id", F.lit("at")), room) + 1).cast("int"), F.lit(WINDOW))
-    few = rows.where(F.col("u") <= limit).select("lang", "u", "doc_id", part.alias("part"))
+    few = rows.join(maybe_broadcast(cut(counts)), "lang").where("u <= most").select("lang", "u", "doc_id", part.alias("part"))
     few = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id", "part"))).where(F.col("n") <= DOCS)
     out: dict[str, list[str]] = {}
     for r in few.orderBy("lang", "n").collect():
@@ -52,7 +50,7 @@ class Alphabet:
         letters = sorted({c for t in texts for c in t.lower() if c.isalpha()})
         number = {c: i + 2 for i, c in enumerate(letters)}
         self.size = len(letters) + 2
-        self.table = np.zeros(0x110000, np.uint16 if self.size > 255 else np.uint8)
+        self.table = np.zeros(0x110000, np.uint32 if self.size > 65_535 else np.uint16 if self.size > 255 else np.uint8)
         for cp in (*range(0xD800), *range(0xE000, 0x30000)):
             c = chr(cp)
             if c.isalpha():
@@ -101,60 +99,86 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
     return move
 
 
+class Group:
+    """Automata of some languages, side by side: one table of moves, dense or as sorted keys with their next states."""
+
+    def __init__(self, width: int, automata: list[tuple[int, np.ndarray]], dense: bool):
+        """automata: (states, rows (state x width + letter, next state) in order) of each language."""
+        sizes = np.array([n for n, _ in automata], np.int64) + 1  # the last state ends any phrase
+        offsets = np.cumsum(sizes) - sizes
+        self.width, self.dead, self.dense = width, (offsets + sizes - 1).astype(np.int32), dense
+        self.keys = np.concatenate([own[:, 0] + offset * width for (_, own), offset in zip(automata, offsets)])
+        self.next = np.concatenate([(own[:, 1] + offset).astype(np.int32) for (_, own), offset in zip(automata, offsets)])
+        starts = [self.look(np.arange(width) + offset * width) for offset in offsets]
+        self.starts = np.concatenate([np.where(x < 0, d, x) for x, d in zip(starts, self.dead)]).astype(np.int32)
+        if dense:
+            table = np.full(int(sizes.sum()) * width, -1, np.int32)
+            table[self.keys] = self.next
+            self.keys, self.next = None, table
+
+    def look(self, cells: np.ndarray) -> np.ndarray:
+        """Next states, -1 where there are none."""
+        if self.keys is None:
+            return self.next.take(cells)
+        at = np.minimum(np.searchsorted(self.keys, cells), len(self.keys) - 1)
+        return np.where(self.keys.take(at) == cells, self.next.take(at), np.int32(-1))
+
+    def count(self, grid: np.ndarray, active: np.ndarray) -> np.ndarray:
+        """Phrases by language and lane; the first active[step] lanes have a character at a step."""
+        state = np.repeat(self.dead[:, None], grid.shape[1], 1)
+        count = np.zeros(state.shape, np.int32)
+        base = (np.arange(len(self.dead), dtype=np.int64) * self.width)[:, None]
+        for step, n in enumerate(active):
+            c = grid[step, :n]
+            now = self.look(state[:, :n].astype(np.int64) * self.width + c)
+            miss = now < 0
+            count[:, :n] += miss
+            state[:, :n] = np.where(miss, self.starts.take(base + c), now)
+        return count
+
+
 class Model:
-    """The automata of all languages in one table, so that many texts are parsed against all of them in step."""
+    """The automata of all languages in groups, so that many texts are parsed against a group's languages in step."""
 
     def __init__(self, labelled: dict[str, list[str]]):
         self.names = sorted(labelled)
         self.alphabet = Alphabet([t for k in self.names for t in labelled[k]])
-        width, rows, starts, self.length = self.alphabet.size, [], [], []
-        offset = 0
-        for k in self.names:
+        self.length, self.groups = [], []  # groups: (first language, Group)
+        cells, some, width = 0, [], self.alphabet.size
+        for i, k in enumerate(self.names):
             parts = [self.alphabet.classes(t) for t in labelled[k]]
             text = [int(c) for p in parts for c in (0, *p)] + [0]
             moves = suffix_automaton(text)
-            table = np.full((len(moves) + 1, width), -1, np.int32)  # the last state ends any phrase
-            for s, m in enumerate(moves):
-                for c, t in m.items():
-                    table[s, c] = t + offset
-            start = table[0].copy()
-            start[start < 0] = offset + len(moves)
-            rows.append(table)
-            starts.append(start)
             self.length.append(len(text))
-            offset += len(table)
-        self.moves = np.concatenate(rows).ravel() if rows else np.zeros(0, np.int32)
-        self.starts = np.concatenate(starts) if starts else np.zeros(0, np.int32)
-        self.dead = np.cumsum([len(r) for r in rows]).astype(np.int32) - 1 if rows else np.zeros(0, np.int32)
+            dense = cells + (len(moves) + 1) * width <= DENSE
+            if some and (dense != was or len(some) == GROUP):
+                self.groups.append((i - len(some), Group(width, some, was)))
+                some = []
+            cells += (len(moves) + 1) * width * dense
+            own = np.array([(s * width + c, t) for s, m in enumerate(moves) for c, t in m.items()], np.int64)
+            some.append((len(moves), own[np.argsort(own[:, 0])]))
+            was = dense
+        if some:
+            self.groups.append((len(self.names) - len(some), Group(width, some, was)))
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases by text and language. Segments of all texts are lanes, longest first, moved one character a step."""
-        k, width = len(self.names), self.alphabet.size
         cuts = [(i, at) for i, x in enumerate(texts) for at in range(0, len(x), SEGMENT)]
-        out = np.zeros((len(texts), k), np.int64)
-        if not cuts or not k:
+        out = np.zeros((len(texts), len(self.names)), np.int64)
+        if not cuts:
             return out
         owner = np.array([i for i, _ in cuts])
         size = np.array([min(SEGMENT, len(texts[i]) - at) for i, at in cuts])
         order = np.argsort(-size, kind="stable")
         owner, size = owner[order], size[order]
-        grid = np.zeros((size[0], len(cuts)), np.int32)
+        grid = np.zeros((size[0], len(cuts)), np.int64)
         for lane, o in enumerate(order):
             i, at = cuts[o]
             grid[: size[lane], lane] = texts[i][at : at + SEGMENT]
-        state = np.repeat(self.dead[:, None], len(cuts), 1)
-        count = np.zeros((k, len(cuts)), np.int32)
-        base = (np.arange(k, dtype=np.int32) * width)[:, None]
         active = np.searchsorted(-size, -np.arange(size[0]), side="left")
-        for step in range(size[0]):
-            n = active[step]
-            c = grid[step, :n]
-            now = self.moves.take(state[:, :n] * np.int32(width) + c)
-            miss = now < 0
-            count[:, :n] += miss
-            state[:, :n] = np.where(miss, self.starts.take(base + c), now)
-        for lang in range(k):
-            out[:, lang] = np.bincount(owner, weights=count[lang], minlength=len(texts))
+        for first, group in self.groups:
+            for lang, count in enumerate(group.count(grid, active)):
+                out[:, first + lang] = np.bincount(owner, weights=count, minlength=len(texts))
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:

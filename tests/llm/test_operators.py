@@ -257,6 +257,21 @@ def test_language_held_out_accuracy_and_parse(spark):
         assert m.phrases([m.alphabet.classes(text)])[0, k] == phrases, name
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    r = random.Random(6)
+    words = {f"l{k:02d}": ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(30)] for k in range(70)}
+    rows = [(i, " ".join(r.choices(words[f"l{i % 70:02d}"], k=30)), f"l{i % 70:02d}", "a") for i in range(700)]
+    rows = rows[:689] + [(i, t, lang, s) for i, t, lang, s in rows[689:] if lang < "l60"]  # l60 and up are the rarest
+    out = {x["doc_id"]: x["lang_pred"] for x in language.op7(spark, docs(spark, rows)).collect()}
+    assert all(out[i] == lang for i, _, lang, _ in rows) and len(set(out.values())) == 70
+    some = {k: [" ".join(v)] for k, v in words.items()}
+    plain = language.Model(some)
+    texts = [plain.alphabet.classes(t) for _, t, *_ in rows[:50]]
+    monkeypatch.setattr(language, "DENSE", 30_000)  # most languages by sorted transitions
+    mixed = language.Model(some)
+    assert len({g.dense for _, g in mixed.groups}) == 2 and (mixed.phrases(texts) == plain.phrases(texts)).all()
+
+
 def test_token_file_round_trip_and_damage(spark):
     r = np.random.default_rng(1)
     for n in (0, 1, token_file.BLOCK, token_file.BLOCK + 1, 3 * token_file.BLOCK - 5):
