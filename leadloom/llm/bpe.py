@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from .common import map_rows
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-CACHE = 300_000  # pieces whose ids a worker keeps, and pairs whose stability it keeps; cleared when full
+CACHE = 200_000  # pieces whose ids a task keeps, and pairs whose stability it keeps; cleared when full, and at a task's end
+SHORT = 64  # bytes of a piece that is kept, and whose prefixes are looked at only where the last token depends on them
 
 
 class Vocabulary:
@@ -37,7 +38,7 @@ class Vocabulary:
             if len(token) > 1:
                 self.halves[rank] = self._last_merge(token, rank)
                 self.merges[self.halves[rank]] = rank
-        self._stable: dict[tuple[int, int], bool] = {}
+        self._stable: dict[int, bool] = {}
 
     @classmethod
     def load(cls, name: str = VOCABULARY) -> Vocabulary:
@@ -60,12 +61,25 @@ class Vocabulary:
         Their merges are undone from the last to the first. At every moment of that history the two parts that touch
         at the border must not merge before the next merge (in the true order) takes place there.
         """
-        key = (left, right)
+        key = left << 32 | right
         known = self._stable.get(key)
         if known is None:
+            if len(self._stable) >= CACHE:
+                self._stable.clear()
             known = self._stable[key] = self._undo(left, right)
         return known
 
+    def last(self, data: bytes, end: int, found: dict[int, int]) -> int:
+        """The valid last token of data[:end]. `found` has the last tokens of the prefixes looked at so far."""
+        token = found.get(end)
+        if token is None:
+            for start in range(max(0, end - self.longest), end):
+                token = self.ranks.get(data[start:end])
+                if token is not None and (start == 0 or self.stable(self.last(data, start, found), token)):
+                    found[end] = token
+                    break
+        return token
+
     def _undo(self, a: int, b: int) -> bool:
         until = len(self.bytes)  # the touching parts live until the merge of this rank
         while True:
@@ -130,17 +144,28 @@ class Codec:
         self.v, self.split, self.known = vocabulary, regex.compile(pattern).findall, {}
 
     def piece(self, piece: str) -> bytes:
-        if len(self.known) >= CACHE:
-            self.known.clear()
-        if len(self.v._stable) >= CACHE:
-            self.v._stable.clear()
         data = piece.encode("utf-8", "replace")
         whole = self.v.ranks.get(data)
-        packed = array("I", [whole] if whole is not None else Prefixes(self.v, data).ids()).tobytes()
-        if len(piece) <= 64:
-            self.known[piece] = packed
+        if whole is not None:
+            ids = [whole]
+        elif len(data) > SHORT:
+            return array("I", Prefixes(self.v, data).ids()).tobytes()
+        else:
+            ids, end, found = [], len(data), {}
+            while end:
+                ids.append(self.v.last(data, end, found))
+                end -= len(self.v.bytes[ids[-1]])
+            ids.reverse()
+        if len(self.known) >= CACHE:
+            self.known.clear()
+        packed = self.known[piece] = array("I", ids).tobytes()
         return packed
 
+    def forget(self) -> None:
+        """Empties what is only kept for speed: a worker process outlives its task."""
+        self.known.clear()
+        self.v._stable.clear()
+
     def encode(self, text: str) -> array:
         known, piece = self.known, self.piece
         out = array("I")
@@ -168,7 +193,7 @@ def encode(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
         c = codec(name)
         return lambda keys, texts: (keys, [pa.array(c.encode(t or ""), pa.int32()).to_pylist() for t in texts])
 
-    return map_rows(docs, ["doc_id", "text"], make, pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]), "doc_id long, ids array<int>")
+    return map_rows(docs, ["doc_id", "text"], make, pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]), "doc_id long, ids array<int>", lambda: codec(name).forget())
 
 
 def decode(encoded: DataFrame, name: str = VOCABULARY) -> DataFrame:
@@ -197,7 +222,7 @@ def op6(spark, docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
 
         return lambda keys, texts: tuple(zip(*map(one, keys, texts)))
 
-    return map_rows(docs, ["doc_id", "text"], make, schema, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_rows(docs, ["doc_id", "text"], make, schema, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: codec(name).forget())
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,8 +12,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table is broadcast only when its counted rows stay below this; beyond it the join shuffles.
+#: A table is broadcast only when its counted rows, and those times the bytes of a row, stay below these; beyond them the
+#: join shuffles.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
+
+#: Bytes of an Arrow batch on its way to a Python worker, and rows that a worker turns into Python objects at once.
+BATCH_BYTES = 8 << 20
+SLICE = 256
 
 #: `[^\x20\x09-\x0D]+` is a word for the mixing and join operators.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -25,10 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one is set only where none is (tests, local mode)."""
+    """The folder all executors share; a temporary one is set only in local mode, where one machine does all the work."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leadloom-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="leadloom-ckpt-"))
     return sc.getCheckpointDir()
 
 
@@ -38,9 +47,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_WIDTH = {"boolean": 1, "tinyint": 1, "int": 4, "float": 4, "bigint": 8, "double": 8}
+
+
 def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Broadcast hint behind a count; a larger side is left to Spark's shuffle joins (skew handled by AQE)."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+    """Broadcast hint behind a count and the bytes of its rows (measured where a column has no fixed width); a larger side
+    is left to Spark's shuffle joins (skew handled by AQE)."""
+    loose = [c for c, t in df.dtypes if t not in _WIDTH]
+    size = sum(8 + _WIDTH.get(t, 0) for _, t in df.dtypes)
+    if loose:
+        text = sum((F.coalesce(F.length(F.to_json(F.struct(F.col(f"`{c}`")))), F.lit(0)) for c in loose), F.lit(0))
+        found = df.agg(F.count("*"), F.coalesce(F.sum(text), F.lit(0))).first()
+        rows, more = found[0], found[1]
+    else:
+        rows, more = df.count() if rows is None else rows, 0
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and rows * size + more <= BROADCAST_BYTES else df
 
 
 def ascii_lower(c: Column) -> Column:
@@ -60,23 +81,36 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable], schema: pa.Schema, spark_schema: str) -> DataFrame:
-    """mapInArrow over `columns`: make() builds, once a task, a function from column lists to output lists.
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
+    """mapInArrow with batches bounded in bytes, for which the session is set to BATCH_BYTES."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, ddl)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, so that only those are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable], schema: pa.Schema, spark_schema: str, done: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow over `columns`: make() builds, once a task, a function from column lists to output lists; done() ends it.
 
-    Batches hold as many rows as Spark's Arrow limits allow, so memory is bounded by a batch.
+    Memory is bounded by an Arrow batch of BATCH_BYTES (or one row) and the Python objects of SLICE rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                out = f(*[part.column(i).to_pylist() for i in range(len(columns))])
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, schema.types, strict=True)], schema=schema)
+        for part in pieces(batches):
+            out = f(*[part.column(i).to_pylist() for i in range(len(columns))])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, schema.types, strict=True)], schema=schema)
         del f
+        if done is not None:
+            done()
         release()
 
-    return df.select(*columns).mapInArrow(run, spark_schema)
+    return in_arrow(df.select(*columns), run, spark_schema)
 
 
 def components(edges: DataFrame) -> DataFrame:

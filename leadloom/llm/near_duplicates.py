@@ -4,17 +4,16 @@ A document's set of word shingles is XOR-hashed into a parity sketch: every shin
 bit string, so the Hamming distance of two sketches is never above the size of the sets' symmetric difference. A
 sketch is kept in parts, each as the XOR of its toggled places' hashes. For a size band, the symmetric difference of
 linked sets is at most d, so of p > d parts at least p - d agree: documents that share a part's value are candidates.
-Candidates are verified on their whole sets.
+Candidates whose sketches are near enough are verified on their whole sets.
 
-What is emitted stays linear. Equal sets are one class. Classes that share a part's value form a candidate group by
-links that their whole sketches allow. Groups are then verified in blocks of bounded size, block against block, and a block
-pair returns the links that join its documents (a forest), not all pairs.
+Equal sets are one class. Links between classes are found in rounds, each of which emits rows in proportion to what it
+reads: first every set against one set of each part value it shares; then, where sets that share a value are still in
+different components, each one against the nearest set of another component, for as long as that joins any; last all
+pairs of different components that are left, so that no link is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,11 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, map_rows, maybe_broadcast, release
+from .common import components, cut, in_arrow, map_rows, maybe_broadcast, pieces, release
 
-BLOCK = 500_000  # shingles of a block: a verifying task holds two blocks at most (or two documents, if longer)
-GROUP = 4096  # sets of one key that are compared by their sketches
-WORD_CACHE = 200_000  # words whose hashes a worker keeps
+CHUNK = 200_000  # shingles of the sets that one task group verifies against their hub
+GROUP_BYTES = 8 << 20  # of sketches (a set counts as SMALLEST bytes at least) on either side of a compared group
+SMALLEST = 2048
+WORD_CACHE = 100_000  # words whose hashes a task keeps
+SEEN = 100_000  # sets and texts that a task knows again
 _M1, _M2, _K = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 _S33, _S32 = np.uint64(33), np.uint64(32)
 
@@ -70,9 +71,9 @@ class Bands:
     """Size bands for links of at least `percent` per cent: band b holds sizes start[b] to start[b + 1] - 1, and a
     document's partner that isn't smaller is in the same or the next band. A band is a quarter wide at least."""
 
-    def __init__(self, percent: int, largest: int = 1 << 26):
+    def __init__(self, percent: int):
         self.percent, start = percent, [1]
-        while start[-1] <= largest:
+        while start[-1] <= 1 << 40:  # beyond any text that fits a row
             start.append(max(start[-1] + 1, start[-1] * 100 // percent + 1, start[-1] * 5 // 4))
         self.start = np.array(start, np.int64)
 
@@ -121,20 +122,36 @@ def bit_sketches(hashes: np.ndarray, bands: Bands) -> tuple[bytes | None, bytes
 
 
 def sketch(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, row_id, n, fp, fp2, keys, even, odd): a row for each document; equal sets have equal (fp, fp2, n)."""
+    """(doc_id, row_id, n, fp, fp2, keys, even, odd): a row for each document; equal sets have equal (fp, fp2, n).
+
+    A task gives the keys and sketches of a set once, as a partial aggregate would: rows whose set it has just seen
+    have none. So copies cost keys by task, not by row.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("row_id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("keys", pa.list_(pa.int64())), ("even", pa.binary()), ("odd", pa.binary())])
 
     def make():
         shingles, bands = Shingles(k), Bands(percent)
+        texts: dict[bytes, tuple[int, int, int]] = {}
+        sets: set[tuple[int, int]] = set()
 
         def one(doc_id, row_id, text):
+            name = xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass"))
+            if name in texts:
+                return doc_id, row_id, *texts[name], [], None, None
             h = shingles(text)
-            if not len(h):
-                return doc_id, row_id, 0, 0, 0, [], None, None
-            with np.errstate(over="ignore"):
-                two = np.array([mix(h ^ _K).sum(dtype=np.uint64) + np.uint64(len(h)), np.bitwise_xor.reduce(mix(h ^ _M1)) + np.uint64(len(h))])
-            fp = mix(two).view(np.int64)
-            return doc_id, row_id, len(h), int(fp[0]), int(fp[1]), part_keys(h, bands), *bit_sketches(h, bands)
+            n, fp = len(h), (0, 0)
+            if n:
+                with np.errstate(over="ignore"):
+                    two = np.array([mix(h ^ _K).sum(dtype=np.uint64) + np.uint64(n), np.bitwise_xor.reduce(mix(h ^ _M1)) + np.uint64(n)])
+                fp = tuple(mix(two).view(np.int64).tolist())
+            if len(texts) >= SEEN:
+                texts.clear()
+                sets.clear()
+            texts[name] = (n, *fp)
+            if not n or fp in sets:
+                return doc_id, row_id, n, *fp, [], None, None
+            sets.add(fp)
+            return doc_id, row_id, n, *fp, part_keys(h, bands), *bit_sketches(h, bands)
 
         return lambda *columns: tuple(zip(*map(one, *columns)))
 
@@ -181,156 +198,200 @@ def sharing(rows: DataFrame) -> DataFrame:
             yield out(part, first[0], [key], [first[1]], [center])
         release()
 
-    found = cut(keys.mapInArrow(link, "part long, first long, key long, u long, v long"))
+    found = cut(in_arrow(keys, link, "part long, first long, key long, u long, v long"))
     before = Window.orderBy("part")  # one row for each partition
     ends = found.where("part >= 0").withColumn("left_key", F.lag("key").over(before)).withColumn("left", F.lag("v").over(before))
     return found.where("part < 0").select("key", "u", "v").unionByName(ends.where("left_key = first AND left <> u").select(F.col("first").alias("key"), F.col("left").alias("u"), F.col("u").alias("v")))
 
 
-def candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """(u, v) of set fingerprints: links that connect all pairs of sets that share a key and whose sketches are no
-    farther apart than a link's sets can be (so documents that only share a passage stay apart).
+def row_id():
+    """A row's identity for joins: rows of one id with different texts stay apart, and null ids are no trouble."""
+    return F.xxhash64("doc_id", "text")
 
-    The sets of a key are compared in one group while they are at most GROUP; those of a larger key keep their links to
-    the first one, which connect more, never less.
-    """
-    found = sharing(rows)
-    members = found.select("key", F.col("v").alias("fp")).union(found.select("key", F.col("u").alias("fp"))).distinct()
-    large = cut(members.groupBy("key").count().where(F.col("count") > GROUP).select("key"))
-    big = large.count()
-    own = rows.groupBy("fp").agg(F.first("n").alias("n"), F.first("even").alias("even"), F.first("odd").alias("odd"))
-    small = members.join(maybe_broadcast(large, big), "key", "left_anti").join(own, "fp")
-    small = small.select("key", "fp", "n", F.when(F.col("key").bitwiseAND(F.lit(1)) == 0, F.col("even")).otherwise(F.col("odd")).alias("bits"))
-    small = small.repartition("key").sortWithinPartitions("key", "fp")
-
-    def near(batches):
-        held: list[tuple] = []
 
-        def links():
-            x = np.frombuffer(b"".join(r[3] for r in held), np.uint64).reshape(len(held), -1)
-            n = np.array([r[2] for r in held], np.int64)
-            group, u, v = np.arange(len(held)), [], []
-            for i in range(1, len(held)):
-                apart = np.bitwise_count(x[:i] ^ x[i]).sum(1, dtype=np.int64)
-                close = np.flatnonzero((apart * (100 + percent) <= (n[:i] + n[i]) * (100 - percent)) & (group[:i] != group[i]))
-                if len(close):
-                    labels, at = np.unique(group[close], return_index=True)
-                    u += [held[i][1]] * len(labels)
-                    v += [held[int(close[j])][1] for j in at]
-                    group[np.isin(group, labels)] = group[i]
-            return u, v
-
-        for batch in batches:
-            u, v = [], []
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if held and row[0] != held[0][0]:
-                    a, b = links()
-                    u, v, held = u + a, v + b, []
-                held.append(row)
-            if u:
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-        if held:
-            u, v = links()
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-            held = []
-        release()
+def _near(x: np.ndarray, y: np.ndarray, nx, ny, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distances of the sketches, whether sets of these sizes may link at such a distance)."""
+    apart = np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
+    return apart, apart * (100 + percent) <= (nx + ny) * (100 - percent)
 
-    edges = small.mapInArrow(near, "u long, v long")
-    if big:
-        edges = edges.unionByName(found.join(maybe_broadcast(large, big), "key", "left_semi").select("u", "v"))
-    return edges.distinct()
 
+def _band_bits():
+    return F.when(F.col("key").bitwiseAND(F.lit(1)) == 0, F.col("even")).otherwise(F.col("odd"))
 
-def row_id():
-    """A row's identity for joins: rows of one id with different texts stay apart, and null ids are no trouble."""
-    return F.xxhash64("doc_id", "text")
 
+def starred(found: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """(u, v): for each set v the nearest of the sets u that it is linked to by a shared key, if near enough."""
+    pairs = found.select("u", "v", F.col("key").bitwiseAND(F.lit(1)).alias("key")).distinct()
+    for side in ("u", "v"):
+        pairs = pairs.join(bits.select(F.col("fp").alias(side), F.col("n").alias(f"n{side}"), "even", "odd"), side)
+        pairs = pairs.withColumn(f"b{side}", _band_bits()).drop("even", "odd")
+
+    def run(batches):
+        for b in pieces(batches, 4096):
+            u, v, nu, nv, x, y = (b.column(i).to_pylist() for i in range(6))
+            out = []
+            for i in range(len(u)):
+                apart, near = _near(np.frombuffer(x[i], np.uint64), np.frombuffer(y[i], np.uint64), nu[i], nv[i], percent)
+                if near:
+                    out.append((u[i], v[i], int(apart)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["u", "v", "apart"])
+        release()
+
+    near = in_arrow(pairs.select("u", "v", "nu", "nv", "bu", "bv"), run, "u long, v long, apart long")
+    return near.groupBy("v").agg(F.min(F.struct("apart", "u")).alias("best")).select("best.u", "v")
 
-def forest(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
-    """Links that join what all links (of different sides, where given) would join. Exact: shingles in common are
-    counted through an inverted index of the sets at hand."""
-    size = np.array([len(s) for s in sets], np.int64)
-    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    owner = np.repeat(np.arange(len(sets)), size)
-    often = np.bincount(token)
-    keep = often[token] > 1
-    token, owner = token[keep], owner[keep]
-    order = np.argsort(token, kind="stable")
-    postings, ends = owner[order], np.cumsum(np.bincount(token, minlength=len(often)))
-    begins = ends - np.bincount(token, minlength=len(often))
-    at = np.searchsorted(owner, np.arange(len(sets) + 1))
-    group, out = np.arange(len(sets)), []
-    for r in range(1, len(sets)):
-        mine = token[at[r] : at[r + 1]]
-        if not len(mine):
-            continue
-        common = np.bincount(np.concatenate([postings[begins[t] : ends[t]] for t in mine]), minlength=len(sets))[:r]
-        linked = 100 * common >= percent * (size[r] + size[:r] - common)
-        if side is not None:
-            linked &= side[:r] != side[r]
-        linked = np.flatnonzero(linked)
-        if len(linked):
-            labels, first = np.unique(group[linked], return_index=True)
-            for label, s in zip(labels, linked[first]):
-                if label != group[r]:
-                    out.append((r, int(s)))
-                    group[group == label] = group[r]
-    return out
-
-
-def _verify(k: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (label, a, b, block, class, text) sorted by (label, a, b) to links (u, v) of classes."""
+
+def across(members: DataFrame, labels: DataFrame, percent: int, every: bool) -> DataFrame:
+    """(u, v, apart) of sets that share a key but no component, and are near enough: of each u the nearest, or every v.
+
+    Members (key, fp, n, bits) of a key are one component, that of its first set, and the rest. Both are dealt into
+    blocks of bounded bytes by hash, and the blocks of the rest meet all others. So a key that very many sets share is
+    many groups, and while nearly all of its sets are of one component their work is linear.
+    """
+    m = members.join(labels, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    size = F.greatest(F.length("bits"), F.lit(SMALLEST))
+    keys = m.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("comp", "fp").alias("main"), F.sum(size).alias("bytes"))
+    keys = cut(keys.where("low <> high").select("key", "main", "bytes"))
+    m = m.join(maybe_broadcast(keys), "key").withColumn("rest", F.col("comp") != F.col("main"))
+    inside = m.groupBy("key").agg(F.sum(F.when(F.col("rest"), size).otherwise(F.lit(0))).alias("rest_bytes"))
+    m = m.join(maybe_broadcast(cut(inside)), "key")
+    blocks = lambda c: F.ceil(c / GROUP_BYTES).cast("int")
+    m = m.withColumn("rests", blocks(F.col("rest_bytes"))).withColumn("mains", blocks(F.col("bytes") - F.col("rest_bytes")))
+    m = m.withColumn("block", F.pmod(F.xxhash64("fp"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("mains"))).cast("int"))
+    # A group is (a block of the rest, another block): numbers from 0 are main blocks, from -1 down blocks of the rest.
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    to_rest = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda x: F.when(F.col("rest"), pair(F.least(x, F.col("block")), -1 - F.greatest(x, F.col("block")))).otherwise(pair(x, F.col("block"))))
+    to_main = F.when(F.col("rest"), F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda x: pair(F.col("block"), x))).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
+    work = m.withColumn("pair", F.explode(F.concat(to_rest, to_main))).select("key", "pair.a", "pair.b", F.col("rest").cast("int").alias("rest"), "block", "fp", "comp", "n", "bits")
+    work = work.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
 
     def run(batches):
-        shingles = Shingles(k)
         held: list[tuple] = []
-        key = None
 
         def links():
-            one = {r[4]: r for r in held}
-            rows = [one[c] for c in sorted(one)]
-            if len(rows) < 2:
-                return None
-            side = np.array([r[3] for r in rows]) if rows[0][1] != rows[0][2] else None
-            found = forest([shingles(r[5]) for r in rows], side, percent)
-            return pa.RecordBatch.from_arrays([pa.array([rows[i][4] for i, _ in found], pa.int64()), pa.array([rows[j][4] for _, j in found], pa.int64())], names=["u", "v"]) if found else None
-
-        for batch in batches:
+            """Rows of the group's first block against the others; within one block against those after."""
+            one = held[0][2] == -1 - held[0][1]
+            first = [r for r in held if r[3] and r[4] == held[0][1]]
+            other = first if one else [r for r in held if not (r[3] and r[4] == held[0][1])]
+            if not first or not other:
+                return
+            y = np.frombuffer(b"".join(r[8] for r in other), np.uint64).reshape(len(other), -1)
+            n, comp, fp = (np.array([r[c] for r in other], np.int64) for c in (7, 6, 5))
+            for r in first:
+                apart, near = _near(y, np.frombuffer(r[8], np.uint64), n, r[7], percent)
+                at = np.flatnonzero(near & (comp != r[6]))
+                if one and every:
+                    at = at[fp[at] < r[5]]
+                if len(at) and not every:
+                    at = at[[np.lexsort((fp[at], apart[at]))[0]]]
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[5]] * len(at), pa.int64()), pa.array(fp[at]), pa.array(apart[at])], names=["u", "v", "apart"])
+
+        for batch in pieces(batches, 4096):
             for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if row[:3] != key:
-                    if held and (out := links()) is not None:
-                        yield out
-                    held, key = [], row[:3]
+                if held and row[:3] != held[0][:3]:
+                    yield from links()
+                    held = []
                 held.append(row)
-        if held and (out := links()) is not None:
-            yield out
+        if held:
+            yield from links()
         held = []
         release()
 
-    return run
+    near = in_arrow(work, run, "u long, v long, apart long")
+    if not every:
+        return near.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("best")).select(F.greatest("u", "best.v").alias("u"), F.least("u", "best.v").alias("v")).distinct()
+    return near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def verified(docs: DataFrame, sets: DataFrame, again: DataFrame | None, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the pairs (u, v) of sets that link, by the whole texts of one row of each set (fp, n, own).
+
+    v's text goes to its hub u, in chunks of CHUNK shingles that each get the hub's text too; a task walks through a chunk
+    with two sets in memory. Rows that are repeated (`again` has their row_id) are made one first.
+    """
+    row = sets.select("fp", "n", F.col("own.row_id").alias("row_id"))
+    v = pairs.join(row.select(F.col("fp").alias("v"), F.col("n").alias("nv"), F.col("row_id").alias("row_v")), "v")
+    hubs = v.groupBy("u").agg(F.ceil(F.sum("nv") / CHUNK).cast("int").alias("chunks"))
+    v = v.join(hubs, "u").select(F.col("row_v").alias("row_id"), F.col("u").alias("hub"), F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("role"), F.col("v").alias("fp"))
+    u = hubs.join(row, hubs["u"] == row["fp"]).select("row_id", F.col("u").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"), "fp")
+    need = maybe_broadcast(cut(v.unionByName(u)))
+    rows = docs.select(row_id().alias("row_id"), "text")
+    if again is not None:
+        single = rows.join(maybe_broadcast(again), "row_id", "left_anti")
+        rows = single.unionByName(rows.join(maybe_broadcast(again), "row_id", "left_semi").dropDuplicates(["row_id"]))
+    work = rows.join(need, "row_id").select("hub", "chunk", "role", "fp", "text").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "role", "fp")
+
+    def run(batches):
+        shingles, at, base = Shingles(k), None, None
+        for b in pieces(batches):
+            out = []
+            for hub, chunk, role, fp, text in zip(*[c.to_pylist() for c in b.columns]):
+                mine = shingles(text)
+                if role == 0:
+                    at, base = (hub, chunk), mine
+                    continue
+                if at != (hub, chunk):
+                    raise ValueError("a set to verify came without its hub")
+                common = len(np.intersect1d(base, mine, assume_unique=True))
+                if 100 * common >= percent * (len(base) + len(mine) - common):
+                    out.append((hub, fp))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["u", "v"])
+        shingles.known.clear()
+        release()
+
+    return in_arrow(work, run, "u long, v long")
+
+
+def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(fp, comp) of the sets with links, after further links (u, v) of sets."""
+    if labels is None:
+        return cut(components(links).select(F.col("node").alias("fp"), F.col("label").alias("comp")))
+    for side in ("u", "v"):
+        links = links.join(labels.select(F.col("fp").alias(side), F.col("comp").alias(f"c{side}")), side, "left")
+    new = cut(components(links.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))))
+    both = labels.join(new.withColumnRenamed("node", "comp"), "comp", "left").select("fp", F.coalesce("label", "comp").alias("comp"))
+    fresh = new.join(labels, new["node"] == labels["comp"], "left_anti").select(F.col("node").alias("fp"), F.col("label").alias("comp"))
+    return cut(both.unionByName(fresh))
 
 
 def classes_of(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): rows (doc_id, row_id, n, fp, fp2) of all documents; classes (fp, fp2, n, component_id, keeper)
     of the sets with shingles: component_id is the smallest doc_id reachable by links, keeper that row's row_id."""
-    rows = cut(sketch(docs, k, percent))
+    every = cut(sketch(docs, k, percent))
+    rows = every.select("doc_id", "row_id", "n", "fp", "fp2")
     own = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("low"), F.col("row_id"))
-    classes = cut(rows.where("n > 0").groupBy("fp", "fp2", "n").agg(F.min(own).alias("own")).withColumn("cls", F.monotonically_increasing_id()))
-    groups = components(candidates(rows, percent))
-    members = cut(classes.join(groups, classes["fp"] == groups["node"]).select("cls", "n", "label", F.col("own.row_id").alias("row_id")))
-    blocks = members.groupBy("label").agg(F.sum("n").alias("total")).select("label", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
-    spread = members.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    texts = docs.select(row_id().alias("row_id"), "text").join(maybe_broadcast(spread), "row_id")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("a"), F.greatest(x, F.col("block")).alias("b")))
-    work = texts.withColumn("pair", F.explode(pairs)).select("label", "pair.a", "pair.b", "block", "cls", "text")
-    work = work.repartition("label", "a", "b").sortWithinPartitions("label", "a", "b")
-    links = cut(work.mapInArrow(_verify(k, percent), "u long, v long"))
-    joined = components(links)
-    own = classes.join(joined, classes["cls"] == joined["node"], "left").withColumn("label", F.coalesce("label", "cls"))
-    best = own.where("node IS NOT NULL").groupBy("label").agg(F.min("own").alias("best"))
-    own = own.join(best, "label", "left").withColumn("best", F.coalesce("best", "own"))
+    classes = cut(rows.where("n > 0").groupBy("fp", "fp2", "n").agg(F.min(own).alias("own")))
+    again = cut(rows.groupBy("row_id").count().where("count > 1").select("row_id"))
+    again = None if again.isEmpty() else again
+    found = sharing(every)
+    sharers = cut(found.select("key", F.col("v").alias("fp")).union(found.select("key", F.col("u").alias("fp"))).distinct())
+    asked = maybe_broadcast(cut(sharers.select("fp").distinct()))
+    bits = cut(every.where("even IS NOT NULL OR odd IS NOT NULL").join(asked, "fp", "left_semi").groupBy("fp").agg(F.first("n").alias("n"), F.first("even", True).alias("even"), F.first("odd", True).alias("odd")))
+    sets = cut(classes.join(asked, "fp", "left_semi").groupBy("fp").agg(F.first("n").alias("n"), F.min("own").alias("own")))
+
+    tested = cut(starred(found, bits, percent).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    labels = joined(None, cut(verified(docs, sets, again, tested, k, percent)))
+    members = sharers.join(bits, "fp").select("key", "fp", "n", _band_bits().alias("bits"))
+    every_pair = False
+    while True:
+        pairs = across(members, labels, percent, every_pair)
+        pairs = cut(pairs.join(tested, ["u", "v"], "left_anti"))
+        links = None if pairs.isEmpty() else cut(verified(docs, sets, again, pairs, k, percent))
+        some = links is not None and not links.isEmpty()
+        if some:
+            labels = joined(labels, links)
+        if every_pair:
+            break
+        tested = tested.unionByName(pairs)
+        every_pair = not some
+
+    mine = classes.join(labels, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    best = mine.groupBy("comp").agg(F.min("own").alias("best"))
     low = F.nullif(F.col("best.low"), F.lit((1 << 63) - 1))
-    return rows.select("doc_id", "row_id", "n", "fp", "fp2"), cut(own.select("fp", "fp2", "n", low.alias("component_id"), F.col("best.row_id").alias("keeper")))
+    return rows, cut(mine.join(best, "comp").select("fp", "fp2", "n", low.alias("component_id"), F.col("best.row_id").alias("keeper")))
 
 
 def join(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -352,15 +413,15 @@ def op5(spark, docs: DataFrame) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without all but one of each group linked at five words and 80 per cent.
 
-    The document with the smallest id stays; of equal rows one. Documents without words are all kept.
+    The document with the smallest id stays; of equal rows one. Documents without words are all kept. Columns come
+    out as they went in, whatever their names.
     """
-    found = cut(join(docs, 5, 80).where("keeper IS NOT NULL").select("row_id", "keeper"))
-    gone = found.where("row_id <> keeper").select("row_id").distinct()
-    twice = found.where("row_id = keeper").groupBy("row_id").count().where("count > 1").select("row_id")
-    rows = docs.withColumn("row_id", row_id())
-    rows = rows.join(maybe_broadcast(cut(gone)), "row_id", "left_anti")
-    twice = cut(twice)
-    if twice.isEmpty():
-        return rows.select(*docs.columns)
-    again = rows.join(maybe_broadcast(twice), "row_id", "left_semi").dropDuplicates(["row_id"])
-    return rows.join(maybe_broadcast(twice), "row_id", "left_anti").unionByName(again).select(*docs.columns)
+    found = cut(join(docs, 5, 80).where("keeper IS NOT NULL").select(F.col("row_id").alias("near_row"), "keeper"))
+    gone = found.where("near_row <> keeper").select("near_row").distinct()
+    twice = cut(found.where("near_row = keeper").groupBy("near_row").count().where("count > 1").select("near_row"))
+    rows = docs.select(row_id().alias("near_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
+    rows = rows.join(maybe_broadcast(cut(gone)), "near_row", "left_anti")
+    if not twice.isEmpty():
+        again = rows.join(maybe_broadcast(twice), "near_row", "left_semi").dropDuplicates(["near_row"])
+        rows = rows.join(maybe_broadcast(twice), "near_row", "left_anti").unionByName(again)
+    return rows.select("document.*")

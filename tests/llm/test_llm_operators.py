@@ -199,13 +199,28 @@ def test_join_against_all_pairs(spark, k, percent):
 
 
 def test_join_of_large_keys_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "GROUP", 5)
-    monkeypatch.setattr(near_duplicates, "BLOCK", 300)
-    r = random.Random(4)
-    words = [f"w{i}" for i in range(100)]
-    texts = {i: " ".join(w if r.random() > 0.004 else f"e{r.randint(0, 9)}" for w in words) for i in range(60)}
-    out = near_duplicates.join(docs(spark, [(i, t, "en", "a") for i, t in texts.items()]), 3, 90).collect()
-    assert {x["doc_id"]: x["component_id"] for x in out} == _clusters(texts, 3, 90)
+    monkeypatch.setattr(near_duplicates, "GROUP_BYTES", 5 * near_duplicates.SMALLEST)
+    monkeypatch.setattr(near_duplicates, "CHUNK", 300)
+    for seed, rate in ((4, 0.004), (5, 0.02)):  # most link; or hardly any do, but all share keys with many
+        r = random.Random(seed)
+        words = [f"w{i}" for i in range(100)]
+        texts = {i: " ".join(w if r.random() > rate else f"e{r.randint(0, 9)}" for w in words) for i in range(60)}
+        out = near_duplicates.join(docs(spark, [(i, t, "en", "a") for i, t in texts.items()]), 3, 90).collect()
+        assert {x["doc_id"]: x["component_id"] for x in out} == _clusters(texts, 3, 90)
+
+
+def test_join_of_a_row_repeated_very_often(spark):
+    text = " ".join(f"w{i}" for i in range(120))
+    rows = docs(spark, [(5, text, "en", "a")]).crossJoin(spark.range(100_000).select()).union(docs(spark, [(3, text + " more", "en", "b"), (4, "nothing alike here", "en", "b")]))
+    out = near_duplicates.op5(spark, rows).groupBy("doc_id", "n_shingles", "component_id").count().collect()
+    assert sorted(map(tuple, out)) == [(3, 119, 3, 1), (4, 1, 4, 1), (5, 118, 3, 100_000)]
+
+
+def test_join_stage_keeps_columns_of_any_name(spark):
+    d = docs(spark, ODD).withColumn("row_id", F.lit(7)).withColumn("near_row", F.lit("x")).withColumn("key", F.lit(1.5)).withColumn("document", F.lit(2))
+    out = near_duplicates.stage(spark, d, "")
+    assert out.dtypes == d.dtypes and sorted(tuple(map(str, x)) for x in out.collect()) == sorted({tuple(map(str, x)) for x in d.collect()})
+    assert near_duplicates.stage(spark, d.where("doc_id = 99"), "").collect() == []
 
 
 def test_join_stage_keeps_one_of_each_group(spark):
