@@ -301,7 +301,6 @@ def test_token_file_round_trip_and_damage(spark):
     import public_tokenizers
 
     t = Tokenizer.from_file(public_tokenizers.path(token_file.VOCABULARY))
-    t.encode_special_tokens = True
     rows = [(i * 3 % 50, f"Text number {i}, <|endoftext|> é " * (i % 7), "en", "a") for i in range(50)]
     out = {x["doc_id"]: x for x in token_file.op8(spark, docs(spark, rows)).collect()}
     start = 0
@@ -326,6 +325,21 @@ def test_token_file_against_the_library_as_it_comes(spark):
         start += len(ids)
 
 
+def test_token_file_is_smaller_than_zlib_and_splits_one_id(spark, monkeypatch):
+    rows = [x["text"] for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    ids = np.concatenate([np.array(token_file.library().encode(t), np.int64) for t in rows])
+    assert len(token_file.pack(ids)) < len(zlib.compress(ids.astype("<u2").tobytes()))
+    d = docs(spark, [(7, t, "en", "a") for t in ("x y z", None, "x y z", "b")] * 500)
+    made = token_file.write(d).collect()
+    assert len({m["part"] for m in made}) > 2 and sum(m["n_docs"] for m in made) == 2000
+    out = sorted((x["start"], x["n_tokens"], x["ids_crc32"]) for x in token_file.op8(spark, d).collect())
+    start = 0
+    for text, (at, n, crc) in zip([""] * 500 + ["b"] * 500 + ["x y z"] * 1000, out):
+        want = np.array([*token_file.library().encode(text), 0], "<u4")
+        assert (at, n, crc) == (start, len(want), zlib.crc32(want.tobytes()))
+        start += n
+
+
 def _slow_crc(data: bytes) -> int:
     c = 0
     for b in data:
