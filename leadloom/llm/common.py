@@ -114,23 +114,24 @@ def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable], sc
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) for every node of `edges` (u, v: long): label is the smallest node id reachable.
+    """(node, label) for every node of `edges` (u, v: long) that has a link: label is the smallest node id reachable.
 
     Alternating large-star and small-star rounds; every round is two aggregations and joins on the node id
-    (aggregations combine before the shuffle, AQE splits hub nodes in the joins) and ends in a checkpoint.
+    (aggregations combine before the shuffle, AQE splits hub nodes in the joins) and ends in a checkpoint. A graph
+    small enough to broadcast is joined without shuffles and kept in few partitions.
     """
     e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    nodes = cut(e.select(F.col("u").alias("node")).union(e.select(F.col("v").alias("node"))).distinct())
     seen = None
     while True:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == seen:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(e.select("v", "v").distinct())
+        seen, few = now, now[0] <= BROADCAST_ROWS
+        near = F.broadcast if few else lambda t: t  # two numbers a row
+        both = e.coalesce(4) if few else e
+        both = both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(near(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
+        small = large.join(near(down), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
         e = cut(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == seen:
-            break
-        seen = now
-    return nodes.join(e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))

@@ -249,15 +249,14 @@ def across(members: DataFrame, labels: DataFrame, percent: int, every: bool) ->
     blocks of bounded bytes by hash, and the blocks of the rest meet all others. So a key that very many sets share is
     many groups, and while nearly all of its sets are of one component their work is linear.
     """
-    m = members.join(labels, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    m = members.join(maybe_broadcast(labels), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     size = F.greatest(F.length("bits"), F.lit(SMALLEST))
-    keys = m.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("comp", "fp").alias("main"), F.sum(size).alias("bytes"))
-    keys = cut(keys.where("low <> high").select("key", "main", "bytes"))
+    parts = m.groupBy("key", "comp").agg(F.min("fp").alias("first"), F.sum(size).alias("bytes"))
+    keys = parts.groupBy("key").agg(F.count("*").alias("comps"), F.min_by("comp", "first").alias("main"), F.min_by("bytes", "first").alias("main_bytes"), F.sum("bytes").alias("bytes"))
+    keys = cut(keys.where("comps > 1").select("key", "main", "main_bytes", (F.col("bytes") - F.col("main_bytes")).alias("rest_bytes")))
     m = m.join(maybe_broadcast(keys), "key").withColumn("rest", F.col("comp") != F.col("main"))
-    inside = m.groupBy("key").agg(F.sum(F.when(F.col("rest"), size).otherwise(F.lit(0))).alias("rest_bytes"))
-    m = m.join(maybe_broadcast(cut(inside)), "key")
     blocks = lambda c: F.ceil(c / GROUP_BYTES).cast("int")
-    m = m.withColumn("rests", blocks(F.col("rest_bytes"))).withColumn("mains", blocks(F.col("bytes") - F.col("rest_bytes")))
+    m = m.withColumn("rests", blocks(F.col("rest_bytes"))).withColumn("mains", blocks(F.col("main_bytes")))
     m = m.withColumn("block", F.pmod(F.xxhash64("fp"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("mains"))).cast("int"))
     # A group is (a block of the rest, another block): numbers from 0 are main blocks, from -1 down blocks of the rest.
     pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
@@ -349,11 +348,12 @@ def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """(fp, comp) of the sets with links, after further links (u, v) of sets."""
     if labels is None:
         return cut(components(links).select(F.col("node").alias("fp"), F.col("label").alias("comp")))
+    known = maybe_broadcast(labels)
     for side in ("u", "v"):
-        links = links.join(labels.select(F.col("fp").alias(side), F.col("comp").alias(f"c{side}")), side, "left")
+        links = links.join(known.select(F.col("fp").alias(side), F.col("comp").alias(f"c{side}")), side, "left")
     new = cut(components(links.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))))
-    both = labels.join(new.withColumnRenamed("node", "comp"), "comp", "left").select("fp", F.coalesce("label", "comp").alias("comp"))
-    fresh = new.join(labels, new["node"] == labels["comp"], "left_anti").select(F.col("node").alias("fp"), F.col("label").alias("comp"))
+    both = labels.join(maybe_broadcast(new.withColumnRenamed("node", "comp")), "comp", "left").select("fp", F.coalesce("label", "comp").alias("comp"))
+    fresh = new.join(known.select("fp"), new["node"] == F.col("fp"), "left_anti").select(F.col("node").alias("fp"), F.col("label").alias("comp"))
     return cut(both.unionByName(fresh))
 
 
@@ -374,11 +374,11 @@ def classes_of(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFr
 
     tested = cut(starred(found, bits, percent).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     labels = joined(None, cut(verified(docs, sets, again, tested, k, percent)))
-    members = sharers.join(bits, "fp").select("key", "fp", "n", _band_bits().alias("bits"))
+    members = cut(sharers.join(bits, "fp").select("key", "fp", "n", _band_bits().alias("bits")))
     every_pair = False
     while True:
         pairs = across(members, labels, percent, every_pair)
-        pairs = cut(pairs.join(tested, ["u", "v"], "left_anti"))
+        pairs = cut(pairs.join(maybe_broadcast(tested), ["u", "v"], "left_anti"))
         links = None if pairs.isEmpty() else cut(verified(docs, sets, again, pairs, k, percent))
         some = links is not None and not links.isEmpty()
         if some:
@@ -388,7 +388,7 @@ def classes_of(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFr
         tested = tested.unionByName(pairs)
         every_pair = not some
 
-    mine = classes.join(labels, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    mine = classes.join(maybe_broadcast(labels), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     best = mine.groupBy("comp").agg(F.min("own").alias("best"))
     low = F.nullif(F.col("best.low"), F.lit((1 << 63) - 1))
     return rows, cut(mine.join(best, "comp").select("fp", "fp2", "n", low.alias("component_id"), F.col("best.row_id").alias("keeper")))
