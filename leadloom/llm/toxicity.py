@@ -1,10 +1,11 @@
 """Toxicity by weak supervision.
 
-Terms (words and word beginnings, which occur or are dense) that lean towards either label are mined from labelled
-documents. The strongest are
-voters, beside a hand-written lexicon. A generative model of the votes given the unseen true label, a tree of pairwise
-dependences for each label (so that a voter's accuracy and its correlation with another are both estimated), is fitted
-to all documents by expectation maximisation. A linear classifier over all terms is trained on the model's posteriors.
+Voters vote for a label or abstain: hand-written lexicons and patterns (see toxicity_voters), single terms (words and
+word beginnings, that occur or are dense) that lean towards either label in labelled documents, and the label itself
+where there is one. A generative model of the votes given the unseen true label, a tree of pairwise dependences for each
+label (so that each voter's accuracy, its abstentions and its correlation with another are estimated), is fitted to
+all documents that may be learned from by expectation maximisation. A linear classifier over voters and terms is
+trained on the model's posteriors.
 """
 
 from __future__ import annotations
@@ -18,24 +19,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_broadcast, release, table
+from .common import cut, in_arrow, maybe_broadcast, pieces, release, table
 from .near_duplicates import row_id
+from .toxicity_voters import OF_WORD, VOTERS, Text, cast
 
-LABELLED = 24_000  # labelled documents that terms are mined from, at most about
+LABELLED = 24_000  # labelled documents that terms are mined from, at most about, half of each label where there are so many
 FITTED = 30_000  # documents that the classifier is trained on, at most about
 TERMS = 2000  # mined terms
-VOTERS = 61  # of which vote; with the lexicon's two votes they fit a 63-bit pattern
+MINED = 60  # of which vote too
 BEGINNINGS = (3, 4, 5, 6)  # lengths of word beginnings
 DENSE = 0.006  # share of a text's words at which a term is dense
-ROUNDS = 3  # of expectation maximisation
-SURE = 0.99  # posterior of a labelled row's label
+ROUNDS = 4  # of expectation maximisation
+TRUST = 0.98  # accuracy of the given labels
 THRESHOLD = 0.3
 SCALE = 1 << 20  # posteriors are summed as whole numbers, so that reruns agree
 
-LEXICON = frozenset("idiot idiots moron morons stupid loser losers scum trash garbage pathetic worthless disgusting clown dumb fool jerk ugly hate shut kill bastard bitch crap damn arschloch dumm idiotin scheiße hass connard idiote stupide merde haine salaud estúpido idiota basura mierda odio imbécil cabrón".split())
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE = 200_000  # words whose terms a task keeps
-SLICE = 256  # documents counted or scored at once, which bounds a task's memory
+_CACHE = 100_000  # words whose terms a task keeps
 
 
 def terms_of(word: str) -> list[str]:
@@ -43,14 +43,17 @@ def terms_of(word: str) -> list[str]:
     return [word] + [word[:n] + "*" for n in BEGINNINGS if len(word) > n]
 
 
-def occurring(text: str | None, look: Callable[[str], Iterable]) -> set:
-    """Terms of a whole text by look(word), and (term, True) for those that are dense: DENSE of all words and twice at least."""
-    words = _WORD.findall((text or "").lower())
+def occurring(words: Counter, look: Callable[[str], Iterable]) -> Counter:
+    """How often each of the terms look(word) occurs among a text's words."""
     n: Counter = Counter()
-    for word, times in Counter(words).items():
+    for word, times in words.items():
         for t in look(word):
             n[t] += times
-    return {*n, *((t, True) for t, times in n.items() if times > 1 and times >= DENSE * len(words))}
+    return n
+
+
+def is_dense(times: int, words: int) -> bool:
+    return times > 1 and times >= DENSE * words
 
 
 def held_out() -> Column:
@@ -72,18 +75,21 @@ def mine(docs: DataFrame, labels: DataFrame) -> list[str]:
 
     Counts are made by task and summed by term in a shuffle; the driver gets the best TERMS only.
     """
-    some = cut(labels.where(_share(LABELLED, labels.count())))
+    of = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
+    some = cut(labels.where(F.when(F.col("toxic") == 1, _share(LABELLED // 2, of.get(1, 0))).otherwise(_share(LABELLED // 2, of.get(0, 0)))))
     rows = docs.select("doc_id", "text").join(maybe_broadcast(some), "doc_id").select("text", "toxic")
 
     def count(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, SLICE):
-                part = b.slice(at, SLICE)
-                n = (Counter(), Counter())
-                for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    n[toxic].update(t if isinstance(t, str) else t[0] + "^" for t in occurring(text, terms_of))
-                keys = sorted({*n[0], *n[1]})
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([n[1][k] for k in keys], pa.int64()), pa.array([n[0][k] for k in keys], pa.int64())], names=["term", "pos", "neg"])
+        for part in pieces(batches):
+            n = (Counter(), Counter())
+            for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                words = Counter(_WORD.findall((text or "").lower()))
+                size = words.total()
+                for t, times in occurring(words, terms_of).items():
+                    n[toxic][t] += 1
+                    n[toxic][t + "^"] += is_dense(times, size)
+            keys = sorted({k for c in n for k, x in c.items() if x})
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([n[1][k] for k in keys], pa.int64()), pa.array([n[0][k] for k in keys], pa.int64())], names=["term", "pos", "neg"])
         release()
 
     totals = {r["toxic"]: r["count"] for r in some.groupBy("toxic").count().collect()}
@@ -91,50 +97,59 @@ def mine(docs: DataFrame, labels: DataFrame) -> list[str]:
     if not p or not q:
         return []
     odds = F.log((F.col("pos") + 0.5) / (p + 1.0)) - F.log((F.col("neg") + 0.5) / (q + 1.0))
-    found = rows.mapInArrow(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos + neg >= 5").withColumn("odds", odds)
+    found = in_arrow(rows, count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos + neg >= 5").withColumn("odds", odds)
     toxic = found.where("odds > 1").orderBy(F.desc(F.round(F.col("odds") * F.sqrt("pos"), 9)), "term").limit(TERMS * 3 // 4).collect()
     clean = found.where("odds < -1").orderBy(F.round(F.col("odds") * F.sqrt("neg"), 9), "term").limit(TERMS // 4).collect()
     return [r["term"] for r in toxic] + [r["term"] for r in clean]
 
 
 def features(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(doc_id, row_id, terms array<int>) of every whole text: numbers of the terms that occur (0: a lexicon word, 1: such words
-    densely, then the mined terms; a term's dense form is marked ^)."""
-    number = {t: i + 2 for i, t in enumerate(terms)}
+    """(doc_id, row_id, terms array<int>) of every whole text: numbers of the hand-written voters that vote, then those of
+    the mined terms that occur (a term's dense form is marked ^), in order."""
+    first = len(VOTERS)
+    number = {t: first + i for i, t in enumerate(terms)}
 
     def run(batches):
-        known: dict[str, tuple[str, ...]] = {}
+        known: dict[str, tuple] = {}
 
-        def look(word: str) -> tuple[str, ...]:
+        def look(word: str) -> tuple:
             got = known.get(word)
             if got is None:
                 if len(known) >= _CACHE:
                     known.clear()
-                got = known[word] = tuple(t for t in terms_of(word) if t in number or t + "^" in number) + ("",) * (word in LEXICON)
+                got = known[word] = (*(t for t in terms_of(word) if t in number or t + "^" in number), *OF_WORD.get(word, ()))
             return got
 
         def numbers(text: str | None) -> list[int]:
-            found = ((t, 0) if isinstance(t, str) else (t[0], 1) for t in occurring(text, look))
-            return sorted(x for x in (dense if t == "" else number.get(t + "^" * dense) for t, dense in found) if x is not None)
-
-        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+            lower = (text or "").lower()
+            words = Counter(_WORD.findall(lower))
+            size, n = words.total(), occurring(words, look)
+            out = cast(Text(lower, size, {t: x for t, x in n.items() if isinstance(t, int)}))
+            mined = [(t, x) for t, x in n.items() if isinstance(t, str)]
+            return out + sorted([number[t] for t, _ in mined if t in number] + [number[t + "^"] for t, x in mined if t + "^" in number and is_dense(x, size)])
+
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([numbers(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "row_id", "terms"])
         known.clear()
         release()
 
-    return docs.select(F.col("doc_id").cast("long"), "text", row_id().alias("row_id")).mapInArrow(run, "doc_id long, row_id long, terms array<int>")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), "text", row_id().alias("row_id")), run, "doc_id long, row_id long, terms array<int>")
 
 
-def _bits(pattern: np.ndarray, k: int) -> np.ndarray:
-    return ((pattern[:, None] >> np.arange(k)) & 1).astype(np.float64)
+def _ballots(votes: list[list[int]], k: int) -> np.ndarray:
+    """A row of 0 (abstains) and 1 (votes) for each list of voters."""
+    out = np.zeros((len(votes), k), np.int8)
+    out[np.repeat(np.arange(len(votes)), [len(v) for v in votes]), np.array([i for v in votes for i in v], np.int64)] = 1
+    return out
 
 
 class LabelModel:
     """P(label) and, for each label, P(vote | label, parent's vote) along a tree over the voters."""
 
-    def __init__(self, pairs: np.ndarray, totals: np.ndarray):
-        """pairs[c, i, j]: documents of label c for which voters i and j both vote (i = j: i votes); totals[c]: documents."""
-        k = pairs.shape[1]
+    def __init__(self, pairs: np.ndarray, totals: np.ndarray, silent: int = len(VOTERS)):
+        """pairs[c, i, j]: documents of label c for which voters i and j both vote (i = j: i votes); totals[c]: documents;
+        the first `silent` voters say nothing where they abstain."""
+        k, self.silent = pairs.shape[1], silent
         self.k, self.prior = k, (totals + 1.0) / (totals.sum() + 2.0)
         n = totals[:, None, None] + 4.0
         one = (np.einsum("cii->ci", pairs) + 2.0) / n[:, :, 0]
@@ -164,15 +179,17 @@ class LabelModel:
                     p = min(max(p, 1e-5), 1 - 1e-5)
                     self.table[c, i, u] = np.log([1 - p, p])
 
-    def posterior(self, pattern: np.ndarray) -> np.ndarray:
-        v = _bits(pattern, self.k).astype(np.int64)
+    def posterior(self, ballots: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """P(toxic) by the votes and the label given (not a number: none). A hand-written voter that
+        abstains says nothing (there are voters for clean texts), so its abstentions cancel; the absence of a term counts."""
+        v = ballots.astype(np.int64)
         u = np.where(self.parent >= 0, v[:, self.parent], 0)
-        score = [np.log(self.prior[c]) + self.table[c][np.arange(self.k), u, v].sum(1) for c in (0, 1)]
+        score = [np.log(self.prior[c]) + (self.table[c][np.arange(self.k), u, v] * (v | (np.arange(self.k) >= self.silent))).sum(1) + np.where(np.isnan(label), 0.0, np.log(np.where(label == c, TRUST, 1 - TRUST))) for c in (0, 1)]
         return 1 / (1 + np.exp(np.clip(score[0] - score[1], -500, 500)))
 
 
-def fit_label_model(patterns: DataFrame, k: int) -> LabelModel:
-    """Expectation maximisation over (pattern, toxic or null, count), started from the labelled rows.
+def fit_label_model(patterns: DataFrame, k: int, silent: int = len(VOTERS)) -> LabelModel:
+    """Expectation maximisation over (votes array<int>, toxic or null, n), started from the labelled rows.
 
     A round is one pass: each task sums posterior-weighted pairs of votes, k x k numbers are summed in a shuffle.
     """
@@ -180,12 +197,12 @@ def fit_label_model(patterns: DataFrame, k: int) -> LabelModel:
     def moments(model: LabelModel | None):
         def run(batches):
             total, pairs = np.zeros(2, np.int64), np.zeros((2, k, k), np.int64)
-            for b in batches:
-                pattern, n = np.asarray(b.column(0)), np.asarray(b.column(2)).astype(np.float64)
-                toxic = np.array([np.nan if x is None else x for x in b.column(1).to_pylist()], float)
-                p = np.where(np.isnan(toxic), 0.0 if model is None else model.posterior(pattern), np.where(toxic == 1, SURE, 1 - SURE))
-                use = ~np.isnan(toxic) if model is None else np.ones(len(p), bool)
-                votes = _bits(pattern, k)
+            for b in pieces(batches, 4096):
+                ballots, n = _ballots(b.column(0).to_pylist(), k), np.asarray(b.column(2)).astype(np.float64)
+                label = np.array([np.nan if x is None else x for x in b.column(1).to_pylist()], float)
+                p = np.where(label == 1, TRUST, 1 - TRUST) if model is None else model.posterior(ballots, label)
+                use = ~np.isnan(label) if model is None else np.ones(len(p), bool)
+                votes = ballots.astype(np.float64)
                 for c, w in ((0, n * (1 - p) * use), (1, n * p * use)):
                     w = np.round(w * SCALE)
                     total[c] += int(w.sum())
@@ -196,9 +213,9 @@ def fit_label_model(patterns: DataFrame, k: int) -> LabelModel:
 
         sums = [F.sum(F.col("cells")[j]).alias(f"c{j}") for j in range(k)]
         flat = np.zeros((2 * k + 2, k))
-        for r in patterns.mapInArrow(run, "line int, cells array<long>").groupBy("line").agg(*sums).collect():  # 2 k + 2 rows
+        for r in in_arrow(patterns, run, "line int, cells array<long>").groupBy("line").agg(*sums).collect():  # 2 k + 2 rows
             flat[r["line"]] = np.array(r[1:]) / SCALE
-        return LabelModel(flat[: 2 * k].reshape(2, k, k), flat[2 * k :, 0])
+        return LabelModel(flat[: 2 * k].reshape(2, k, k), flat[2 * k :, 0], silent)
 
     model = moments(None)
     for _ in range(ROUNDS):
@@ -227,16 +244,15 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     learn = training_labels(labels)
     terms = mine(docs, learn)
     table_ = cut(features(docs, terms))
-    k = min(len(terms), VOTERS) + 2
     if terms:
-        pattern = F.aggregate("terms", F.lit(0).cast("long"), lambda s, t: F.when(t < k, s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t))).otherwise(s))
-        seen = table_.where(~held_out()).join(learn, "doc_id", "left").withColumn("pattern", pattern)
-        model = fit_label_model(cut(seen.groupBy("pattern", "toxic").agg(F.count("*").alias("n"))), k)
-        fit = seen.where(F.col("doc_id").isNotNull() & _share(FITTED, seen.count())).select("doc_id", "pattern", "toxic", "terms").orderBy("doc_id").toPandas()
-        p = np.where(fit["toxic"].isna(), model.posterior(fit["pattern"].to_numpy()), np.where(fit["toxic"] == 1, SURE, 1 - SURE))
-        weights, bias = train([list(t) for t in fit["terms"]], p, len(terms) + 2)
-    else:
-        weights, bias = np.array([1.5, 3.0]), -3.0  # nothing to learn from: the lexicon alone decides
+        k = len(VOTERS) + min(len(terms), MINED)
+        seen = table_.where(~held_out()).join(learn, "doc_id", "left").withColumn("votes", F.filter("terms", lambda t: t < k))
+        model = fit_label_model(cut(seen.groupBy("votes", "toxic").agg(F.count("*").alias("n")).select("votes", "toxic", "n")), k)
+        fit = seen.where(F.col("doc_id").isNotNull() & _share(FITTED, seen.count())).select("doc_id", "votes", "toxic", "terms").orderBy("doc_id", "terms").toPandas()
+        p = model.posterior(_ballots([list(v) for v in fit["votes"]], k), fit["toxic"].astype(float).to_numpy())
+        weights, bias = train([list(t) for t in fit["terms"]], p, len(terms) + len(VOTERS))
+    else:  # nothing to learn from: the hand-written voters decide alone
+        weights, bias = np.array([1.5 if label else -0.5 for label, _ in VOTERS.values()]), -1.5
     pairs = F.array(*[F.lit(float(round(x, 9))) for x in weights])
     z = F.aggregate("terms", F.lit(float(bias)), lambda s, t: s + F.element_at(pairs, t + 1))
     return table_.select("doc_id", "row_id", F.round(1 / (1 + F.exp(-z)), 9).alias("score"))
@@ -246,13 +262,16 @@ def op3(spark, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The contract of op3_toxicity.
 
     Null and empty texts have no terms: their score is the classifier's bias. Labels other than 0 and 1, and null ids,
-    teach nothing; without both labels the hand-written lexicon decides alone. Repeated rows repeat.
+    teach nothing; without both labels the hand-written voters decide alone. Texts that are held out (by id) take no part
+    in anything that is learned. Repeated rows repeat.
     """
     return score(docs, labels).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are not predicted toxic. Each row is judged by its own text, whatever its id."""
+    """The documents that are not predicted toxic. Each row is judged by its own text, whatever its id. Columns come out
+    as they went in, whatever their names."""
     found = score(docs, table(spark, sf_dir, "labels")).where(F.col("score") >= THRESHOLD)
     gone = cut(found.select(F.col("row_id").alias("toxic_row")).distinct())
-    return docs.join(maybe_broadcast(gone), row_id() == F.col("toxic_row"), "left_anti").select(*docs.columns)
+    rows = docs.select(row_id().alias("toxic_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
+    return rows.join(maybe_broadcast(gone), "toxic_row", "left_anti").select("document.*")

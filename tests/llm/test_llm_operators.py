@@ -128,6 +128,60 @@ def test_toxicity_is_learned(spark):
     assert sum(x["predicted"] == int(x["doc_id"] % 5 == 0) for x in held) >= 0.97 * len(held)
 
 
+def test_label_model_against_enumeration():
+    """Posteriors of four voters equal those of the whole joint distribution, and their accuracies are found."""
+    rng = np.random.default_rng(3)
+    n, prior = 40_000, 0.3
+    truth = (rng.random(n) < prior).astype(int)
+    fire = np.array([[0.05, 0.7], [0.1, 0.6], [0.3, 0.04], [0.02, 0.5]])  # P(votes | label) of voters 0 to 3
+    votes = (rng.random((n, 4)) < fire[:, truth].T).astype(int)
+    votes[:, 1] = np.where(rng.random(n) < 0.6, votes[:, 0], votes[:, 1])  # voter 1 mostly follows voter 0
+    pairs = np.stack([votes[truth == c].T @ votes[truth == c] for c in (0, 1)]).astype(float)
+    model = toxicity.LabelModel(pairs, np.array([(truth == 0).sum(), (truth == 1).sum()], float), silent=0)
+    assert {frozenset((i, int(j))) for i, j in enumerate(model.parent) if j >= 0} >= {frozenset((0, 1))}
+    every = np.array([[p >> i & 1 for i in range(4)] for p in range(16)])
+    joint = np.zeros((2, 16))
+    for c in (0, 1):
+        for a, v in enumerate(every):  # the product over the tree, one outcome after the other
+            p = model.prior[c]
+            for i, j in enumerate(model.parent):
+                p *= np.exp(model.table[c, i, v[j] if j >= 0 else 0, v[i]])
+            joint[c, a] = p
+    assert abs(joint.sum() - 1) < 1e-9
+    none, toxic = np.full(16, np.nan), np.ones(16)
+    assert np.allclose(model.posterior(every, none), joint[1] / joint.sum(0))
+    with_label = joint * np.array([[1 - toxicity.TRUST], [toxicity.TRUST]])
+    assert np.allclose(model.posterior(every, toxic), with_label[1] / with_label.sum(0))
+    share = np.array([[(votes[truth == c] == v).all(1).mean() * (truth == c).mean() for v in every] for c in (0, 1)])
+    assert np.abs(joint - share).max() < 0.01
+    silent = toxicity.LabelModel(pairs, np.array([(truth == 0).sum(), (truth == 1).sum()], float), silent=4)
+    assert abs(silent.posterior(np.zeros((1, 4), int), np.array([np.nan]))[0] - silent.prior[1]) < 1e-9
+
+
+def test_label_model_is_fitted_without_most_labels(spark):
+    rng = np.random.default_rng(5)
+    truth = rng.random(4000) < 0.3
+    rows = [([i for i, (a, b) in enumerate(((0.02, 0.6), (0.05, 0.5), (0.4, 0.02))) if rng.random() < (b if t else a)], int(t) if k < 300 else None, 1) for k, t in enumerate(truth)]
+    model = toxicity.fit_label_model(spark.createDataFrame(rows, "votes array<int>, toxic int, n long"), 3, silent=0)
+    p = model.posterior(toxicity._ballots([r[0] for r in rows], 3), np.full(len(rows), np.nan))
+    assert abs(model.prior[1] - 0.3) < 0.08 and ((p > 0.5) == truth).mean() > 0.85
+
+
+def test_toxicity_voters():
+    v = toxicity.VOTERS
+    names = list(v)
+
+    def cast(text):
+        words = collections.Counter(toxicity._WORD.findall(text.lower()))
+        return {names[i] for i in toxicity.cast(toxicity.Text(text.lower(), words.total(), toxicity.occurring(words, lambda w: toxicity.OF_WORD.get(w, ()))))}
+
+    assert len(v) >= 45 and {label for label, _ in v.values()} == {0, 1}
+    assert {"intellect", "filth", "second_person", "pair", "several_themes", "dense_insults"} <= cast("You are such stupid trash")
+    assert cast("") == set() and cast("a calm word or two") == set()
+    assert "no_insult" in cast("word " * 30) and "calm_courtesy" in cast("thank you, please come")
+    assert "german_insult" in cast("so ein Dummkopf") and "sparse_insult" in cast("word " * 500 + "idiot")
+
+
 def test_secret_automata_and_spans(spark):
     g = secrets.grammar()
     made = secrets.labelled(seed=99, each=50)
