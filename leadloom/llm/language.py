@@ -16,16 +16,15 @@ from pyspark.sql import functions as F
 
 from .common import cut, map_rows, maybe_broadcast
 
-DOCS = 48  # labelled documents a language at most
-WINDOW = 800  # characters of each, at a place drawn by the id's hash
-DENSE = 1 << 26  # cells of automata kept as dense tables (4 bytes each); further languages have sorted transitions
+DOCS = 20  # labelled documents a language at most, whole
+DENSE = 1 << 25  # cells of automata kept as dense tables (4 bytes each); further languages have sorted transitions
 GROUP = 16  # languages parsed in step
-SEGMENT = 512  # characters parsed as one: phrases end at a segment's border
+SEGMENT = 512  # characters that are parsed ahead in step; the parse from the segment before replaces it until they meet
 SHARPNESS = 20.0  # of the score
 
 
 def sample(docs: DataFrame) -> dict[str, list[str]]:
-    """Labelled text of every language, a bounded sample of each: DOCS x WINDOW characters a language at most.
+    """Labelled texts of every language, a bounded sample of each: DOCS rows a language at most.
 
     Rows of a language are drawn by their id's hash: a threshold keeps a few times DOCS of them, whatever their number,
     before they are ranked.
@@ -33,9 +32,7 @@ def sample(docs: DataFrame) -> dict[str, list[str]]:
     rows = docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL AND pmod(crc32(cast(cast(doc_id AS string) AS binary)), 5) <> 0")
     rows = rows.withColumn("u", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40))
     counts = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(8.0 * DOCS) / F.count("*")).alias("most"))
-    room = F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1
-    part = F.substr("text", (F.pmod(F.xxhash64("doc_id", F.lit("at")), room) + 1).cast("int"), F.lit(WINDOW))
-    few = rows.join(maybe_broadcast(cut(counts)), "lang").where("u <= most").select("lang", "u", "doc_id", part.alias("part"))
+    few = rows.join(maybe_broadcast(cut(counts)), "lang").where("u <= most").select("lang", "u", "doc_id", F.col("text").alias("part"))
     few = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id", "part"))).where(F.col("n") <= DOCS)
     out: dict[str, list[str]] = {}
     for r in few.orderBy("lang", "n").collect():
@@ -51,7 +48,7 @@ class Alphabet:
         number = {c: i + 2 for i, c in enumerate(letters)}
         self.size = len(letters) + 2
         self.table = np.zeros(0x110000, np.uint32 if self.size > 65_535 else np.uint16 if self.size > 255 else np.uint8)
-        for cp in (*range(0xD800), *range(0xE000, 0x30000)):
+        for cp in (*range(0xD800), *range(0xE000, 0x110000)):
             c = chr(cp)
             if c.isalpha():
                 self.table[cp] = number.get(c.lower(), 1)
@@ -123,18 +120,47 @@ class Group:
         at = np.minimum(np.searchsorted(self.keys, cells), len(self.keys) - 1)
         return np.where(self.keys.take(at) == cells, self.next.take(at), np.int32(-1))
 
-    def count(self, grid: np.ndarray, active: np.ndarray) -> np.ndarray:
-        """Phrases by language and lane; the first active[step] lanes have a character at a step."""
+    def ahead(self, grid: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Parses each lane from its first character: (last states by language and lane, whether a phrase begins by step,
+        language and lane). The first active[step] lanes have a character at a step."""
         state = np.repeat(self.dead[:, None], grid.shape[1], 1)
-        count = np.zeros(state.shape, np.int32)
+        begins = np.zeros((len(grid), *state.shape), bool)
         base = (np.arange(len(self.dead), dtype=np.int64) * self.width)[:, None]
         for step, n in enumerate(active):
             c = grid[step, :n]
             now = self.look(state[:, :n].astype(np.int64) * self.width + c)
             miss = now < 0
-            count[:, :n] += miss
+            begins[step, :, :n] = miss
             state[:, :n] = np.where(miss, self.starts.take(base + c), now)
-        return count
+        return state, begins
+
+    def phrases(self, grid: np.ndarray, size: np.ndarray, active: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases by language and lane, whether they are not final) of texts in segments; after[lane]: the next one's lane or -1.
+
+        Every segment is parsed ahead. Then the parse of the one before goes on into it, in place of what was parsed ahead,
+        up to the first character where both begin a phrase: from there on they are the same. Where they meet nowhere in
+        a whole segment with another one behind, the count isn't final.
+        """
+        state, begins = self.ahead(grid, active)
+        count = begins.sum(0, dtype=np.int64)
+        lanes = np.flatnonzero(after >= 0)
+        lang, lane = np.repeat(np.arange(len(self.dead)), len(lanes)), np.tile(lanes, len(self.dead))
+        now, into, open_ = state[lang, lane], after[lane], np.zeros(count.shape, bool)
+        step = 0
+        while len(lane):
+            ends = size[into] <= step
+            if ends.any():
+                open_[lang[ends], lane[ends]] = after[into[ends]] >= 0
+                lang, lane, now, into = lang[~ends], lane[~ends], now[~ends], into[~ends]
+            c = grid[step, into] if len(lane) else np.zeros(0, np.int64)
+            to = self.look(now.astype(np.int64) * self.width + c)
+            miss, known = to < 0, begins[min(step, len(begins) - 1), lang, into]
+            np.add.at(count, (lang, into), miss.astype(np.int64) - known)
+            now = np.where(miss, self.starts.take(lang * self.width + c), to)
+            go = ~(miss & known)
+            lang, lane, now, into = lang[go], lane[go], now[go], into[go]
+            step += 1
+        return count, open_
 
 
 class Model:
@@ -161,24 +187,32 @@ class Model:
         if some:
             self.groups.append((len(self.names) - len(some), Group(width, some, was)))
 
-    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Phrases by text and language. Segments of all texts are lanes, longest first, moved one character a step."""
-        cuts = [(i, at) for i, x in enumerate(texts) for at in range(0, len(x), SEGMENT)]
+    def phrases(self, texts: list[np.ndarray], segment: int = 0) -> np.ndarray:
+        """Phrases by text and language, of whole texts. Segments are lanes, longest first, moved one character a step."""
+        segment = segment or SEGMENT
+        cuts = [(i, at) for i, x in enumerate(texts) for at in range(0, len(x), segment)]
         out = np.zeros((len(texts), len(self.names)), np.int64)
         if not cuts:
             return out
         owner = np.array([i for i, _ in cuts])
-        size = np.array([min(SEGMENT, len(texts[i]) - at) for i, at in cuts])
+        size = np.array([min(segment, len(texts[i]) - at) for i, at in cuts])
         order = np.argsort(-size, kind="stable")
+        place = np.argsort(order, kind="stable")
+        after = np.where(np.append(owner[1:] == owner[:-1], False), np.append(place[1:], 0), -1)[order]
         owner, size = owner[order], size[order]
         grid = np.zeros((size[0], len(cuts)), np.int64)
         for lane, o in enumerate(order):
             i, at = cuts[o]
-            grid[: size[lane], lane] = texts[i][at : at + SEGMENT]
+            grid[: size[lane], lane] = texts[i][at : at + segment]
         active = np.searchsorted(-size, -np.arange(size[0]), side="left")
         for first, group in self.groups:
-            for lang, count in enumerate(group.count(grid, active)):
-                out[:, first + lang] = np.bincount(owner, weights=count, minlength=len(texts))
+            count, unsure = group.phrases(grid, size, active, after)
+            for lang in range(len(count)):
+                out[:, first + lang] = np.bincount(owner, weights=count[lang], minlength=len(texts))
+            for i in np.unique(owner[unsure.any(0)]):  # such texts are parsed in one piece
+                x = texts[i].astype(np.int64)[:, None]
+                alone, _ = group.phrases(x, np.array([len(x)]), np.ones(len(x), np.int64), np.array([-1]))
+                out[i, first : first + len(alone)] = alone[:, 0]
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
