@@ -20,16 +20,14 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_rows, release
+from .common import in_arrow, map_rows, pieces, release
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 _PART = re.compile("[^=]+")
 _DELIMITER = re.compile("[/._+-]")
-SHORTEST = 16  # characters of a candidate
 
 ALPHA = 0.05  # of the merge test
 SEED = 20  # of the labelled credentials
@@ -193,12 +191,16 @@ class Grammar(NamedTuple):
     formats: dict[str, Automaton]
     plain: list[Automaton]
     heads: re.Pattern  # where a format's fixed head begins
+    shortest: int  # characters of the shortest labelled credential: no format takes fewer
+    candidate: re.Pattern  # runs of credential characters of that length and more
 
     @classmethod
     def build(cls, seed: int = SEED, each: int = EACH, alpha: float = ALPHA) -> Grammar:
-        formats = {k: learn(x, head, alpha) for k, (head, x) in labelled(seed, each).items()}
+        known = labelled(seed, each)
+        formats = {k: learn(x, head, alpha) for k, (head, x) in known.items()}
+        shortest = min(len(x) for _, xs in known.values() for x in xs)
         heads = sorted({h for a in formats.values() for h in a.begins()})
-        return cls(formats, [learn(x, head, alpha) for head, x in ordinary(seed, each).values()], re.compile(f"(?={'|'.join(map(re.escape, heads))})"))
+        return cls(formats, [learn(x, head, alpha) for head, x in ordinary(seed, each).values()], re.compile(f"(?={'|'.join(map(re.escape, heads))})"), shortest, re.compile(f"[A-Za-z0-9+/_.=-]{{{shortest},}}"))
 
     def judge(self, s: str, margin: float = MARGIN) -> str | None:
         """The likeliest format of a candidate, if it beats all ordinary strings by the margin."""
@@ -222,21 +224,21 @@ class Grammar(NamedTuple):
         borders = [m.start() for m in _DELIMITER.finditer(s)] + [len(s)]
         found = []
         for start in sorted(starts | heads):
-            if len(s) - start < SHORTEST:
+            if len(s) - start < self.shortest:
                 break
             for kind, a in self.formats.items():
                 if start not in (heads if a.head else starts):
                     continue
-                upto, n = a.walk(s[start : start + SHORTEST])
-                if n < SHORTEST:
+                upto, n = a.walk(s[start : start + self.shortest])
+                if n < self.shortest:
                     continue
                 upto, n = a.walk(s[start:])
-                ends = borders[bisect.bisect_left(borders, start + SHORTEST) : bisect.bisect_right(borders, start + n)]
-                if a.head and start + n not in ends:
+                ends = borders[bisect.bisect_left(borders, start + self.shortest) : bisect.bisect_right(borders, start + n)]
+                if a.head and n >= self.shortest and start + n not in ends:
                     ends.append(start + n)
                 best, end = max(((upto[e - start] + (start + n - e) * (self.ordinary(s[e + 1 : start + n]) if e + 1 < start + n else -6.0), e) for e in ends), default=(-math.inf, 0))
                 gain = (upto[end - start] / (end - start) if best > -math.inf else -math.inf) - self.ordinary(s[start:end])
-                if gain >= margin and any(c in string.digits for c in s[start:end]):
+                if gain >= margin:
                     found.append((gain * (end - start), start, end, kind))
         out: list[tuple[int, int, str]] = []
         for _, start, end, kind in sorted(found, reverse=True):
@@ -255,13 +257,13 @@ def base_spans(text: str) -> list[Span]:
 
 
 def format_spans(text: str, grammar: Grammar) -> list[Span]:
-    """Candidates, of 16 and more credential characters with a digit, that a format's automaton explains best: whole
-    runs, or what a run that no format explains as a whole has inside."""
+    """Candidates, runs of credential characters as long as the shortest credential or longer, that a format's automaton
+    explains best: whole runs, or what a run that no format explains as a whole has inside."""
     out = []
-    for m in _CANDIDATE.finditer(text):
+    for m in grammar.candidate.finditer(text):
         for part in _PART.finditer(m[0].rstrip(".=")):
             s, at = part[0], m.start() + part.start()
-            if len(s) < SHORTEST or not any(c in s for c in string.digits):
+            if len(s) < grammar.shortest:
                 continue
             kind = grammar.judge(s)
             for start, end, k in [(0, len(s), kind)] if kind else grammar.inside(s):
@@ -328,7 +330,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def run(batches):
         g = grammar()
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(at).to_pylist()
             new = [None if t is None else redact(t, base_spans(t) + format_spans(t, g)) for t in texts]
             cols = list(batch.columns)
@@ -339,4 +341,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
         release()
 
-    return docs.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in columns))
+    return in_arrow(docs, run, ", ".join(f"`{c}` {types[c]}" for c in columns))
