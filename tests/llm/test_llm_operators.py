@@ -93,14 +93,25 @@ def test_mixing_of_sources_at_their_cap(spark):
     rows = [(i, " " if i % 7 == 0 else "w " * r.randint(1, 20), "en", "abc"[i % 3]) for i in range(900)]
     copies = {c["doc_id"]: c["count"] for c in mixing.stage(spark, docs(spark, rows), "").groupBy("doc_id").count().collect()}
     assert max(copies.values()) == 2 and {copies[i] for i in range(0, 900, 3)} == {2}  # a's weight is half, its cap two thirds
-    sizes = docs(spark, rows).select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
+    sizes = docs(spark, rows).select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("place"))
     ends = {x["source"]: (x["extra"], x["end_bucket"]) for x in mixing.mixing_plan(sizes).collect()}
     assert ends["a"] == (0.0, None) and ends["b"][1] is not None and ends["c"][1] is not None
     for part in (1e-9, 1e-6, 0.5, 1 - 1e-8):  # a small or nearly whole rest spreads over the buckets as well
-        plan = spark.createDataFrame([("a", 1e6, part)], "source string, extra double, part double")
+        plan = spark.createDataFrame([("a", 1e6, part, 4096)], "source string, extra double, part double, buckets long")
         assert mixing._joined(sizes.where("source = 'a'"), plan).select("bucket").distinct().count() > 250
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_mixing_of_repeated_rows(spark, key):
+    rows = docs(spark, [(key, "w " * 10, "en", "a")] * 300 + [(1, "w " * 4, "en", "b"), (2, None, None, None)])
+    out = mixing.op2(spark, rows).collect()
+    a = [x for x in out if x["doc_id"] == key and x["size"] == 10]
+    assert len(a) == 300 and abs(sum(x["taken"] for x in a) - a[0]["target"]) <= 5
+    assert sorted(map(str, out)) == sorted(map(str, mixing.op2(spark, rows).collect()))
+    kept = mixing.stage(spark, rows.withColumn("place", F.lit("x")).withColumn("buckets", F.lit(1)), "")
+    assert kept.columns == [*rows.columns, "place", "buckets"] and kept.where("size = 7 AND source = 'a'").count() * 10 == sum(x["taken"] for x in a)
+
+
 def test_toxicity_stage_decides_by_row(spark, tmp_path):
     r = random.Random(2)
     word = lambda: "".join(r.choices("aeioulmnrst", k=5))
