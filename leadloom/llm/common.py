@@ -47,6 +47,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def narrow(df: DataFrame) -> DataFrame:
+    """Few partitions for what is far smaller than the input: as many as the cluster has cores, 8 at least."""
+    return df.coalesce(max(8, df.sparkSession.sparkContext.defaultParallelism))
+
+
 _WIDTH = {"boolean": 1, "tinyint": 1, "int": 4, "float": 4, "bigint": 8, "double": 8}
 
 
@@ -120,7 +125,7 @@ def components(edges: DataFrame) -> DataFrame:
     (aggregations combine before the shuffle, AQE splits hub nodes in the joins) and ends in a checkpoint. A graph
     small enough to broadcast is joined without shuffles and kept in few partitions.
     """
-    e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = cut(narrow(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()))
     seen = None
     while True:
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -128,10 +133,9 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(e.select("v", "v").distinct())
         seen, few = now, now[0] <= BROADCAST_ROWS
         near = F.broadcast if few else lambda t: t  # two numbers a row
-        both = e.coalesce(4) if few else e
-        both = both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(near(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        down = narrow(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(near(down), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
-        e = cut(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        e = cut(narrow(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()))

@@ -8,7 +8,7 @@ Candidates whose sketches are near enough are verified on their whole sets.
 
 Equal sets are one class. Links between classes are found in rounds, each of which emits rows in proportion to what it
 reads: first every set against one set of each part value it shares; then, where sets that share a value are still in
-different components, each one against the nearest set of another component, for as long as that joins any; last all
+different components, each one against the nearest set of another component, for as long as that joins many; last all
 pairs of different components that are left, so that no link is lost.
 """
 
@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, in_arrow, map_rows, maybe_broadcast, pieces, release
+from .common import components, cut, in_arrow, map_rows, maybe_broadcast, narrow, pieces, release
 
 CHUNK = 200_000  # shingles of the sets that one task group verifies against their hub
 GROUP_BYTES = 8 << 20  # of sketches (a set counts as SMALLEST bytes at least) on either side of a compared group
@@ -253,7 +253,7 @@ def across(members: DataFrame, labels: DataFrame, percent: int, every: bool) ->
     size = F.greatest(F.length("bits"), F.lit(SMALLEST))
     parts = m.groupBy("key", "comp").agg(F.min("fp").alias("first"), F.sum(size).alias("bytes"))
     keys = parts.groupBy("key").agg(F.count("*").alias("comps"), F.min_by("comp", "first").alias("main"), F.min_by("bytes", "first").alias("main_bytes"), F.sum("bytes").alias("bytes"))
-    keys = cut(keys.where("comps > 1").select("key", "main", "main_bytes", (F.col("bytes") - F.col("main_bytes")).alias("rest_bytes")))
+    keys = cut(narrow(keys.where("comps > 1").select("key", "main", "main_bytes", (F.col("bytes") - F.col("main_bytes")).alias("rest_bytes"))))
     m = m.join(maybe_broadcast(keys), "key").withColumn("rest", F.col("comp") != F.col("main"))
     blocks = lambda c: F.ceil(c / GROUP_BYTES).cast("int")
     m = m.withColumn("rests", blocks(F.col("rest_bytes"))).withColumn("mains", blocks(F.col("main_bytes")))
@@ -285,16 +285,32 @@ def across(members: DataFrame, labels: DataFrame, percent: int, every: bool) ->
                 if len(at) and not every:
                     at = at[[np.lexsort((fp[at], apart[at]))[0]]]
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array([r[5]] * len(at), pa.int64()), pa.array(fp[at]), pa.array(apart[at])], names=["u", "v", "apart"])
+                    yield np.full(len(at), r[5]), fp[at], apart[at]
+
+        def batch_of(found):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["u", "v", "apart"])
+
+        out, size = [], 0
+
+        def ready():
+            nonlocal out, size
+            for found in links():
+                out.append(found)
+                size += len(found[0])
+                if size >= 50_000:
+                    yield batch_of(out)
+                    out, size = [], 0
 
         for batch in pieces(batches, 4096):
             for row in zip(*[c.to_pylist() for c in batch.columns]):
                 if held and row[:3] != held[0][:3]:
-                    yield from links()
+                    yield from ready()
                     held = []
                 held.append(row)
         if held:
-            yield from links()
+            yield from ready()
+        if out:
+            yield batch_of(out)
         held = []
         release()
 
@@ -315,7 +331,7 @@ def verified(docs: DataFrame, sets: DataFrame, again: DataFrame | None, pairs: D
     hubs = v.groupBy("u").agg(F.ceil(F.sum("nv") / CHUNK).cast("int").alias("chunks"))
     v = v.join(hubs, "u").select(F.col("row_v").alias("row_id"), F.col("u").alias("hub"), F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("role"), F.col("v").alias("fp"))
     u = hubs.join(row, hubs["u"] == row["fp"]).select("row_id", F.col("u").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"), "fp")
-    need = maybe_broadcast(cut(v.unionByName(u)))
+    need = maybe_broadcast(cut(narrow(v.unionByName(u))))
     rows = docs.select(row_id().alias("row_id"), "text")
     if again is not None:
         single = rows.join(maybe_broadcast(again), "row_id", "left_anti")
@@ -347,14 +363,14 @@ def verified(docs: DataFrame, sets: DataFrame, again: DataFrame | None, pairs: D
 def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """(fp, comp) of the sets with links, after further links (u, v) of sets."""
     if labels is None:
-        return cut(components(links).select(F.col("node").alias("fp"), F.col("label").alias("comp")))
+        return cut(narrow(components(links).select(F.col("node").alias("fp"), F.col("label").alias("comp"))))
     known = maybe_broadcast(labels)
     for side in ("u", "v"):
         links = links.join(known.select(F.col("fp").alias(side), F.col("comp").alias(f"c{side}")), side, "left")
-    new = cut(components(links.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))))
+    new = cut(narrow(components(links.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")))))
     both = labels.join(maybe_broadcast(new.withColumnRenamed("node", "comp")), "comp", "left").select("fp", F.coalesce("label", "comp").alias("comp"))
     fresh = new.join(known.select("fp"), new["node"] == F.col("fp"), "left_anti").select(F.col("node").alias("fp"), F.col("label").alias("comp"))
-    return cut(both.unionByName(fresh))
+    return cut(narrow(both.unionByName(fresh)))
 
 
 def classes_of(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -364,29 +380,29 @@ def classes_of(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFr
     rows = every.select("doc_id", "row_id", "n", "fp", "fp2")
     own = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("low"), F.col("row_id"))
     classes = cut(rows.where("n > 0").groupBy("fp", "fp2", "n").agg(F.min(own).alias("own")))
-    again = cut(rows.groupBy("row_id").count().where("count > 1").select("row_id"))
+    again = cut(narrow(rows.groupBy("row_id").count().where("count > 1").select("row_id")))
     again = None if again.isEmpty() else again
     found = sharing(every)
-    sharers = cut(found.select("key", F.col("v").alias("fp")).union(found.select("key", F.col("u").alias("fp"))).distinct())
-    asked = maybe_broadcast(cut(sharers.select("fp").distinct()))
-    bits = cut(every.where("even IS NOT NULL OR odd IS NOT NULL").join(asked, "fp", "left_semi").groupBy("fp").agg(F.first("n").alias("n"), F.first("even", True).alias("even"), F.first("odd", True).alias("odd")))
-    sets = cut(classes.join(asked, "fp", "left_semi").groupBy("fp").agg(F.first("n").alias("n"), F.min("own").alias("own")))
-
-    tested = cut(starred(found, bits, percent).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    labels = joined(None, cut(verified(docs, sets, again, tested, k, percent)))
-    members = cut(sharers.join(bits, "fp").select("key", "fp", "n", _band_bits().alias("bits")))
+    sharers = cut(narrow(found.select("key", F.col("v").alias("fp")).union(found.select("key", F.col("u").alias("fp"))).distinct()))
+    asked = maybe_broadcast(cut(narrow(sharers.select("fp").distinct())))
+    bits = cut(narrow(every.where("even IS NOT NULL OR odd IS NOT NULL").join(asked, "fp", "left_semi").groupBy("fp").agg(F.first("n").alias("n"), F.first("even", True).alias("even"), F.first("odd", True).alias("odd"))))
+    sets = cut(narrow(classes.join(asked, "fp", "left_semi").groupBy("fp").agg(F.first("n").alias("n"), F.min("own").alias("own"))))
+
+    tested = cut(narrow(starred(found, bits, percent).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()))
+    labels = joined(None, cut(narrow(verified(docs, sets, again, tested, k, percent))))
+    members = cut(narrow(sharers.join(bits, "fp").select("key", "fp", "n", _band_bits().alias("bits"))))
     every_pair = False
     while True:
         pairs = across(members, labels, percent, every_pair)
-        pairs = cut(pairs.join(maybe_broadcast(tested), ["u", "v"], "left_anti"))
-        links = None if pairs.isEmpty() else cut(verified(docs, sets, again, pairs, k, percent))
-        some = links is not None and not links.isEmpty()
+        pairs = cut(narrow(pairs.join(maybe_broadcast(tested), ["u", "v"], "left_anti")))
+        links = None if pairs.isEmpty() else cut(narrow(verified(docs, sets, again, pairs, k, percent)))
+        some = 0 if links is None else links.count()
         if some:
             labels = joined(labels, links)
         if every_pair:
             break
         tested = tested.unionByName(pairs)
-        every_pair = not some
+        every_pair = some <= labels.count() // 2  # few are left that anything joins
 
     mine = classes.join(maybe_broadcast(labels), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     best = mine.groupBy("comp").agg(F.min("own").alias("best"))
