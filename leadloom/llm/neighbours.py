@@ -4,27 +4,26 @@ Vectors are projected to M dimensions. For a vector at distance r of the query,
 times a chi-square variable of M degrees. So candidates are verified in the order of their projected distance until
 the chi-square test says that an unseen vector nearer than the K-th best found would already have come up with
 probability STOP. The kd-tree over the projections (built from a bounded sample, holding every row) gives that order
-over leaves; a leaf is one group of a shuffle.
+over leaves; a leaf is one group of a shuffle, or several where it is large or many queries search it.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_broadcast
+from .common import cut, in_arrow, maybe_broadcast, pieces
 
 M = 8  # projected dimensions; even, so that the chi-square distribution is a finite sum
 STOP = 0.99
 SAMPLE = 20_000  # projected vectors that place the tree's splits
 LEAF = 1024  # vectors a leaf is meant to hold
-LEAVES = 4096  # at most; beyond LEAF x LEAVES vectors leaves grow
-BLOCK = 4096  # queries that search a leaf in one group
+LEAVES = 4096  # of the tree at most; leaves beyond PART vectors are searched in parts
+PART = 8192  # vectors of a leaf in one group
+BLOCK = 4096  # queries that search a leaf in one group; only a leaf that more come to is read again
 CHUNK = 64  # vectors verified between two tests
 SEED = 8
 
@@ -93,14 +92,15 @@ class Tree:
 
 
 def _matrix(column, width: int) -> np.ndarray:
-    return np.asarray(column.values if hasattr(column, "values") else column.flatten(), np.float64).reshape(-1, width)
+    return np.asarray(column.flatten(), np.float64).reshape(-1, width)
 
 
 def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
     """(vec_id, embedding array<double>) of the vectors that take part, each once, and their length.
 
     Out are null ids, null, empty and zero vectors, those with null, NaN or infinite components, and those whose
-    length is not the most frequent one (of equally frequent ones, the smallest).
+    length is not the most frequent one (of equally frequent ones, the smallest). Repeated rows count once; of an id with
+    several vectors each takes part, and the nearest one counts.
     """
     x = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     x = x.where("vec_id IS NOT NULL AND embedding IS NOT NULL AND forall(embedding, v -> v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('Infinity')) AND exists(embedding, v -> v <> 0)")
@@ -135,7 +135,7 @@ def nearest(vectors: DataFrame, k: int, every: int) -> DataFrame:
             p = _matrix(b.column(1), width) @ turn
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(tree.leaf(p)), *(pa.array(p[:, i]) for i in range(M))], names=["point", "embedding", "ids", "leaf", *(f"p{i}" for i in range(M))])
 
-    placed = points.select("point", "embedding", "ids").mapInArrow(place, "point long, embedding array<double>, ids array<long>, leaf long, " + ", ".join(f"p{i} double" for i in range(M)))
+    placed = in_arrow(points.select("point", "embedding", "ids"), place, "point long, embedding array<double>, ids array<long>, leaf long, " + ", ".join(f"p{i} double" for i in range(M)))
     placed = cut(placed)
     boxes = placed.groupBy("leaf").agg(*[f(f"p{i}").alias(f"{f.__name__}{i}") for f in (F.min, F.max) for i in range(M)]).orderBy("leaf").toPandas()  # LEAVES rows at most
     leaf_ids, low, high = boxes["leaf"].to_numpy(), boxes[[f"min{i}" for i in range(M)]].to_numpy(), boxes[[f"max{i}" for i in range(M)]].to_numpy()
@@ -143,18 +143,14 @@ def nearest(vectors: DataFrame, k: int, every: int) -> DataFrame:
 
     asked = rows.where(F.col("vec_id") % every == 0)
     queries = cut(placed.join(asked.select("embedding").distinct(), "embedding", "left_semi").select("point", "embedding", "leaf"))
-    blocks = max(1, math.ceil(queries.count() / BLOCK))
-    index = placed.select("leaf", "embedding", "ids")
-    if blocks > 1:
-        index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    else:
-        index = index.withColumn("block", F.lit(0))
+    parts = maybe_broadcast(cut(placed.groupBy("leaf").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))))  # LEAVES rows at most
+    index = placed.select(F.col("point").alias("held_point"), F.col("leaf").alias("leaf"), F.col("embedding").alias("vector"), F.col("ids").alias("ids")).join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64("held_point"), F.col("parts")).cast("int")).drop("parts", "held_point")
 
     def search(key, left: pa.Table, right: pa.Table) -> pa.Table:
         """Each query of a group (with the distance to beat) against the leaf's points."""
         out_q, out_v, out_s = [], [], []
         if left.num_rows and right.num_rows:
-            q, x = _matrix(left["embedding"].combine_chunks(), width), _matrix(right["embedding"].combine_chunks(), width)
+            q, x = _matrix(left["embedding"].combine_chunks(), width), _matrix(right["vector"].combine_chunks(), width)
             pq, px = q @ turn, x @ turn
             ids = right["ids"].to_pylist()
             for i, (point, best) in enumerate(zip(left["point"].to_pylist(), left["best"].to_pylist())):
@@ -176,8 +172,14 @@ def nearest(vectors: DataFrame, k: int, every: int) -> DataFrame:
         return pa.table({"point": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.float64())})
 
     def visit(todo: DataFrame) -> DataFrame:
-        todo = todo.withColumn("block", F.pmod(F.xxhash64("point"), F.lit(blocks)).cast("int"))
-        return todo.groupBy("leaf", "block").cogroup(index.groupBy("leaf", "block")).applyInArrow(search, "point long, vec_id long, score double")
+        """Searches (point, leaf, best): every part of the leaf meets the leaf's queries, in blocks."""
+        todo = cut(todo)
+        blocks = maybe_broadcast(cut(todo.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))))  # LEAVES rows at most
+        asks = todo.join(queries.select("point", "embedding"), "point").join(parts, "leaf").join(blocks, "leaf")
+        asks = asks.withColumn("block", F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        held = index.join(blocks, "leaf").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        asks, held = asks.select("leaf", "part", "block", "point", "embedding", "best"), held.select(F.col("leaf").alias("leaf"), F.col("part").alias("part"), F.col("block").alias("block"), "vector", F.col("ids").alias("ids"))
+        return asks.groupBy("leaf", "part", "block").cogroup(held.groupBy("leaf", "part", "block")).applyInArrow(search, "point long, vec_id long, score double")
 
     def merged(found: DataFrame) -> DataFrame:
         """The k + 1 best ids of each query; an id with several vectors counts by its nearest."""
@@ -188,14 +190,14 @@ def nearest(vectors: DataFrame, k: int, every: int) -> DataFrame:
         """Leaves of a query in the order of their boxes' projected distance, from place first to last, up to the test."""
 
         def run(batches):
-            for b in batches:
+            for b in pieces(batches, 16):  # 16 x LEAVES x M numbers at once
                 p, best = _matrix(b.column(1), width) @ turn, np.asarray(b.column(2))
                 gap = np.maximum(np.maximum(low[None] - p[:, None], p[:, None] - high[None]), 0)
                 d2 = (gap**2).sum(2)
                 rank = np.argsort(np.argsort(d2, axis=1, kind="stable"), axis=1, kind="stable")
                 go = (d2 <= ratio * (best**2)[:, None]) & (rank >= first) & (rank < (last or len(leaf_ids)))
                 i, j = np.nonzero(go)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), b.column(1).take(pa.array(i)), pa.array(leaf_ids[j]), pa.array(best[i])], names=["point", "embedding", "leaf", "best"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), pa.array(leaf_ids[j]), pa.array(best[i])], names=["point", "leaf", "best"])
 
         return run
 
@@ -208,7 +210,7 @@ def nearest(vectors: DataFrame, k: int, every: int) -> DataFrame:
         else:
             worst = best.groupBy("point").agg(F.when(F.count("*") > k, F.max("score")).otherwise(F.lit(float("inf"))).alias("best"))
             state = queries.join(worst, "point", "left").withColumn("best", F.coalesce("best", F.lit(float("inf"))))
-        found = visit(state.select("point", "embedding", "best").mapInArrow(further(first, last), "point long, embedding array<double>, leaf long, best double"))
+        found = visit(in_arrow(state.select("point", "embedding", "best"), further(first, last), "point long, leaf long, best double"))
         best = cut(merged(found if best is None else best.unionByName(found)))
     own = asked.join(queries.select("point", "embedding"), "embedding").select(F.col("vec_id").alias("query_id"), "point")
     out = own.join(best, "point").where("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
