@@ -67,24 +67,23 @@ class Scanner:
 def suppress(hits: list[Hit]) -> list[Hit]:
     """Hits by start, without those contained in a kept hit of higher priority, or of the same and at least as long.
 
-    Hits are taken by priority, then length, then rule order; what is kept is indexed by start, so each containment
-    test looks at kept hits that start no later and, thanks to the largest end so far, ends as soon as none reaches.
+    Priorities are few: for each, from the highest, hits that a kept one of a higher priority contains go, then those
+    that another of the same priority contains. With hits ordered by start, "contained in an earlier one" is "ends no
+    later than the largest end so far", so each priority is one sort and one walk over what is kept so far.
     """
-    kept: list[Hit] = []
-    starts: list[int] = []
-    reach: list[int] = []  # reach[i]: largest end of the first i + 1 starts
-    for h in sorted(hits, key=lambda h: (-h.priority, h.start - h.end)):
-        at = bisect.bisect_right(starts, h.start)
-        if at and reach[at - 1] >= h.end:
-            continue
-        starts.insert(at, h.start)
-        reach.insert(at, max(h.end, reach[at - 1] if at else 0))
-        for i in range(at + 1, len(reach)):
-            if reach[i] >= h.end:
-                break
-            reach[i] = h.end
-        kept.append(h)
-    return sorted(kept, key=lambda h: (h.start, h.end, h.label))
+    kept: list[Hit] = []  # by start
+    for priority in sorted({h.priority for h in hits}, reverse=True):
+        new, reach, i = [], -1, 0
+        inside = -1  # largest end of this priority's hits so far
+        for h in sorted((h for h in hits if h.priority == priority), key=lambda h: (h.start, -h.end)):
+            while i < len(kept) and kept[i].start <= h.start:
+                reach = max(reach, kept[i].end)
+                i += 1
+            if h.end > reach and h.end > inside:
+                new.append(h)
+                inside = h.end
+        kept = sorted(kept + new, key=lambda h: (h.start, h.end, h.label))
+    return kept
 
 
 _SCANNER: list[Scanner] = []

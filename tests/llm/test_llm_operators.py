@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leadloom.llm import bpe, language, licenses, mixing, near_duplicates, neighbours, ogg, secrets, token_file, toxicity
+from leadloom.llm import bpe, language, license_rules, licenses, mixing, near_duplicates, neighbours, ogg, secrets, token_file, toxicity
 from leadloom.llm.queries import QUERIES
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, size long, q double, label long"
@@ -65,7 +65,21 @@ def test_licenses_against_plain_counting(spark, sf):
 def test_license_suppression_and_gate():
     H = licenses.Hit
     assert licenses.suppress([H("a", 0, 9, 2, 0.5), H("b", 2, 5, 1, 0.5), H("c", 2, 5, 3, 0.5)]) == [H("a", 0, 9, 2, 0.5), H("c", 2, 5, 3, 0.5)]
-    assert len(licenses.scanner().rules) > 200
+    assert len(licenses.scanner().rules) > 400
+    for text, label in (("SPDX-License-Identifier: Apache-2.0", "apache-2.0"), ("SPDX-License-Identifier: BSD-2-Clause", "bsd-2-clause"), ("GPLv3 or later", "gpl-3"), ("LGPLv2.1", "lgpl-2.1"), ("Elastic License v1", "elastic-1"), ("MIT License", "mit")):
+        assert label in [h.label for h in licenses.scanner().scan(text)[2]], text
+    ungated = licenses.Scanner([r._replace(keywords=frozenset()) for r in licenses.scanner().rules])
+    for label, pattern, _ in license_rules.CLAUSES:  # the gate lets every written sentence through
+        text = re.sub(r"\(\?:([^()|]*)[^()]*\)[?*+]?", r"\1", re.sub(r"\[\^ \]\+", "word", re.sub(r"\{1,\d+\}", "", pattern))).replace("?", "")
+        assert licenses.scanner().scan(text)[1:] == ungated.scan(text)[1:], text
+    r = random.Random(2)
+    for _ in range(500):
+        hits = [H("a", a, a + r.randint(1, 6), r.randint(1, 4), 0.5) for a in (r.randint(0, 12) for _ in range(r.randint(0, 9)))]
+        kept = []
+        for h in sorted(hits, key=lambda h: (-h.priority, h.start - h.end)):
+            if not any(k.start <= h.start and h.end <= k.end for k in kept):
+                kept.append(h)
+        assert licenses.suppress(hits) == sorted(kept, key=lambda h: (h.start, h.end, h.label))
     n, base, hits = licenses.scanner().scan("This program is licensed under the Apache License, Version 2.0 (the License)")
     assert n == 12 and not base and [h.label for h in hits] == ["apache-2.0"] or {h.label for h in hits} == {"apache", "apache-2.0"}
 
