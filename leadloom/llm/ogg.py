@@ -1,8 +1,10 @@
 """Media columns: payloads in Ogg containers, and their verified reading.
 
-write() stores a payload as unsigned 8-bit mono samples in one logical stream beside a second stream with its length;
-read() verifies every page's checksum, reassembles packets from lacing values, demultiplexes the logical streams and
-derives timestamps from granule positions. Format: RFC 3533.
+write() stores a payload as unsigned 8-bit mono samples in one logical stream, whose packets span pages, interleaved with
+a second stream that says after every sample page how many samples were complete by then and their checksum; its last
+packet has the payload's length. read() verifies every page's checksum, reassembles packets from lacing values,
+demultiplexes the logical streams, derives the time of each page from its granule position, and holds the two streams
+against each other. Format: RFC 3533.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ import hashlib
 import struct
 import zlib
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +23,7 @@ from .common import map_rows
 
 RATE = 8000  # samples a second
 PACKET = 4096  # samples in a packet
+LACES = 40  # lacing values of a page at most, so that most packets span two pages
 HEAD = b"8BITPCM\x00"
 SIDE = b"LENGTH\x00\x00"
 _FLIP = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
@@ -48,22 +52,22 @@ def _lacing(n: int) -> bytes:
 
 
 def write(payload: bytes, n_bytes: int, rate: int = RATE) -> bytes:
-    """The Ogg file of a payload: two begin pages, the length stream's only data page, then the sample pages."""
-    out = [
-        _page(2, 0, 1, 0, _lacing(len(HEAD) + 8), HEAD + struct.pack("<II", rate, 1)),
-        _page(2, 0, 2, 0, _lacing(len(SIDE)), SIDE),
-        _page(4, 0, 2, 1, _lacing(16), struct.pack("<QQ", n_bytes, len(payload))),
-    ]
-    lacing, body, seq, done = b"", [], 1, 0
-    for at in range(0, len(payload), PACKET):
-        part = payload[at : at + PACKET]
-        lace = _lacing(len(part))
-        if len(lacing) + len(lace) > 255:
-            out.append(_page(0, done, 1, seq, lacing, b"".join(body)))
-            lacing, body, seq = b"", [], seq + 1
-        lacing, done = lacing + lace, done + len(part)
-        body.append(part)
-    out.append(_page(4, done, 1, seq, lacing, b"".join(body)))
+    """The Ogg file of a payload: two begin pages, then sample pages, each with the side stream's page behind it."""
+    out = [_page(2, 0, 1, 0, _lacing(len(HEAD) + 8), HEAD + struct.pack("<II", rate, 1)), _page(2, 0, 2, 0, _lacing(len(SIDE)), SIDE)]
+    packets = [payload[at : at + PACKET] for at in range(0, len(payload), PACKET)]
+    laces = b"".join(map(_lacing, map(len, packets)))
+    start = done = crc = 0  # bytes in pages so far; of these in complete packets, and their checksum
+    for seq, at in enumerate(range(0, len(laces), LACES), 1):
+        lacing, last = laces[at : at + LACES], at + LACES >= len(laces)
+        body = payload[start : start + sum(lacing)]
+        begins_inside = at > 0 and laces[at - 1] == 255
+        start += len(body)
+        whole = start if last or lacing[-1] < 255 else start // PACKET * PACKET
+        granule = whole if any(x < 255 for x in lacing) else -1
+        crc, done = zlib.crc32(payload[done:whole], crc), whole
+        out.append(_page(4 * last + begins_inside, granule, 1, seq, lacing, body))
+        note = struct.pack("<QI", done, crc) + (struct.pack("<QQ", n_bytes, len(payload)) if last else b"")
+        out.append(_page(4 * last, done, 2, seq, _lacing(len(note)), note))
     return b"".join(out)
 
 
@@ -114,26 +118,40 @@ def demux(data: bytes) -> dict[int, Stream]:
     return streams
 
 
-def read(data: bytes) -> tuple[bytes, int, float]:
-    """(payload, unpadded length, seconds) of a file that write() made."""
+class Sound(NamedTuple):
+    payload: bytes
+    n_bytes: int  # without padding
+    times: list[float]  # seconds at which the pages end that complete a packet
+    packets: int
+
+
+def read(data: bytes) -> Sound:
+    """What a file that write() made holds; OggError where its streams don't agree."""
     streams = demux(data)
     sound = next((s for s in streams.values() if s.packets and s.packets[0][:8] == HEAD), None)
     side = next((s for s in streams.values() if s.packets and s.packets[0] == SIDE), None)
-    if sound is None or side is None or len(side.packets) != 2:
+    if sound is None or side is None or len(side.packets) < 2 or len(side.packets[-1]) != 28:
         raise OggError("a stream is missing")
     payload = b"".join(sound.packets[1:])
-    n_bytes, size = struct.unpack("<QQ", side.packets[1])
+    n_bytes, size = struct.unpack_from("<QQ", side.packets[-1], 12)
     if size != len(payload) or sound.granules[-1] != size:
         raise OggError("samples are missing")
-    return payload, n_bytes, sound.granules[-1] / struct.unpack_from("<I", sound.packets[0], 8)[0]
-
-
-def features(payload: bytes, seconds: float) -> str:
-    """Duration, mean, deviation, peak and sign changes around 128 of the samples, as text."""
-    x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
+    at = crc = 0
+    for note, granule in zip(side.packets[1:], side.granules[1:], strict=True):
+        upto, want = struct.unpack_from("<QI", note)
+        crc, at = zlib.crc32(payload[at:upto], crc), upto
+        if crc != want or granule != upto:
+            raise OggError(f"the streams disagree at sample {upto}")
+    rate = struct.unpack_from("<I", sound.packets[0], 8)[0]
+    return Sound(payload, n_bytes, [g / rate for g in sound.granules[1:]], len(sound.packets) - 1)
+
+
+def features(sound: Sound) -> str:
+    """Packets, the pages' times, and mean, deviation, peak and sign changes around 128 of the samples, as text."""
+    x = np.frombuffer(sound.payload, np.uint8).astype(np.int64) - 128
     n, total, squares = len(x), int(x.sum()), int((x * x).sum())
     changes = int(np.count_nonzero((x[1:] >= 0) != (x[:-1] >= 0)))
-    return f"seconds={seconds:.6f};mean={total / n:.4f};std={max(0.0, squares / n - (total / n) ** 2) ** 0.5:.4f};peak={int(np.abs(x).max())};changes={changes}"
+    return f"packets={sound.packets};times={'|'.join(f'{t:.6f}' for t in sound.times)};mean={total / n:.4f};std={max(0.0, squares / n - (total / n) ** 2) ** 0.5:.4f};peak={int(np.abs(x).max())};changes={changes}"
 
 
 def padded(text: str | None) -> tuple[bytes, int]:
@@ -155,8 +173,9 @@ def inspect(media: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
     def one(doc_id: int | None, data: bytes) -> tuple:
-        payload, n, seconds = read(data)
-        return doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), features(payload, seconds)
+        sound = read(data)
+        payload = sound.payload
+        return doc_id, sound.n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), features(sound)
 
     def make():
         return lambda ids, media: tuple(zip(*map(one, ids, media)))

@@ -504,17 +504,64 @@ def _slow_crc(data: bytes) -> int:
     return c
 
 
+def _plain_ogg(data: bytes) -> dict[int, list[tuple[int, bytes]]]:
+    """(granule, completed packets) page by page of each stream, by the format's description alone."""
+    out, open_ = collections.defaultdict(list), collections.defaultdict(bytes)
+    while data:
+        assert data[:4] == b"OggS"
+        granule, serial = int.from_bytes(data[6:14], "little", signed=True), int.from_bytes(data[14:18], "little")
+        crc, n = int.from_bytes(data[22:26], "little"), data[26]
+        size = 27 + n + sum(data[27 : 27 + n])
+        assert _slow_crc(data[:22] + bytes(4) + data[26:size]) == crc
+        at = 27 + n
+        done = []
+        for lace in data[27 : 27 + n]:
+            open_[serial] += data[at : at + lace]
+            at += lace
+            if lace < 255:
+                done.append(open_.pop(serial))
+        out[serial].append((granule, done))
+        data = data[size:]
+    assert not any(open_.values())
+    return out
+
+
 def test_ogg_pages():
-    for n in (0, 1, 63, 64, 4096, 4097, 255 * 17, 100_000):
-        payload, raw = ogg.padded("a" * n)
+    for n in (0, 1, 63, 64, 4096, 4097, 255 * 17, 12_000, 40_000):
+        payload, raw = ogg.padded("ab c" * (n // 4) + "d" * (n % 4))
         data = ogg.write(payload, raw)
-        assert ogg.read(data) == (payload, n, len(payload) / ogg.RATE) and raw == n
-    assert ogg.page_crc(data[:300]) == _slow_crc(data[:300])
+        sound = ogg.read(data)
+        assert (sound.payload, sound.n_bytes) == (payload, n) and raw == n
+        plain = _plain_ogg(data)
+        assert set(plain) == {1, 2} and b"".join(p for _, done in plain[1][1:] for p in done) == payload
+        so_far = 0
+        for granule, done in plain[1][1:]:
+            so_far += sum(map(len, done))
+            assert granule == (so_far if done else -1)
+        assert sound.times == [g / ogg.RATE for g, _ in plain[1][1:] if g >= 0] and sound.packets == -(-len(payload) // ogg.PACKET)
+    order = [data[i + 14] for i in range(len(data)) if data[i : i + 4] == b"OggS"]
+    assert order[:2] == [1, 2] and order[2:] == [1, 2] * (len(order) // 2 - 1) and len(order) > 8
     for damage in (data[:-1], data[:200] + bytes([data[200] ^ 1]) + data[201:], data + data):
         with pytest.raises(ogg.OggError):
             ogg.read(damage)
 
 
+def test_ogg_columns_over_documents(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").limit(60).cache()
+    got = {r["doc_id"]: r for r in ogg.op9(spark, d).collect()}
+    for r in d.collect():
+        raw = (r["text"] or "").encode()
+        payload = raw + bytes((-len(raw)) % 64 or 64 * (not raw))
+        g = got[r["doc_id"]]
+        assert (g["n_bytes"], g["payload_bytes"], g["payload_sha256"], g["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        media = ogg.write(payload, len(raw))
+        assert (g["media_bytes"], g["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        x = np.frombuffer(payload, np.uint8).astype(float) - 128
+        parts = dict(p.split("=") for p in g["feature"].split(";"))
+        assert abs(float(parts["mean"]) - x.mean()) < 1e-4 and abs(float(parts["std"]) - x.std()) < 1e-3 and int(parts["peak"]) == np.abs(x).max()
+        assert float(parts["times"].split("|")[-1]) == pytest.approx(len(payload) / ogg.RATE, abs=1e-6)
+
+
 def test_neighbours_recall_and_ties(spark):
     r = np.random.default_rng(2)
     centers = r.standard_normal((8, 24)) * 3
