@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import js_trim, let, matches, or_null, round3
+from ..functions.text import js_trim, matches, or_null, round3
 from ..functions.web import evaluate_email, is_company_name, is_phone, is_social_profile, normalize_email, normalize_phone, normalize_text, normalize_url
 from ..sources.storage import cut
 
@@ -38,36 +38,37 @@ def initial_confidence(field: Column, value: Column, source: Column, kind: Colum
     score = score + lookup({f"{p}:{f}": v for p, fs in MODIFIERS.items() for f, v in fs.items()}, F.concat_ws(":", page, field), 0.0)
     score = score + F.when((field == "email") & (classification == "business_role"), 0.05).when((field == "email") & (classification == "freemail") & ~src.isin("mailto", "json-ld"), -0.20).otherwise(0.0)
     score = score + F.when((field == "linkedin") & matches(value, r"linkedin\.com/(?:company|school)/"), 0.15).when((field == "linkedin") & matches(value, "/in/"), -0.10).otherwise(0.0)
-    return F.when(value.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), let(score, round3))))
+    return F.when(value.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), round3(score))))
 
 
-def validated_value(field: Column, value: Column, page_url: Column, site: Column) -> Column:
-    """STRUCT(value, classification) after the field's normalization; a null value fails its field's check."""
+SOCIAL = {"linkedin": "linkedin", "twitter_x": "twitter", "facebook": "facebook", "instagram": "instagram", "youtube": "youtube", "github": "github"}
+URLS = ("booking_url", "ordering_url", "menu_url", "website")
 
 
-    def social(link: Column) -> Column:
-        out = F.lit(False)
-        for f, p in (("linkedin", "linkedin"), ("twitter_x", "twitter"), ("facebook", "facebook"), ("instagram", "instagram"), ("youtube", "youtube"), ("github", "github")):
-            out = out | ((field == f) & is_social_profile(link, p))
-        return F.when(out, link)
+def normalized(rows: DataFrame) -> DataFrame:
+    """Rows with `value` normalized by its field's rule (null where it fails the rule) and the e-mail's `classification`.
 
-    plain = lambda x: F.struct(x.alias("value"), F.lit(None).cast("string").alias("classification"))
-    mail = lambda v: let(normalize_email(v), lambda m: let(evaluate_email(m, site), lambda j: F.struct(F.when(j["is_valid"], m).alias("value"), j["classification"].alias("classification"))))
-    return let(
-        js_trim(value),
-        lambda v: F.when(field == "email", mail(v))
-        .when(field == "phone", plain(let(normalize_phone(v), lambda t: F.when(is_phone(t), t))))
-        .when(field == "company_name", plain(let(normalize_text(v), lambda t: F.when(is_company_name(t), t))))
-        .when(field.isin("linkedin", "twitter_x", "facebook", "instagram", "youtube", "github"), plain(let(normalize_url(v), social)))
-        .when(field.isin("booking_url", "ordering_url", "menu_url", "website"), plain(or_null(normalize_url(v))))
-        .otherwise(plain(or_null(normalize_text(v)))),
-    )
+    The steps are columns of successive selects, each computed once for the rows of its field only.
+    """
+    field, v = F.col("field"), F.col("_v")
+    url = field.isin(*SOCIAL, *URLS)
+    text = ~(url | field.isin("email", "phone"))
+    r = rows.withColumn("_v", js_trim(F.col("value")))
+    r = r.withColumn("_n", F.when(field == "email", normalize_email(v)).when(field == "phone", normalize_phone(v)).when(url, normalize_url(v)).when(text, normalize_text(v)))
+    n = F.col("_n")
+    r = r.withColumn("_e", F.when(field == "email", evaluate_email(n, F.col("site"))))
+    ok = F.when(field == "email", F.col("_e.is_valid")).when(field == "phone", is_phone(n)).when(field == "company_name", is_company_name(n))
+    for f, p in SOCIAL.items():
+        ok = ok.when(field == f, is_social_profile(n, p))
+    return r.withColumn("_ok", ok.otherwise(n != "")).select(*[c for c in rows.columns if c not in ("value", "classification")], F.when(F.col("_ok"), n).alias("value"), F.when(field == "email", F.col("_e.classification")).alias("classification"))
 
 
 def validate(rows: DataFrame) -> DataFrame:
-    """Evidence (site, field, value, source, evidence_type, page_url, page_type, seq) normalized, scored, weak rows out."""
-    v = rows.withColumn("v", validated_value(F.col("field"), F.col("value"), F.col("page_url"), F.col("site")))
-    v = v.withColumn("value", F.col("v.value")).withColumn("classification", F.col("v.classification")).drop("v").where("value IS NOT NULL")
+    """Evidence (site, field, value, source, evidence_type, page_url, page_type, seq) normalized, scored, weak rows out.
+
+    The normalized rows are written once: a filter on them would otherwise repeat their whole normalization in the plan.
+    """
+    v = cut(normalized(rows)).where("value IS NOT NULL")
     v = v.withColumn("confidence", initial_confidence(*[F.col(c) for c in ("field", "value", "source", "evidence_type", "page_type", "classification")]))
     return v.where(F.col("confidence") >= THRESHOLD)
 

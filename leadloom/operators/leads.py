@@ -150,3 +150,12 @@ def exportable(leads: DataFrame, run_id: str, query: str, limit: int) -> DataFra
 def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key."""
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("nth = 1").drop("nth")
+
+
+def find_listing(listings: DataFrame, asked: DataFrame) -> DataFrame:
+    """The first of the listings (pos, place_id, source_url) for each asked (id, pid, url): by place id (rank 1), else by url
+    (rank 2). Two equi joins and a minimum, so nothing is compared pairwise."""
+    by_place = asked.join(listings, asked["pid"] == listings["place_id"]).select("id", "pos", F.lit(1).alias("rank"))
+    by_url = asked.join(listings, asked["url"] == listings["source_url"]).select("id", "pos", F.lit(2).alias("rank"))
+    best = by_place.unionByName(by_url).groupBy("id").agg(F.min(F.struct("rank", "pos")).alias("best"))
+    return best.select("id", "best.pos", "best.rank")

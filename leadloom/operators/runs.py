@@ -20,10 +20,11 @@ def accepted(results: DataFrame, dispatches: DataFrame) -> DataFrame:
     results (run_id, idx, attempt_id, seq, query), dispatches (run_id, idx, attempt_id, seq, query). A result counts if
     it names the latest attempt dispatched for its candidate before it, the run's query, and is the first to do so.
     """
-    d = dispatches.select("run_id", "idx", F.col("attempt_id").alias("live"), F.col("seq").alias("d_seq"), F.col("query").alias("d_query"))
-    r = results.join(d, ["run_id", "idx"], "left").where("d_seq IS NULL OR d_seq < seq")
-    r = r.groupBy(*results.columns).agg(F.max_by(F.struct("live", "d_query"), "d_seq").alias("d"))
-    r = results.join(r, results.columns, "left")
+    d = dispatches.select("run_id", "idx", "seq", F.struct(F.col("attempt_id").alias("live"), F.col("query").alias("d_query")).alias("own"))
+    r = results.withColumn("own", F.lit(None).cast(d.schema["own"].dataType)).withColumn("is_result", F.lit(True))
+    both = r.unionByName(d.withColumn("is_result", F.lit(False)), allowMissingColumns=True)
+    before = Window.partitionBy("run_id", "idx").orderBy("seq", F.desc("is_result")).rowsBetween(Window.unboundedPreceding, -1)
+    r = both.withColumn("d", F.last("own", ignorenulls=True).over(before)).where("is_result").select(*results.columns, "d")
     verdict = F.when(F.col("d.live").isNull(), F.lit("unknown_candidate")).when(F.col("d.live") != F.col("attempt_id"), F.lit("stale_attempt")).when(F.col("d.d_query") != F.col("query"), F.lit("stale_query")).otherwise(F.lit("ok"))
     r = r.withColumn("verdict", verdict).drop("d")
     nth = F.row_number().over(Window.partitionBy("run_id", "idx", "verdict").orderBy("seq"))

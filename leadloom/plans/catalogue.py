@@ -361,7 +361,7 @@ _query("discovery_first_wins", lambda s, d: leads.first_wins(rows(s, d, FOUND).w
 _query("candidate_queue", lambda s, d: leads.first_wins(rows(s, d, FOUND).withColumn("key", _key()), ["key"], ["pos"]).orderBy("pos").limit(50).select("key", "pos"), f"SELECT {_KEY_SQL} AS key, min(pos) AS pos FROM ({FOUND}) f GROUP BY {_KEY_SQL} ORDER BY pos LIMIT 50")
 _query(
     "listing_find",
-    lambda s, d: leads.first_wins(rows(s, d, FOUND).alias("c").join(rows(s, d, "SELECT c_custkey AS id, 'P' || CAST(c_custkey % 600 AS STRING) AS pid, 'u' || CAST(c_custkey % 800 AS STRING) AS url FROM {customer}"), (C("place_id") == C("pid")) | ((C("place_id").isNull() | (C("place_id") != C("pid"))) & (C("source_url") == C("url")))).withColumn("rank", F.when(C("place_id") == C("pid"), 1).otherwise(2)), ["id"], ["rank", "pos"]).select("id", "pos", "rank"),
+    lambda s, d: leads.find_listing(rows(s, d, FOUND), rows(s, d, "SELECT c_custkey AS id, 'P' || CAST(c_custkey % 600 AS STRING) AS pid, 'u' || CAST(c_custkey % 800 AS STRING) AS url FROM {customer}")).select("id", "pos", "rank"),
     f"SELECT id, pos, rank FROM (SELECT id, pos, CASE WHEN place_id = pid THEN 1 ELSE 2 END AS rank, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN place_id = pid THEN 1 ELSE 2 END, pos) AS nth FROM ({FOUND}) f JOIN (SELECT c_custkey AS id, 'P' || CAST(c_custkey % 600 AS STRING) AS pid, 'u' || CAST(c_custkey % 800 AS STRING) AS url FROM {{customer}}) c ON place_id = pid OR source_url = url) x WHERE nth = 1",
 )
 READY = "SELECT seq AS idx, company_name, CASE WHEN seq % 2 = 0 THEN 'r1' ELSE 'r2' END AS run_id, CASE WHEN seq % 3 = 0 THEN 'Coffee+Shop ' ELSE 'tea' END AS source_query, CASE WHEN seq % 5 = 0 THEN 'FAILED' ELSE 'READY' END AS status FROM ({LEADS}) l"

@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame
 
 def cut(df: DataFrame) -> DataFrame:
     """Writes df as Parquet below spark.checkpoint.dir and reads it back: no lineage, and no constraints that would pile
-    up over iterations. A temporary folder is set only where none is (tests, local mode)."""
+    up over iterations. A temporary folder is set only in local mode, where one machine does all the work."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leadloom-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="leadloom-ckpt-"))
     path = f"{sc.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)

@@ -1,7 +1,8 @@
 """The run queue as a stream: candidate events folded to terminal states with write-once results and timeouts.
 
-Staleness is by identity (the attempt an event names), not by time; the watermark only bounds how long a run's state is
-kept. State is one small row a run and candidate.
+Staleness is by identity (the attempt an event names), not by time. State is one small row a run and candidate; what has
+ended is remembered for KEPT_MS of event time after its last event, so that a later event can't reopen it, and then
+dropped.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT = "run_id long, idx int, attempt_id string, state string, seq long"
 STATE = "attempt_id string, state string"
+LIMIT_MS = 15_000  # of a dispatched attempt
+KEPT_MS = 24 * 3600 * 1000  # for which an ended candidate stays closed
 
 
 def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -22,8 +25,11 @@ def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iter
     run_id, idx = key
     if state.hasTimedOut:
         attempt, now = state.get
-        state.remove()
-        if now == "DISPATCHED":
+        if now != "DISPATCHED":
+            state.remove()
+        else:
+            state.update((attempt, "FAILED"))
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + KEPT_MS)
             yield pd.DataFrame({"run_id": [run_id], "idx": [idx], "attempt_id": [attempt], "state": ["FAILED"], "seq": [-1]})
         return
     attempt, now = state.get if state.exists else (None, "PENDING")
@@ -39,8 +45,7 @@ def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iter
             continue
         out.append((run_id, idx, attempt, now, row.seq))
     state.update((attempt, now))
-    if now == "DISPATCHED":
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 15_000)
+    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + (LIMIT_MS if now == "DISPATCHED" else KEPT_MS))
     if out:
         yield pd.DataFrame(out, columns=["run_id", "idx", "attempt_id", "state", "seq"])
 
