@@ -401,12 +401,12 @@ def _extracted(kind: str, where: str, columns: list[str]) -> Query:
     return lambda s, d: html.extract(rows(s, d, HTML)).where(f"kind = '{kind}' AND {where}").select("page_id", *columns)
 
 
-_query("jsonld_org", _extracted("evidence", "evidence_type IN ('json-ld-organization-name', 'json-ld-organization-telephone')", ["field", "value"]), f"SELECT s_suppkey AS page_id, 'company_name' AS field, s_name AS value {_SUPP} UNION ALL SELECT s_suppkey, 'phone', '+49 30 ' || CAST(100000 + s_suppkey AS STRING) {_SUPP}")
-_query("jsonld_address", _extracted("evidence", "evidence_type = 'json-ld-organization-address'", ["value"]), f"SELECT s_suppkey AS page_id, 'Main St ' || CAST(s_suppkey AS STRING) || ', ' || n_name || ', 0' || CAST(1000 + s_suppkey % 9000 AS STRING) AS value {_SUPP}")
+_query("jsonld_org", _extracted("evidence", "evidence_type IN ('json-ld-organization-name', 'json-ld-organization-phone')", ["field", "value"]), f"SELECT s_suppkey AS page_id, 'company_name' AS field, s_name AS value {_SUPP} UNION ALL SELECT s_suppkey, 'phone', '+49 30 ' || CAST(100000 + s_suppkey AS STRING) {_SUPP}")
+_query("jsonld_address", _extracted("evidence", "evidence_type = 'json-ld-postal-address-full'", ["value"]), f"SELECT s_suppkey AS page_id, 'Main St ' || CAST(s_suppkey AS STRING) || ', ' || n_name || ', 0' || CAST(1000 + s_suppkey % 9000 AS STRING) AS value {_SUPP}")
 _query("microdata", _extracted("evidence", "source = 'microdata'", ["field", "value"]), f"SELECT s_suppkey AS page_id, 'company_name' AS field, s_name AS value {_SUPP} UNION ALL SELECT s_suppkey, 'email', 'md@s' || CAST(s_suppkey AS STRING) || '.test' {_SUPP}")
 _query("mailto_tel", _extracted("evidence", "source IN ('mailto', 'tel')", ["field", "value"]), f"SELECT s_suppkey AS page_id, 'email' AS field, 'info@s' || CAST(s_suppkey AS STRING) || '.test' AS value {_SUPP} UNION ALL SELECT s_suppkey, 'email', 'jane@s.test' {_SUPP} UNION ALL SELECT s_suppkey, 'phone', '+49-30-' || CAST(100000 + s_suppkey AS STRING) {_SUPP}")
 _query("social_action_links", _extracted("evidence", "source = 'semantic-dom' AND field <> 'address'", ["field", "value"]), f"SELECT s_suppkey AS page_id, 'linkedin' AS field, 'https://linkedin.com/company/s' || CAST(s_suppkey AS STRING) AS value {_SUPP} UNION ALL SELECT s_suppkey, 'booking_url', 'https://calendly.com/s' {_SUPP} UNION ALL SELECT s_suppkey, 'ordering_url', '/shop' {_SUPP}")
-_query("address_tag", _extracted("evidence", "evidence_type = 'address-tag'", ["value"]), f"SELECT s_suppkey AS page_id, '5 Elm St, ' || n_name AS value {_SUPP}")
+_query("address_tag", _extracted("evidence", "evidence_type = 'semantic-html-address-tag'", ["value"]), f"SELECT s_suppkey AS page_id, '5 Elm St, ' || n_name AS value {_SUPP}")
 _query("team_cards", _extracted("person", "source = 'team-card'", ["value", "title", "email"]), f"SELECT s_suppkey AS page_id, 'Jane Smith' AS value, 'CEO' AS title, 'jane@s.test' AS email {_SUPP}")
 _query("page_links", _extracted("link", "value LIKE '%.test/%'", ["field", "value", "title"]), f"SELECT s_suppkey AS page_id, 'NAV' AS field, 'https://www.s' || CAST(s_suppkey AS STRING) || '.test/about-us' AS value, 'About us' AS title {_SUPP} UNION ALL SELECT s_suppkey, '', 'https://www.s' || CAST(s_suppkey AS STRING) || '.test/shop', 'Shop' {_SUPP}")
 

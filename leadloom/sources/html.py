@@ -14,6 +14,10 @@ from urllib.parse import parse_qsl, quote, urlencode, urljoin, urlsplit, urlunsp
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import or_null
+from ..functions.web import title_brand
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
@@ -139,9 +143,18 @@ def json_ld(root: Node) -> list:
     return out
 
 
+# JSON-LD types that are evidence even without a name or contact.
+ENTITY_TYPES = frozenset("organization corporation localbusiness store restaurant medicalbusiness financialservice professionalservice automotivebusiness lodgingbusiness foodestablishment dentist physician attorney legalagency realestateagent bakery cafe".split())
+
+
+def types_of(entity: dict) -> list[str]:
+    t = entity.get("@type")
+    return [x for x in (t if isinstance(t, list) else [t]) if isinstance(x, str)]
+
+
 def entities(value) -> Iterator[dict]:
     """Objects of a JSON-LD value that describe someone or something to contact: through lists, @graph (alone), contact
-    points, departments and sub-organizations."""
+    points, departments and sub-organizations. They have one of ENTITY_TYPES, or a name, phone, e-mail or address."""
     todo = [value]
     while todo:
         v = todo.pop()
@@ -151,11 +164,14 @@ def entities(value) -> Iterator[dict]:
             if isinstance(v.get("@graph"), list):
                 todo += reversed(v["@graph"])
                 continue
-            if any(k in v for k in ("name", "telephone", "email", "address")) or "@type" in v:
+            if any(v.get(k) for k in ("name", "telephone", "email", "address")) or any(re.sub("[^a-z]", "", t.lower()) in ENTITY_TYPES for t in types_of(v)):
                 yield v
             todo += [v[k] for k in ("subOrganization", "department", "contactPoint") if k in v]
 
 
+TITLE_KIND = "page-title-branding"  # its value is the whole title here; extract() keeps what can be a company's name
+
+
 def evidence(root: Node, url: str) -> list[tuple[str, str, str, str]]:
     """(field, value, source, evidence_type) of a page, in the order of the generators."""
     out: list[tuple[str, str, str, str]] = []
@@ -168,33 +184,37 @@ def evidence(root: Node, url: str) -> list[tuple[str, str, str, str]]:
             out.append((field, str(value).strip(), source, kind))
 
     for e in (e for doc in json_ld(root) for e in entities(doc)):
-        kind = f"json-ld-{str(e.get('@type', 'thing')).lower()}"
-        for field, key in (("company_name", "name"), ("email", "email"), ("phone", "telephone"), ("website", "url"), ("same_as_url", "sameAs"), ("description", "description"), ("price_range", "priceRange")):
-            add(field, e.get(key), "json-ld", f"{kind}-{key}")
+        kind = f"json-ld-{next(iter(types_of(e)), 'thing').lower()}"
+        add("company_name", next((e[k] for k in ("name", "legalName", "alternateName") if e.get(k)), None), "json-ld", f"{kind}-name")
+        for field, key, ending in (("email", "email", "email"), ("phone", "telephone", "phone"), ("website", "url", "url"), ("same_as_url", "sameAs", "sameas"), ("description", "description", "description"), ("price_range", "priceRange", "pricerange")):
+            add(field, e.get(key), "json-ld", f"{kind}-{ending}")
         for a in e["address"] if isinstance(e.get("address"), list) else [e.get("address")]:
             if isinstance(a, str):
-                add("address", a, "json-ld", f"{kind}-address")
+                add("address", a, "json-ld", f"{kind}-address-str")
             elif isinstance(a, dict):
                 parts = [first_text(a.get(k)) for k in ("streetAddress", "addressLocality", "addressRegion", "postalCode", "addressCountry")]
-                add("address", ", ".join(p for p in parts if p), "json-ld", f"{kind}-address")
-                for field, p in zip(("city", "region", "postal_code", "country"), parts[1:]):
-                    add(field, p, "json-ld", f"{kind}-address-part")
+                add("address", ", ".join(p for p in parts if p), "json-ld", "json-ld-postal-address-full")
+                for field, part, p in zip(("city", "region", "postal_code", "country"), ("locality", "region", "code", "country"), parts[1:]):
+                    add(field, p, "json-ld", f"json-ld-postal-{part}")
     for scope in root.having("itemscope"):
         if "schema.org" in scope.attrs.get("itemtype", ""):
             for n in scope.having("itemprop"):
                 field = {"name": "company_name", "telephone": "phone", "email": "email"}.get(n.attrs["itemprop"])
                 if field:
-                    add(field, n.attrs.get("content") or squeeze(n.text()), "microdata", f"microdata-{n.attrs['itemprop']}")
+                    value = n.attrs["content"] if "content" in n.attrs else n.attrs.get("href") if n.tag in ("a", "link") else squeeze(n.text())
+                    add(field, value, "microdata", f"microdata-itemprop-{n.attrs['itemprop']}")
     links = [n for n in root.all("a") if "href" in n.attrs]
     for scheme, field in (("mailto", "email"), ("tel", "phone")):
         for n in links:
             if n.attrs["href"].startswith(scheme + ":"):
                 add(field, n.attrs["href"][len(scheme) + 1 :].split("?")[0], scheme, f"anchor-{scheme}")
     for n in root.walk():
-        code = n.attrs.get("data-cfemail") or (n.attrs.get("href", "").partition("/cdn-cgi/l/email-protection#")[2] if n.tag == "a" else "")
-        if re.fullmatch(r"[0-9a-fA-F]{4,}", code) and len(code) % 2 == 0:
-            raw = bytes.fromhex(code)
-            add("email", "".join(chr(b ^ raw[0]) for b in raw[1:]), "cloudflare-decoded", "protected-email")
+        href = n.attrs.get("href", "").partition("/cdn-cgi/l/email-protection#")[2] if n.tag == "a" else ""
+        for code, kind in ((href, "anchor-cf-protection"), (n.attrs.get("data-cfemail") or "", "attr-cf-protection")):
+            if re.fullmatch(r"[0-9a-fA-F]{4,}", code) and len(code) % 2 == 0:
+                raw = bytes.fromhex(code)
+                mail = "".join(chr(b ^ raw[0]) for b in raw[1:])
+                add("email", mail if "@" in mail else None, "cloudflare-decoded", kind)
     seen = set()
     for n in links:
         href, label = n.attrs["href"].strip(), squeeze(n.text()).lower()
@@ -213,7 +233,7 @@ def evidence(root: Node, url: str) -> list[tuple[str, str, str, str]]:
     for n in root.all("address"):
         t = squeeze(n.text())
         if 5 < len(t) < 300:
-            add("address", t, "semantic-dom", "address-tag")
+            add("address", t, "semantic-dom", "semantic-html-address-tag")
     for n in root.all("p", "span", "div", "li", "td", "th"):
         t = n.text().strip()
         if t and len(t) <= 200 and sum(isinstance(k, Node) for k in n.kids) <= 2:
@@ -226,13 +246,11 @@ def evidence(root: Node, url: str) -> list[tuple[str, str, str, str]]:
     for field, pattern in (("email", r"\b[a-zA-Z0-9.!#$%&'*+/=?^_`{|}~-]+@[a-zA-Z0-9-]+(?:\.[a-zA-Z0-9-]+)+\b"), ("phone", r"(?:\+?\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b")):
         for v in dict.fromkeys(re.findall(pattern, text, re.A)):
             add(field, v, "regex-pattern", f"body-regex-{field}")
-    for n in root.all("meta"):
-        if n.attrs.get("property") == "og:site_name":
-            add("company_name", n.attrs.get("content"), "metadata", "og-site-name")
-        if n.attrs.get("name", "").lower() == "description":
-            add("description", n.attrs.get("content"), "metadata", "meta-description")
+    meta = {(n.attrs.get("property") or n.attrs.get("name", "")).lower(): n.attrs.get("content") for n in reversed(root.all("meta"))}
+    add("company_name", meta.get("og:site_name"), "metadata", "open-graph-site-name")
     for n in root.all("title")[:1]:
-        add("company_name", squeeze(n.text()), "metadata", "page-title")
+        add("company_name", squeeze(n.text()), "metadata", TITLE_KIND)
+    add("description", first_text(meta.get("description"), meta.get("og:description")), "metadata", "meta-description")
     return out
 
 
@@ -318,4 +336,6 @@ def extract(pages: DataFrame) -> DataFrame:
                 columns = list(zip(*rows)) or [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, SCHEMA)
+    found = pages.select("page_id", "url", "html").mapInArrow(run, SCHEMA)
+    value = F.when(F.col("evidence_type") == TITLE_KIND, or_null(title_brand(F.col("value")))).otherwise(F.col("value"))
+    return found.withColumn("value", value).where("value IS NOT NULL")

@@ -41,6 +41,26 @@ def test_html(spark):
     assert html.url_norm("HTTPS://Ä.test:443/ä b?x=1&gclid=2#f") == "https://xn--4ca.test/%C3%A4%20b?x=1"
 
 
+def test_html_kinds(spark):
+    ld = [{"@context": "x", "@graph": [{"@type": "WebSite", "url": "https://a.test"}, {"@type": ["LocalBusiness", "X"], "legalName": "Acme Ltd", "telephone": 123, "contactPoint": [{"@type": "ContactPoint", "email": "c@a.test"}], "address": "1 Elm St"}, {"@type": "Thing", "address": {"addressLocality": "Ulm", "postalCode": "89073"}}]}]
+    import json
+
+    page = '<title>Acme Dental | Contact</title><meta property="og:description" content="about"><meta property="og:site_name" content="Acme">' + f'<script type="application/ld+json">{json.dumps(ld)}</script><script type="application/ld+json">{{</script>' + '<div itemscope itemtype="https://schema.org/Store"><a itemprop="email" href="mailto:m@a.test">x</a></div><a href="/cdn-cgi/l/email-protection#2a4b6a52045e4f595e">p</a><address>5 Elm St, Ulm</address>'
+    out = {(r["field"], r["value"], r["evidence_type"]) for r in html.extract(spark.createDataFrame([(1, "https://a.test/", page)], "page_id long, url string, html string")).where("kind = 'evidence'").collect()}
+    assert out >= {
+        ("company_name", "Acme Ltd", "json-ld-localbusiness-name"), ("phone", "123", "json-ld-localbusiness-phone"), ("email", "c@a.test", "json-ld-contactpoint-email"), ("address", "1 Elm St", "json-ld-localbusiness-address-str"),
+        ("address", "Ulm, 89073", "json-ld-postal-address-full"), ("city", "Ulm", "json-ld-postal-locality"), ("postal_code", "89073", "json-ld-postal-code"), ("email", "mailto:m@a.test", "microdata-itemprop-email"),
+        ("email", "a@x.test", "anchor-cf-protection"), ("address", "5 Elm St, Ulm", "semantic-html-address-tag"), ("company_name", "Acme", "open-graph-site-name"), ("company_name", "Acme Dental", "page-title-branding"), ("description", "about", "meta-description"),
+    }
+    assert not any(k.startswith("json-ld-website") for _, _, k in out)
+
+
+def test_listings_are_found_by_place_first(spark):
+    known = spark.createDataFrame([(1, None, "u1"), (2, "P1", "u1"), (3, "P1", None)], "pos long, place_id string, source_url string")
+    asked = spark.createDataFrame([(10, "P1", "u1"), (11, "P9", "u1"), (12, "P9", None)], "id long, pid string, url string")
+    assert sorted(map(tuple, leads.find_listing(known, asked).collect())) == [(10, 2, 1), (11, 1, 2)]
+
+
 def test_crawl_order_and_early_exit(spark):
     root, contact, blog = "https://a.test", "https://a.test/contact", "https://a.test/blog/x"
     link = lambda u: {"target": u, "anchor": "", "box": "NAV"}
