@@ -22,34 +22,22 @@ def name_tokens(c: Column) -> Column:
     return F.filter(F.split(t, r"\s+"), lambda w: (w != "") & ~w.isin(*NAME_STOP))
 
 
-def name_similarity(a: Column, b: Column) -> Column:
-    """Jaccard similarity of the names' words; at least .85 if one name's words (two or more) all occur in the other."""
-    x, y = name_tokens(a), name_tokens(b)
+def token_similarity(x: Column, y: Column) -> Column:
+    """Jaccard similarity of two names' words; at least .85 if one name's words (two or more) all occur in the other."""
     both = F.size(F.array_intersect(x, y))
     jaccard = both / F.size(F.array_union(x, y))
     inside = (F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0)
     return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).when(inside & (F.least(F.size(x), F.size(y)) >= 2), F.greatest(jaccard, F.lit(0.85))).otherwise(jaccard)
 
 
-def _tail(a: Column, b: Column) -> Column:
-    return (a == b) | F.endswith(a, F.right(b, F.lit(7))) | F.endswith(b, F.right(a, F.lit(7)))
-
-
-def duplicate_reason(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """Why two leads (place_id, domain, digits, name) are the same; null if they are not."""
-    pa_, pb = js_trim(F.coalesce(a["place_id"], F.lit(""))), js_trim(F.coalesce(b["place_id"], F.lit("")))
-    pids, dom = (pa_ != "") & (pb != ""), (a["domain"] != "") & (a["domain"] == b["domain"])
-    phones = (F.length(a["digits"]) >= 7) & (F.length(b["digits"]) >= 7)
-    return (
-        F.when(pids, F.when(F.lower(pa_) == F.lower(pb), F.lit("place_id")))
-        .when(~dom, F.lit(None).cast("string"))
-        .when(phones, F.when(_tail(a["digits"], b["digits"]), F.lit("domain_phone")))
-        .when(name_similarity(a["name"], b["name"]) >= SIMILAR, F.lit("domain_name_similarity"))
-    )
+def name_similarity(a: Column, b: Column) -> Column:
+    return token_similarity(name_tokens(a), name_tokens(b))
 
 
 def prepared(leads: DataFrame) -> DataFrame:
-    """(seq, place_id, domain, digits, name, pid) of leads with seq, company_name, place_id, phone and website."""
+    """(seq, place_id, domain, digits, name, pid) of leads with seq, company_name, place_id, phone and website. Two leads are
+    the same by place id if both have one, else only on one domain: by phone (last seven digits) if both have one, else
+    by name."""
     return leads.select(
         "seq", "place_id", normalize_domain(F.coalesce("website", F.lit(""))).alias("domain"), F.regexp_replace(F.coalesce("phone", F.lit("")), r"\D", "").alias("digits"),
         F.col("company_name").alias("name"), F.lower(js_trim(F.coalesce("place_id", F.lit("")))).alias("pid"),
@@ -57,15 +45,20 @@ def prepared(leads: DataFrame) -> DataFrame:
 
 
 def duplicate_pairs(leads: DataFrame) -> DataFrame:
-    """(a, b, reason), a < b: pairs are only formed within a place id or a domain, the two keys every match shares."""
-    p = prepared(leads)
+    """(a, b, reason), a < b. Each reason has its own equi join, on the place id, on domain and last digits, on domain and a
+    word of the name; names are split into words once a lead, not once a pair."""
+    p = cut(prepared(leads).withColumn("words", F.array_distinct(name_tokens(F.col("name")))).withColumn("tail", F.when(F.length("digits") >= 7, F.right("digits", F.lit(7)))))
     x, y = p.select(*[F.col(c).alias(f"x_{c}") for c in p.columns]), p.select(*[F.col(c).alias(f"y_{c}") for c in p.columns])
-    side = lambda s: {c: F.col(f"{s}_{c}") for c in ("place_id", "domain", "digits", "name")}
     less = F.col("x_seq") < F.col("y_seq")
-    by_pid = x.where("x_pid <> ''").join(y.where("y_pid <> ''"), (F.col("x_pid") == F.col("y_pid")) & less)
-    by_dom = x.where("x_domain <> ''").join(y.where("y_domain <> ''"), (F.col("x_domain") == F.col("y_domain")) & ((F.col("x_pid") == "") | (F.col("y_pid") == "")) & less)
-    both = by_pid.unionByName(by_dom)
-    return both.select(F.col("x_seq").alias("a"), F.col("y_seq").alias("b"), duplicate_reason(side("x"), side("y")).alias("reason")).where("reason IS NOT NULL")
+    open_ = less & ((F.col("x_pid") == "") | (F.col("y_pid") == ""))
+    pair = lambda t, reason: t.select(F.col("x_seq").alias("a"), F.col("y_seq").alias("b"), F.lit(reason).alias("reason"))
+    place = x.where("x_pid <> ''").join(y.where("y_pid <> ''"), (F.col("x_pid") == F.col("y_pid")) & less)
+    x, y = x.where("x_domain <> ''"), y.where("y_domain <> ''")
+    phone = x.join(y, (F.col("x_domain") == F.col("y_domain")) & (F.col("x_tail") == F.col("y_tail")) & open_)
+    some = F.col("x_tail").isNull() | F.col("y_tail").isNull()
+    words = x.withColumn("x_word", F.explode("x_words")).join(y.withColumn("y_word", F.explode("y_words")), (F.col("x_domain") == F.col("y_domain")) & (F.col("x_word") == F.col("y_word")) & open_ & some)
+    alike = words.where(token_similarity(F.col("x_words"), F.col("y_words")) >= SIMILAR).dropDuplicates(["x_seq", "y_seq"])
+    return pair(place, "place_id").unionByName(pair(phone, "domain_phone")).unionByName(pair(alike, "domain_name_similarity"))
 
 
 def groups(leads: DataFrame) -> DataFrame:
