@@ -29,7 +29,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     exceeds `most` times its source's size, and the excess is dealt again by weight until none is above. That fixed
     point is a water level: in the order of cap / weight sources fill up first, so the level is what is left beyond
     the full ones over the weights of the rest, at the first source that stays below its cap.
-    These windows run over one row per source, never over documents.
+    These windows run over one row per source, never over documents, but in one task: `source` is taken to name some
+    thousands of places at most, not a place for each document.
     """
     per = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.greatest(F.lit(BUCKETS), F.ceil(F.count("*") / BUCKET_ROWS)).cast("long").alias("buckets"))
     turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1
@@ -69,6 +70,7 @@ def mixing_plan(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: flo
     A document is expected target / source_size times: the whole part is allocated for certain, the rest is a sample
     of fixed size (in words) taken in Pareto order. Words are summed per (source, bucket) before any ranking; only the
     documents of the one bucket in which the sample ends are ranked, so a hot source is never sorted in one task.
+    Documents without words are never the end: they change no sum, and go where their bucket and key fall.
     The document at the end is taken if that brings the source nearer to its target. Rows that repeat its id and size
     have the same odds: as many of them are taken as bring the source nearest, in the order of the hash of their place.
     A source with nothing left to sample (at its cap, say) takes no part in this.
@@ -83,7 +85,7 @@ def mixing_plan(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: flo
     ends = cut(ends)
     e = maybe_broadcast(ends.withColumnRenamed("source", "end_source"))
     end_rows = rows.join(e, F.col("source").eqNullSafe(F.col("end_source")) & (F.col("bucket") == F.col("end_bucket")))
-    last = end_rows.groupBy("source", "room", "q", "id", "size").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+    last = end_rows.where("size > 0").groupBy("source", "room", "q", "id", "size").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
     w = Window.partitionBy("source").orderBy("q", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     last = last.withColumn("upto", F.sum("words").over(w)).where("upto > room")
     some = F.floor((F.col("room") - F.col("upto") + F.col("words")) / F.col("size") + 0.5).cast("long")  # rows of the last ones that are taken
@@ -133,7 +135,11 @@ def op2(spark, docs: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed corpus: each document as often as the mix takes it, in the columns it came with."""
+    """The mixed corpus: each document as often as the mix takes it, in the columns it came with.
+
+    Null and blank texts have size 0: they take part in no sum and are kept or not as their key falls. A null source is a
+    source, null ids hash as -1, repeated rows are taken one by one, no rows give no rows.
+    """
     rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("place"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
     plan = mixing_plan(cut(rows.select("doc_id", "source", "size", "place")))
     return mix(rows, plan).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("document.*")

@@ -7,7 +7,6 @@ character under the best format's automaton over that under a background model o
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import math
 import random
@@ -27,11 +26,13 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _PART = re.compile("[^=]+")
-_DELIMITER = re.compile("[/._+-]")
+_BORDERS = "/._+-"
+_DELIMITER = re.compile(f"[{_BORDERS}]")
 
 ALPHA = 0.05  # of the merge test
 SEED = 20  # of the labelled credentials
 EACH = 200  # labelled credentials a format
+FLOOR = -6.0  # nats a character that no ordinary string falls below
 MARGIN = 0.3  # nats a character by which a format must beat ordinary strings
 NAMES = string.ascii_letters + string.digits
 
@@ -54,7 +55,7 @@ def labelled(seed: int = SEED, each: int = EACH) -> dict[str, tuple[int, list[st
         "slack": (5, lambda: r.choice(("xoxb-", "xoxp-", "xoxa-")) + some(string.digits, 12) + "-" + some(string.digits, 12) + "-" + some(NAMES, 24)),
         "stripe": (8, lambda: r.choice(("sk_live_", "sk_test_", "rk_live_")) + some(NAMES, 24)),
         "google": (4, lambda: "AIza" + some(b64, 35)),
-        "jwt": (3, lambda: "eyJ" + some(NAMES, 17) + ".eyJ" + some(NAMES, 30) + "." + some(b64, 43)),
+        "jwt": (3, lambda: "eyJ" + some(NAMES, r.randint(15, 48)) + ".eyJ" + some(NAMES, r.randint(20, 160)) + "." + some(b64, 43)),
         "sendgrid": (3, lambda: "SG." + some(b64, 22) + "." + some(b64, 43)),
         "npm": (4, lambda: "npm_" + some(NAMES, 36)),
         "hexkey": (0, lambda: some(hexa, r.choice((24, 32, 40, 64)))),
@@ -65,13 +66,15 @@ def labelled(seed: int = SEED, each: int = EACH) -> dict[str, tuple[int, list[st
 
 
 def ordinary(seed: int = SEED, each: int = EACH) -> dict[str, tuple[int, list[str]]]:
-    """What is no credential: words, names with case or marks, numbers, addresses and versions."""
+    """What is no credential: words, names in camel case or with marks, numbers, addresses and versions."""
     r = random.Random(seed + 1)
     syllables = "a e i o u an er in on re th ti es st le la co de ment tion ing ous lich ung keit eau que ado er os".split()
     word = lambda: "".join(r.choices(syllables, k=r.randint(2, 8)))
     digits = lambda n: "".join(r.choices(string.digits, k=n))
     return {
         "words": (0, [word() for _ in range(2 * each)]),
+        "camel": (0, ["".join([word(), *(word().title() for _ in range(r.randint(1, 5)))]) + r.choice(("", "", digits(1), digits(3))) for _ in range(each)]),
+        "classes": (0, [r.choice(("", "_", ".")).join(word().title() for _ in range(r.randint(2, 6))) for _ in range(each)]),
         "names": (0, [r.choice("_-./").join(w.title() if r.random() < 0.3 else w for w in (word(), word(), word())) + r.choice(("", digits(1), digits(4))) for _ in range(each)]),
         "upper": (0, [(word() + r.choice(("", "_", "-", digits(2))) + word() + r.choice(("", digits(2)))).upper() for _ in range(each)]),
         "numbers": (0, [r.choice(("", "+")) + digits(r.randint(8, 24)) for _ in range(each)]),
@@ -80,51 +83,48 @@ def ordinary(seed: int = SEED, each: int = EACH) -> dict[str, tuple[int, list[st
 
 
 _CLASS = {c: "0" if c in string.digits else "f" if c in "abcdef" else "z" if c in string.ascii_lowercase else "F" if c in "ABCDEF" else "Z" for c in NAMES}
+_CLASSES = str.maketrans(_CLASS)
 _WIDTH = {"0": math.log(10), "f": math.log(6), "z": math.log(20), "F": math.log(6), "Z": math.log(20)}
+FEW = 8  # labelled lengths up to which a format has just these; beyond, all between the shortest and the longest
 
 
 def symbols(s: str, head: int) -> list[str]:
     """The characters of a format's fixed head as such (marked by =), then digits, hex letters and letters as classes."""
-    rest = ["0" if c in string.digits else "f" if c in "abcdef" else "z" if c in string.ascii_lowercase else "F" if c in "ABCDEF" else "Z" if c in string.ascii_uppercase else c for c in s[head:]]
-    return [f"={c}" for c in s[:head]] + rest
+    return [*(f"={c}" for c in s[:head]), *s[head:].translate(_CLASSES)]
 
 
 class Automaton(NamedTuple):
-    """Probabilistic automaton: moves[state] has symbol -> (next state, log probability); ends[state] is that of the end."""
+    """Probabilistic automaton: moves[state] has symbol -> (next state, log probability of a character of that class);
+    ends[state] is that of the end; lengths are those a string may have, by the examples it was learned from."""
 
     head: int
     moves: list[dict[str, tuple[int, float]]]
     ends: list[float]
+    lengths: frozenset[int] | range
 
-    def score(self, s: str) -> float:
-        """Log-likelihood a character; minus infinity where the format cannot go on."""
-        at, total = 0, 0.0
-        for k in symbols(s, self.head):
-            step = self.moves[at].get(k)
-            if step is None:
-                return -math.inf
-            at, total = step[0], total + step[1] - _WIDTH.get(k, 0.0)
-        return (total + self.ends[at]) / max(1, len(s))
-
+    @property
+    def longest(self) -> int:
+        return max(self.lengths)
 
-    def begins(self) -> list[str]:
-        """The fixed heads that the format was learned with; none if it has none."""
-        paths = [("", 0)]
+    def begins(self) -> dict[str, tuple[int, float]]:
+        """The fixed heads that the format was learned with, and the state and log-likelihood after each."""
+        paths = [("", 0, 0.0)]
         for _ in range(self.head):
-            paths = [(p + k[1:], to) for p, at in paths for k, (to, _) in self.moves[at].items() if k[0] == "=" and len(k) > 1]
-        return [p for p, _ in paths if p]
-
-    def walk(self, s: str) -> tuple[list[float], int]:
-        """(log-likelihood of each prefix with its end, characters up to where the format cannot go on)."""
-        at, total, out = 0, 0.0, [-math.inf]
-        for i, c in enumerate(s):
-            k = f"={c}" if i < self.head else _CLASS.get(c, c)
-            step = self.moves[at].get(k)
+            paths = [(p + k[1:], to, total + x) for p, at, total in paths for k, (to, x) in self.moves[at].items() if k[0] == "=" and len(k) > 1]
+        return {p: (at, total) for p, at, total in paths if p}
+
+    def walk(self, classes: str, at: int = 0, total: float = 0.0) -> list[float]:
+        """Log-likelihood, with its end, of each prefix of the classes, as far as the automaton can go on."""
+        moves, ends = self.moves, self.ends
+        out = [total + ends[at]]
+        for c in classes:
+            step = moves[at].get(c)
             if step is None:
                 break
-            at, total = step[0], total + step[1] - _WIDTH.get(k, 0.0)
-            out.append(total + self.ends[at])
-        return out, len(out) - 1
+            at = step[0]
+            total += step[1]
+            out.append(total + ends[at])
+        return out
 
 
 def learn(examples: Iterable[str], head: int = 0, alpha: float = ALPHA) -> Automaton:
@@ -132,9 +132,11 @@ def learn(examples: Iterable[str], head: int = 0, alpha: float = ALPHA) -> Autom
     kids: list[dict[str, int]] = [{}]
     out: list[Counter] = [Counter()]
     ends, visits = [0], [0]
+    sizes = set()
     for s in examples:
         at = 0
         visits[0] += 1
+        sizes.add(len(s))
         for k in symbols(s, head):
             out[at][k] += 1
             if k not in kids[at]:
@@ -183,68 +185,77 @@ def learn(examples: Iterable[str], head: int = 0, alpha: float = ALPHA) -> Autom
             kids[parent][k] = same
             fold(same, b)
     number = {r: i for i, r in enumerate(red)}
-    moves = [{k: (number[kids[r][k]], math.log(n / visits[r])) for k, n in out[r].items()} for r in red]
-    return Automaton(head, moves, [math.log(max(ends[r], 0.01) / visits[r]) for r in red])
+    moves = [{k: (number[kids[r][k]], math.log(n / visits[r]) - _WIDTH.get(k, 0.0)) for k, n in out[r].items()} for r in red]
+    lengths = frozenset(sizes) if len(sizes) <= FEW else range(min(sizes), max(sizes) + 1)
+    return Automaton(head, moves, [math.log(max(ends[r], 0.01) / visits[r]) for r in red], lengths)
 
 
 class Grammar(NamedTuple):
     formats: dict[str, Automaton]
     plain: list[Automaton]
-    heads: re.Pattern  # where a format's fixed head begins
+    heads: dict[str, list[tuple[str, int, float]]]  # fixed head -> (format, state and log-likelihood after it)
+    head: re.Pattern  # where a format's fixed head begins
     shortest: int  # characters of the shortest labelled credential: no format takes fewer
-    candidate: re.Pattern  # runs of credential characters of that length and more
+    longest: int  # and of the longest: nothing is followed further
+    candidate: re.Pattern  # runs of credential characters of the shortest length and more
 
     @classmethod
     def build(cls, seed: int = SEED, each: int = EACH, alpha: float = ALPHA) -> Grammar:
         known = labelled(seed, each)
         formats = {k: learn(x, head, alpha) for k, (head, x) in known.items()}
-        shortest = min(len(x) for _, xs in known.values() for x in xs)
-        heads = sorted({h for a in formats.values() for h in a.begins()})
-        return cls(formats, [learn(x, head, alpha) for head, x in ordinary(seed, each).values()], re.compile(f"(?={'|'.join(map(re.escape, heads))})"), shortest, re.compile(f"[A-Za-z0-9+/_.=-]{{{shortest},}}"))
-
-    def judge(self, s: str, margin: float = MARGIN) -> str | None:
-        """The likeliest format of a candidate, if it beats all ordinary strings by the margin."""
-        best, kind = max((a.score(s), k) for k, a in self.formats.items())
-        if best == -math.inf:
-            return None
-        return kind if best - self.ordinary(s) >= margin else None
-
-    def ordinary(self, s: str) -> float:
-        """Log-likelihood a character of an ordinary string."""
-        return max(max(a.score(s) for a in self.plain), -6.0)
-
-    def inside(self, s: str, margin: float = MARGIN) -> list[tuple[int, int, str]]:
-        """(start, end, format) of the credentials within a longer run, apart from each other; the strongest are taken first.
-
-        They start after a delimiter or where a format's head begins, and end before a delimiter or where the format
-        cannot go on: where the format's likelihood with its end, times that of an ordinary rest, is largest.
+        heads: dict[str, list[tuple[str, int, float]]] = {}
+        for k, a in formats.items():
+            for h, (at, total) in a.begins().items():
+                heads.setdefault(h, []).append((k, at, total))
+        shortest, longest = min(min(a.lengths) for a in formats.values()), max(a.longest for a in formats.values())
+        plain = [learn(x, head, alpha) for head, x in ordinary(seed, each).values()]
+        return cls(formats, plain, heads, re.compile(f"(?=({'|'.join(map(re.escape, sorted(heads)))}))"), shortest, longest, re.compile(f"[A-Za-z0-9+/_.=-]{{{shortest},}}"))
+
+    def ordinary(self, classes: str) -> list[float]:
+        """Log-likelihood of each prefix as an ordinary string; at least FLOOR a character."""
+        out = [FLOOR * i for i in range(len(classes) + 1)]
+        for a in self.plain:
+            for i, x in enumerate(a.walk(classes)):
+                if x > out[i]:
+                    out[i] = x
+        return out
+
+    def find(self, s: str, margin: float = MARGIN) -> list[tuple[int, int, str]]:
+        """(start, end, format) of the credentials in a run of credential characters, apart from each other.
+
+        They start after a delimiter or where a format's head begins; they end before a delimiter, at the run's end, or,
+        for a format with a head, where the format cannot go on. Of a start's lengths that the format was labelled with
+        the one is taken that gains most over an ordinary string, if it gains the margin a character; of overlapping
+        ones the leftmost is taken, of those that start together the one that gains most. A start is followed no
+        further than the longest labelled credential, so the work is linear in the run.
         """
+        classes, n, out, free = s.translate(_CLASSES), len(s), [], 0
+        heads = {m.start(): m[1] for m in self.head.finditer(s)}
         starts = {0, *(m.end() for m in _DELIMITER.finditer(s))}
-        heads = {m.start() for m in self.heads.finditer(s)}
-        borders = [m.start() for m in _DELIMITER.finditer(s)] + [len(s)]
-        found = []
-        for start in sorted(starts | heads):
-            if len(s) - start < self.shortest:
+        for start in sorted(starts | heads.keys()):
+            if start < free:
+                continue
+            if n - start < self.shortest:
                 break
-            for kind, a in self.formats.items():
-                if start not in (heads if a.head else starts):
-                    continue
-                upto, n = a.walk(s[start : start + self.shortest])
-                if n < self.shortest:
+            part = classes[start : start + self.longest + 1]
+            walks = [(kind, 0, a.walk(part[: a.longest])) for kind, a in self.formats.items() if not a.head] if start in starts else []
+            for kind, at, total in self.heads.get(heads.get(start, ""), ()):
+                a = self.formats[kind]
+                walks.append((kind, a.head, a.walk(part[a.head : a.longest], at, total)))
+            best, plain = (0.0, 0, ""), None
+            for kind, head, upto in walks:
+                stop, a = head + len(upto) - 1, self.formats[kind]  # the format cannot go on there, or it is as long as it gets
+                if stop < min(a.lengths):
                     continue
-                upto, n = a.walk(s[start:])
-                ends = borders[bisect.bisect_left(borders, start + self.shortest) : bisect.bisect_right(borders, start + n)]
-                if a.head and n >= self.shortest and start + n not in ends:
-                    ends.append(start + n)
-                best, end = max(((upto[e - start] + (start + n - e) * (self.ordinary(s[e + 1 : start + n]) if e + 1 < start + n else -6.0), e) for e in ends), default=(-math.inf, 0))
-                gain = (upto[end - start] / (end - start) if best > -math.inf else -math.inf) - self.ordinary(s[start:end])
-                if gain >= margin:
-                    found.append((gain * (end - start), start, end, kind))
-        out: list[tuple[int, int, str]] = []
-        for _, start, end, kind in sorted(found, reverse=True):
-            i = bisect.bisect_left(out, (start, end, kind))
-            if (i == 0 or out[i - 1][1] <= start) and (i == len(out) or end <= out[i][0]):
-                out.insert(i, (start, end, kind))
+                for size in sorted(x for x in a.lengths if x <= stop):
+                    if size == len(part) or part[size] in _BORDERS or (head and size == stop):
+                        plain = plain or self.ordinary(part)
+                        gain = upto[size - head] - plain[size]
+                        if gain >= margin * size:
+                            best = max(best, (gain, start + size, kind))
+            if best[2]:
+                out.append((start, best[1], best[2]))
+                free = best[1]
         return out
 
 
@@ -257,17 +268,14 @@ def base_spans(text: str) -> list[Span]:
 
 
 def format_spans(text: str, grammar: Grammar) -> list[Span]:
-    """Candidates, runs of credential characters as long as the shortest credential or longer, that a format's automaton
-    explains best: whole runs, or what a run that no format explains as a whole has inside."""
+    """Credentials inside the runs of credential characters that are as long as the shortest credential or longer; runs
+    end before a sign of equality and lose their last stops."""
     out = []
     for m in grammar.candidate.finditer(text):
         for part in _PART.finditer(m[0].rstrip(".=")):
-            s, at = part[0], m.start() + part.start()
-            if len(s) < grammar.shortest:
-                continue
-            kind = grammar.judge(s)
-            for start, end, k in [(0, len(s), kind)] if kind else grammar.inside(s):
-                out.append(Span(at + start, at + end, k))
+            if len(part[0]) >= grammar.shortest:
+                at = m.start() + part.start()
+                out += [Span(at + start, at + end, kind) for start, end, kind in grammar.find(part[0])]
     return out
 
 
@@ -324,7 +332,10 @@ def op4(spark, docs: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their secrets redacted: a document is kept, a credential is not. n_chars follows the text."""
+    """The documents with their secrets redacted: a document is kept, a credential is not. n_chars follows the text.
+
+    Null texts stay null, texts without secrets stay as they are; repeated rows repeat; no rows, no result.
+    """
     columns, types = docs.columns, dict(docs.dtypes)
     at = columns.index("text")
 
