@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, licenses, mixing, near_duplicates, neighbours, ogg, secrets, token_file, toxicity
+from . import bpe, conversation_trie, language, licenses, mixing, near_duplicates, neighbours, ogg, secrets, token_file, toxicity, whitening
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,8 @@ QUERIES: dict[str, Query] = {
     "op8_token_file": lambda spark, d: token_file.op8(spark, table(spark, d, "documents")),
     "op9_ogg_media": lambda spark, d: ogg.op9(spark, table(spark, d, "documents")),
     "op10_nearest": lambda spark, d: neighbours.op10(spark, table(spark, d, "embeddings")),
+    "op11_whitening": lambda spark, d: whitening.op11(spark, table(spark, d, "embeddings")),
+    "op13_conversation_trie": lambda spark, d: conversation_trie.op13(spark, table(spark, d, "conversations")),
 }
 
-ORACLES: dict[str, str] = {"op2_source_mix": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op2_source_mix": mixing.ORACLE, "op13_conversation_trie": conversation_trie.ORACLE}
