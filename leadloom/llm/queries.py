@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, conversation_trie, language, licenses, mixing, near_duplicates, neighbours, ogg, secrets, token_file, toxicity, whitening
+from . import bpe, conversation_trie, language, licenses, mixing, near_duplicates, neighbours, ogg, repeats, secrets, token_file, toxicity, whitening
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,7 @@ QUERIES: dict[str, Query] = {
     "op9_ogg_media": lambda spark, d: ogg.op9(spark, table(spark, d, "documents")),
     "op10_nearest": lambda spark, d: neighbours.op10(spark, table(spark, d, "embeddings")),
     "op11_whitening": lambda spark, d: whitening.op11(spark, table(spark, d, "embeddings")),
+    "op12_suffix_dedup": lambda spark, d: repeats.op12(spark, table(spark, d, "documents")),
     "op13_conversation_trie": lambda spark, d: conversation_trie.op13(spark, table(spark, d, "conversations")),
 }
 
