@@ -1,16 +1,24 @@
-"""Duplicate leads: pairwise rule over blocked pairs, and the order-dependent greedy fold inside connected groups."""
+"""Duplicate leads: the pairwise rule over blocked pairs, the order-dependent greedy fold as rounds of joins, and the merge.
+
+In the fold a lead goes to the first kept lead that is its duplicate as things stand then, and gives it what that one
+lacks. Which lead goes where is a fixed point: given any guess of it, what each kept lead has at each time follows by
+aggregation, and from that, by joins on keys, the lead's true goal. The first lead is right in any guess, and every round
+makes those right whose earlier ones are, so the rounds end in the fold's own result, after as many as decisions hang on
+one another. No group of leads is ever gathered in a task.
+"""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import js_trim, truthy
-from ..functions.web import normalize_domain
+from ..functions.text import js_trim, nonblank, truthy
+from ..functions.web import normalize_domain, normalize_email, seniority
 from ..sources.storage import cut
+from .leads import score, tier
+
 
 # Words that a company's name is compared without.
 NAME_STOP = ("inc", "llc", "ltd", "corp", "corporation", "co", "the", "and", "&", "group", "services", "service", "company", "solutions", "holdings")
@@ -61,69 +69,183 @@ def duplicate_pairs(leads: DataFrame) -> DataFrame:
     return pair(place, "place_id").unionByName(pair(phone, "domain_phone")).unionByName(pair(alike, "domain_name_similarity"))
 
 
-def groups(leads: DataFrame) -> DataFrame:
-    """(seq, grp): leads connected by place ids and domains; grp is the smallest seq. Labels spread through the keys by
-    aggregations until none changes; what is left alone by both keys is a group of its own."""
-    p = prepared(leads).select("seq", "pid", "domain")
-    links = p.where("pid <> ''").select("seq", F.concat(F.lit("p:"), "pid").alias("key")).union(p.where("domain <> ''").select("seq", F.concat(F.lit("d:"), "domain").alias("key")))
-    links = cut(links)
-    label = cut(p.select("seq", F.col("seq").alias("grp")))
-    while True:
-        low = links.join(label, "seq").groupBy("key").agg(F.min("grp").alias("low"))
-        new = links.join(low, "key").groupBy("seq").agg(F.min("low").alias("low")).join(label, "seq", "right").select("seq", F.least(F.coalesce("low", "grp"), "grp").alias("grp"))
-        # a label's own label is taken over too, so that long chains take few rounds
-        jump = label.select(F.col("seq").alias("grp"), F.col("grp").alias("far"))
-        new = cut(new.join(jump, "grp", "left").select("seq", F.least("grp", F.coalesce("far", "grp")).alias("grp")))
-        if new.join(label.withColumnRenamed("grp", "old"), "seq").where("grp <> old").isEmpty():
-            return new
-        label = new
-
-
-def _same(a: dict, b: dict) -> bool:
-    if a["pid"] and b["pid"]:
-        return a["pid"] == b["pid"]
-    if not a["domain"] or a["domain"] != b["domain"]:
-        return False
-    x, y = a["digits"], b["digits"]
-    if len(x) >= 7 and len(y) >= 7:
-        return x.endswith(y[-7:]) or y.endswith(x[-7:])
-    words = [[w for w in re.sub(r"[^a-z0-9\s]", " ", (r["name"] or "").lower()).split() if w not in NAME_STOP] for r in (a, b)]
-    p, q = map(set, words)
-    if not p or not q:
-        return False
-    if (p <= q or q <= p) and min(map(len, words)) >= 2:
-        return True
-    return len(p & q) / len(p | q) >= SIMILAR
+NEVER = (1 << 63) - 1
+
+
+def _filled(leads: DataFrame) -> DataFrame:
+    """prepared() leads with what they give a kept lead that lacks it: a site, a place id, and a phone (the first further
+    phone of seven digits or more where the lead's own is empty)."""
+    given = lambda c: truthy(F.col(c))
+    digits = lambda c: F.regexp_replace(c, r"\D", "")
+    more = F.get(F.filter("additional_phones", lambda p: F.length(digits(p)) >= 7), F.lit(0)) if "additional_phones" in leads.columns else F.lit(None).cast("string")
+    phone = F.when(given("phone"), F.col("phone")).otherwise(more)
+    extra = leads.select("seq", given("website").alias("has_site"), given("place_id").alias("has_place"), given("phone").alias("has_phone"), phone.isNotNull().alias("gives_phone"), digits(F.coalesce(phone, F.lit(""))).alias("given_digits"))
+    words = F.array_join(F.array_sort(name_tokens(F.col("name"))), " ")
+    return prepared(leads).drop("place_id").withColumn("words", words).drop("name").join(extra, "seq")
+
+
+def _alike(leads: DataFrame) -> DataFrame:
+    """(domain, words, other): names on one domain that are similar, `words` of a lead that comes and `other` of one that
+    may be kept. Distinct names only; they meet on a word that is rare on the domain, not on every word: of similar names
+    one has all words of the other, or their rarest words, as many as may be missing and one more, have one in common."""
+    own = leads.where("domain <> '' AND words <> ''").select("domain", "words")
+    places = leads.where("pid <> '' AND domain <> ''").select("pid", "domain").distinct()
+    taken = leads.where("NOT has_site AND pid <> '' AND words <> ''").select("pid", "words").distinct().join(places, "pid").select("domain", "words")
+    names = cut(own.union(taken).distinct())
+    one = names.select("domain", "words", F.explode(F.array_distinct(F.split("words", " "))).alias("word"))
+    seen = one.groupBy("domain", "word").agg(F.count("*").alias("n"))
+    ranked = one.join(seen, ["domain", "word"]).groupBy("domain", "words").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]).alias("ranked"))
+    size = F.size("ranked")
+    rare = ranked.select("domain", "words", F.explode(F.slice("ranked", F.lit(1), size - F.ceil(size * SIMILAR).cast("int") + 1)).alias("word"))
+    meet = rare.join(one.withColumnRenamed("words", "other"), ["domain", "word"]).select("domain", "words", "other")
+    both = meet.union(meet.select("domain", F.col("other").alias("words"), F.col("words").alias("other"))).distinct()
+    return both.where(token_similarity(F.split("words", " "), F.split("other", " ")) >= SIMILAR)
+
+
+def _key(*parts: Column) -> Column:
+    return F.concat_ws("\x1f", *parts)
+
+
+def _flag(c: Column) -> Column:
+    return F.when(c, "1").otherwise("0")
+
+
+def _asked(leads: DataFrame) -> DataFrame:
+    """(seq, key) of what a lead looks for: its place id; its domain and last digits; its domain and each similar name. The
+    latter two tell apart leads with a place id, and with a phone, as these look for kept leads without."""
+    pid, phone = F.col("pid") != "", F.length("digits") >= 7
+    places = leads.where(pid).select("seq", _key(F.lit("place"), "pid").alias("key"))
+    phones = leads.where((F.col("domain") != "") & phone).select("seq", _key(F.lit("phone"), _flag(pid), F.col("domain"), F.right("digits", F.lit(7))).alias("key"))
+    names = leads.where("domain <> '' AND words <> ''").join(_alike(leads), ["domain", "words"]).select("seq", _key(F.lit("name"), _flag(pid), _flag(phone), F.col("domain"), F.col("other")).alias("key"))
+    return places.union(phones).union(names)
+
+
+def _offered(leads: DataFrame, goals: DataFrame) -> DataFrame:
+    """(key, kept, start, end): under which keys the kept leads of a guess can be found, after start and up to end.
+
+    A kept lead has its own site, phone and place id, or the first that is given to it, from then on. Of those with one
+    key that are there from their own turn on and for good, only the first can be anyone's goal, so later ones go.
+    """
+    j = leads.join(goals, "seq")
+    own = F.col("seq") == F.col("kept")
+    when = lambda has, value, name: F.min(F.when(has, F.struct(F.col("seq").alias("at"), value.alias("value")))).alias(name)
+    phone = F.when(own, F.col("digits")).otherwise(F.col("given_digits"))
+    state = j.groupBy("kept").agg(
+        F.bool_or(own).alias("stays"), F.min(F.when(own, F.col("words"))).alias("words"), when(F.col("has_site"), F.col("domain"), "site"),
+        when(F.when(own, F.col("has_phone")).otherwise(F.col("gives_phone")), phone, "phone"), when(F.col("has_place"), F.col("pid"), "place"),
+    ).where("stays")
+    never = F.lit(NEVER)
+    pid, domain, full = F.col("place.value"), F.col("site.value"), F.length("phone.value") >= 7
+    placed = F.when(pid != "", F.col("place.at")).otherwise(never)
+    called = F.when(full, F.col("phone.at")).otherwise(never)
+    offer = lambda cond, key, start, end: F.when(cond, F.struct(key.alias("key"), start.alias("start"), end.alias("end")))
+    tail, met = F.right("phone.value", F.lit(7)), F.greatest("phone.at", "site.at")
+    on = (domain != "") & (F.col("words") != "")
+    name = lambda p, f, end: offer(on, _key(F.lit("name"), F.lit(p), F.lit(f), domain, F.col("words")), F.col("site.at"), end)
+    offers = F.array(
+        offer(pid != "", _key(F.lit("place"), pid), F.col("place.at"), never),
+        offer((domain != "") & full, _key(F.lit("phone"), F.lit("0"), domain, tail), met, never), offer((domain != "") & full, _key(F.lit("phone"), F.lit("1"), domain, tail), met, placed),
+        name("0", "0", never), name("1", "0", placed), name("0", "1", called), name("1", "1", F.least(placed, called)),
+    )
+    rows = state.select("kept", F.explode(F.filter(offers, lambda o: o.isNotNull())).alias("o")).select("kept", "o.*").where("start < end")
+    first = rows.groupBy("key").agg(F.min(F.when((F.col("start") == F.col("kept")) & (F.col("end") == NEVER), F.col("kept"))).alias("first"))
+    return rows.join(first, "key").where(F.col("first").isNull() | (F.col("kept") <= F.col("first"))).drop("first")
 
 
 def greedy(leads: DataFrame) -> DataFrame:
     """(seq, kept): the lead that each one is merged into (itself if it stays): the first kept one, in order of seq, that
-    is its duplicate. A kept lead takes over website, phone and place id from those merged into it where its own are
-    missing, so the fold depends on order and runs group by group; groups never share a key, so this is the global result.
+    is its duplicate at that time. A kept lead takes over website, phone and place id from those merged into it where its
+    own are empty. seq must be unique; leads are (seq, company_name, place_id, website, phone) and, if there are any,
+    additional_phones."""
+    rows = cut(_filled(leads).withColumn("seq", F.col("seq").cast("long")))
+    asked = cut(_asked(rows))
+    goals = rows.select("seq", F.col("seq").alias("kept"))
+    while True:
+        there = (F.col("start") < F.col("seq")) & (F.col("seq") <= F.col("end"))
+        found = asked.join(_offered(rows, goals), "key").where(there).groupBy("seq").agg(F.min("kept").alias("found"))
+        new = cut(goals.join(found, "seq", "left").select("seq", F.coalesce("found", "seq").alias("kept"), F.col("kept").alias("old")))
+        goals = new.select("seq", "kept")
+        if new.where("kept <> old").isEmpty():
+            return goals
+
+
+# Fields of which a kept lead takes the first value that is there.
+PRIMITIVES = ("website", "address", "phone", "rating", "review_count", "category", "description", "place_id", "map_url")
+PLATFORMS = ("linkedin", "facebook", "instagram", "twitter", "youtube", "github", "pinterest")
+PERSON = "array<struct<name:string,title:string,email:string,phone:string,linkedin_url:string,profile_url:string,confidence:double>>"
+
+
+def _digits(c: Column) -> Column:
+    return F.regexp_replace(c, r"\D", "")
+
+
+def _contacts(members: DataFrame, first: str, more: str, key: Callable[[Column], Column], least: int, name: str) -> DataFrame:
+    """(kept, name): the contacts that merged leads bring, in order, once for each key; a contact's rows are reduced by key
+    before those of a lead come together."""
+    raw = members.where("seq <> kept").select("kept", "seq", F.posexplode(F.concat(F.array(first), F.coalesce(more, F.array().cast("array<string>")))).alias("pos", "raw"))
+    keyed = raw.where(truthy(F.col("raw"))).withColumn("key", key(F.col("raw"))).where(F.length("key") >= least)
+    once = keyed.groupBy("kept", "key").agg(F.min(F.struct("seq", "pos", "raw")).alias("at"))
+    return once.groupBy("kept").agg(F.array_sort(F.collect_list(F.struct("at.seq", "at.pos", "at.raw", "key"))).alias(name))
+
+
+def _people(members: DataFrame, began: DataFrame) -> DataFrame:
+    """(kept, ranked): a merged lead's people, one for each address or else name, best first.
+
+    A person has the first values that there are. Seniority is judged once, by the title at the end of the merge that
+    brought the person: a title found later is kept, but doesn't move its person up.
+    """
+    rows = members.select("kept", "seq", F.posexplode(F.col("people").cast(PERSON)).alias("pos", "p")).where(truthy(F.col("p.name")))
+    rows = rows.join(began, "kept").withColumn("merge", F.greatest("seq", "began")).withColumn("key", js_trim(F.lower(F.when(truthy(F.col("p.email")), F.col("p.email")).otherwise(F.col("p.name")))))
+    at = F.struct("seq", "pos")
+    first = lambda c: F.min_by(F.col(f"p.{c}"), F.when(truthy(F.col(f"p.{c}")), at)).alias(c)
+    judged = F.struct("merge", (~truthy(F.col("p.title"))).alias("none"), "seq", "pos", F.col("p.title").alias("title"))
+    one = rows.groupBy("kept", "key").agg(F.min(at).alias("at"), F.min_by("p", at).alias("p"), first("title"), first("email"), first("linkedin_url"), F.min(judged).alias("judged"))
+    person = F.struct("p.name", "title", "email", "p.phone", "linkedin_url", "p.profile_url", "p.confidence")
+    order = F.struct((-seniority(F.col("judged.title"))).alias("a"), (~nonblank(F.col("email"))).alias("b"), (~nonblank(F.col("linkedin_url"))).alias("c"), (-F.coalesce("p.confidence", F.lit(0.0))).alias("d"), F.col("at").alias("e"), person.alias("person"))
+    return one.groupBy("kept").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["person"]).alias("ranked"))
+
+
+def merge_duplicates(leads: DataFrame, kept: DataFrame) -> DataFrame:
+    """The kept leads, each with what the leads merged into it bring, in order of seq; `members` counts them all.
+
+    PRIMITIVES and PLATFORMS are the first ones there are; e-mails and phones of seven digits or more that are new become
+    additional ones (or the lead's own, if it has none); people are united and ranked, the first is the decision maker;
+    score and tier are new. A lead into which none is merged stays as it is. leads: seq, company_name, PRIMITIVES,
+    PLATFORMS, email, email_status, city, region, postal_code, additional_emails, additional_phones, people (see PERSON),
+    has_social, from_listing, from_website, decision_maker_{name, title, email, linkedin}, lead_score, quality_tier.
     """
-    rows = prepared(leads).join(groups(leads), "seq").join(leads.select("seq", "website"), "seq")
-
-    def fold(table: pa.Table) -> pa.Table:
-        kept: list[dict] = []
-        out = []
-        for r in sorted(table.to_pylist(), key=lambda r: r["seq"]):
-            match = next((k for k in kept if _same(k, r)), None)
-            if match is None:
-                kept.append(r)
-                out.append((r["seq"], r["seq"]))
-                continue
-            out.append((r["seq"], match["seq"]))
-            for empty, copy in ((not match["website"], ("website", "domain")), (not match["digits"], ("digits",)), (not match["pid"], ("pid",))):
-                if empty:
-                    match.update({c: r[c] for c in copy})
-        return pa.table({"seq": pa.array([a for a, _ in out], pa.int64()), "kept": pa.array([b for _, b in out], pa.int64())})
-
-    rows = rows.select(F.col("seq").cast("long").alias("seq"), F.col("grp").cast("long").alias("grp"), "pid", "domain", "digits", "name", "website")
-    return rows.groupBy("grp").applyInArrow(fold, "seq long, kept long")
-
-
-def merged(leads: DataFrame, kept: DataFrame, fields: list[str]) -> DataFrame:
-    """One row for each kept lead: each field's first value, in order of seq, that is neither null nor empty."""
     j = leads.join(kept, "seq")
-    pick = lambda c: F.min_by(F.col(c), F.when(truthy(F.col(c).cast("string")), F.col("seq"))).alias(c)
-    return j.groupBy("kept").agg(F.count("*").alias("members"), *[pick(c) for c in fields]).withColumnRenamed("kept", "seq")
+    began = kept.where("seq <> kept").groupBy("kept").agg(F.min("seq").alias("began"))
+    more = F.get(F.filter("additional_phones", lambda p: F.length(_digits(p)) >= 7), F.lit(0))
+    given = F.when(truthy(F.col("phone")), F.col("phone")).when(F.col("seq") != F.col("kept"), more)
+    value = lambda c: given if c == "phone" else F.col(c)
+    pick = lambda c: F.min_by(value(c), F.when(truthy(value(c).cast("string")), F.col("seq"))).alias(f"m_{c}")
+    fields = j.groupBy("kept").agg(F.count("*").alias("members"), *[pick(c) for c in (*PRIMITIVES, *PLATFORMS)])
+    mails = _contacts(j, "email", "additional_emails", normalize_email, 1, "mails")
+    phones = _contacts(j, "phone", "additional_phones", _digits, 7, "phones")
+    out = leads.withColumnRenamed("seq", "kept").join(fields, "kept")
+    for t in (mails, phones, _people(j, began)):
+        out = out.join(t, "kept", "left")
+    many, none = F.col("members") > 1, F.array().cast("array<string>")
+    out = out.withColumns({c: F.when(many, F.col(f"m_{c}")).otherwise(F.col(c)) for c in (*PRIMITIVES, *PLATFORMS)})
+    has, own = truthy(F.col("email")), F.coalesce("additional_emails", none)
+    rest = F.when(has, F.col("mails")).otherwise(F.filter("mails", lambda x, i: i > 0))
+    known = F.transform(F.concat(F.array(F.coalesce("email", F.lit(""))), own), normalize_email)
+    new = lambda found, seen: F.coalesce(F.transform(F.filter(found, lambda x: ~F.array_contains(seen, x["key"])), lambda x: x["raw"]), none)
+    out = out.withColumns({"additional_emails": F.when(many, F.concat(own, new(rest, known))).otherwise(F.col("additional_emails")), "email": F.when(many & ~has, F.coalesce(F.get("mails", F.lit(0))["raw"], F.col("email"))).otherwise(F.col("email"))})
+    own = F.coalesce("additional_phones", none)
+    known = F.transform(F.concat(F.array(F.coalesce("phone", F.lit(""))), own), _digits)
+    out = out.withColumn("additional_phones", F.when(many, F.concat(own, new(F.col("phones"), known))).otherwise(F.col("additional_phones")))
+    top, people = F.get("ranked", F.lit(0)), F.col("people").cast(PERSON)
+    out = out.withColumn("people", F.when(many, F.coalesce("ranked", F.array().cast(PERSON))).otherwise(people)).withColumn("people_count", F.size(F.coalesce("people", F.array().cast(PERSON))))
+    out = out.withColumns({f"decision_maker_{c}": F.when(many & top.isNotNull(), top[f]).otherwise(F.col(f"decision_maker_{c}")) for c, f in (("name", "name"), ("title", "title"), ("email", "email"), ("linkedin", "linkedin_url"))})
+    titled = F.exists(F.coalesce("people", F.array().cast(PERSON)), lambda p: nonblank(p["name"]) & nonblank(p["title"]))
+    parts = {c: F.col(c) for c in ("company_name", "phone", "email", "address", "city", "region", "postal_code", "website", "decision_maker_name", "email_status", "has_social", "from_listing", "from_website")}
+    out = out.withColumn("lead_score", F.when(many, score(parts | {"n_people": F.col("people_count"), "has_titled": titled})).otherwise(F.col("lead_score")))
+    out = out.withColumn("quality_tier", F.when(many, tier(F.col("lead_score"))).otherwise(F.col("quality_tier")))
+    return out.withColumnRenamed("kept", "seq").drop("mails", "phones", "ranked", *[f"m_{c}" for c in (*PRIMITIVES, *PLATFORMS)])
+
+
+def deduplicated(leads: DataFrame) -> DataFrame:
+    """The leads that stay, merged with their duplicates."""
+    return merge_duplicates(leads, greedy(leads))

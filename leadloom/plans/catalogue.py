@@ -14,20 +14,13 @@ from ..functions import listing, text, web
 from ..operators import crawl, dedup, evidence, leads, links, runs
 from ..sources import export, html
 from . import duck
-from .inputs import for_duckdb, rows
+from .inputs import rows
+from .registry import ORACLES, QUERIES, Query
+from .registry import query as _query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 C = F.col
 
 
-def _query(name: str, run: Query, sql: str | None = None) -> None:
-    QUERIES[name] = run
-    if sql is not None:
-        ORACLES[name] = for_duckdb(sql)
-
-
 def _columns(name: str, source: str, keys: list[str], made: dict[str, tuple[Column | Callable[[], Column], str]], where: str = "") -> None:
     """A projection: keys and made columns (Spark column made when the query runs, DuckDB expression) of a derived input."""
 
@@ -346,11 +339,6 @@ _query("dup_pairs", lambda s, d: dedup.duplicate_pairs(rows(s, d, "LEADS")), f"S
 _query("dup_reasons", lambda s, d: dedup.duplicate_pairs(rows(s, d, "LEADS")).groupBy("reason").agg(F.count("*").alias("n")), f"SELECT reason, count(*) AS n FROM ({_PAIRS}) p WHERE reason IS NOT NULL GROUP BY reason")
 SIMILAR = "SELECT a.seq AS a, b.seq AS b, a.company_name AS x, b.company_name AS y FROM ({LEADS}) a JOIN ({LEADS}) b ON b.seq = a.seq + 1"
 _query("name_similarity", lambda s, d: rows(s, d, SIMILAR).select("a", "b", dedup.name_similarity(C("x"), C("y")).alias("similarity")), f"SELECT a, b, {_similar('x', 'y')} AS similarity FROM ({SIMILAR}) s")
-_query("dedup_greedy", lambda s, d: dedup.greedy(rows(s, d, "LEADS")))
-_query("terminal_dedup", lambda s, d: (lambda df: dedup.merged(df, dedup.greedy(df), ["company_name", "website", "phone", "place_id", "email"]))(rows(s, d, "LEADS")))
-PID_ONLY = "SELECT seq, company_name, place_id, CAST(NULL AS STRING) AS website, phone FROM ({LEADS}) l"
-_query("dedup_place_id", lambda s, d: dedup.greedy(rows(s, d, PID_ONLY)), "SELECT seq, CASE WHEN place_id IS NULL THEN seq ELSE min(seq) OVER (PARTITION BY place_id) END AS kept FROM ({LEADS}) l")
-
 # queues, runs, exports -----------------------------------------------------------------------------------------------
 
 FOUND = "SELECT o_orderkey AS pos, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'P' || CAST(o_custkey % 500 AS STRING) END AS place_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'u' || CAST(o_custkey % 700 AS STRING) END AS source_url, o_orderpriority AS name FROM {orders}"
@@ -453,3 +441,5 @@ _query(
     lambda s, d: (lambda df: df.toDF(*[c.lower().replace(" ", "_") for c in df.columns]))(export.people_rows(rows(s, d, "SELECT c.c_name AS company_name, 'w' || CAST(c.c_custkey AS STRING) AS website, CASE WHEN c.c_custkey % 3 = 0 THEN NULL ELSE array(named_struct('name', 'Jane', 'title', c.c_mktsegment, 'email', CAST(NULL AS STRING), 'phone', '1', 'linkedin_url', 'l')) END AS people FROM {customer} c"))),
     "SELECT c_name AS company_name, CASE WHEN c_custkey % 3 <> 0 THEN 'Jane' END AS name, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS title, CAST(NULL AS VARCHAR) AS email, CASE WHEN c_custkey % 3 <> 0 THEN '1' END AS phone, CASE WHEN c_custkey % 3 <> 0 THEN 'l' END AS linkedin, 'w' || CAST(c_custkey AS VARCHAR) AS website FROM {customer}",
 )
+
+from . import merging  # noqa: E402, F401  registers its queries

@@ -25,6 +25,25 @@ SELECT c_custkey AS seq,
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
 """
 
+#: Leads with further contacts (lists as texts) and profiles, and their people, for merging.
+RICH_LEADS = """
+SELECT l.*, CASE WHEN seq % 5 = 0 THEN NULL ELSE CAST(seq % 41 AS DOUBLE) / 8 END AS rating, CASE WHEN seq % 4 = 0 THEN NULL ELSE CAST(seq % 900 AS BIGINT) END AS review_count,
+  CASE WHEN seq % 3 = 0 THEN '' WHEN seq % 3 = 1 THEN 'About ' || CAST(seq AS STRING) END AS description, CASE WHEN seq % 6 = 2 THEN 'https://m.test/' || CAST(seq AS STRING) END AS map_url,
+  CASE seq % 5 WHEN 0 THEN 'Billing@site' || CAST(seq % 211 AS STRING) || '.test;info@site' || CAST(seq % 7 AS STRING) || '.test' WHEN 1 THEN 'jane.roe@GMAIL.com' WHEN 2 THEN 'x' || CAST(seq % 3 AS STRING) || '@vendor.io;X1@vendor.io.' END AS more_emails,
+  CASE seq % 7 WHEN 0 THEN '415-555-' || CAST(1000 + seq % 83 AS STRING) || ';12345' WHEN 3 THEN '99;030 555 ' || CAST(1000 + seq % 5 AS STRING) END AS more_phones,
+  CASE WHEN seq % 4 = 3 THEN 'https://linkedin.com/company/c' || CAST(seq AS STRING) END AS linkedin, CASE WHEN seq % 5 = 1 THEN 'https://facebook.com/f' || CAST(seq AS STRING) END AS facebook, CAST(NULL AS STRING) AS instagram, CASE WHEN seq % 9 = 4 THEN '' END AS twitter,
+  CASE WHEN seq % 11 = 5 THEN 'https://youtube.com/@y' || CAST(seq AS STRING) END AS youtube, CAST(NULL AS STRING) AS github, CASE WHEN seq % 8 = 7 THEN 'https://pinterest.com/p' || CAST(seq AS STRING) END AS pinterest,
+  CASE WHEN seq % 9 < 4 THEN 'Owner' END AS decision_maker_title, CAST(NULL AS STRING) AS decision_maker_email, CAST(NULL AS STRING) AS decision_maker_linkedin, seq % 3 < 2 AS from_listing, seq % 2 = 0 AS from_website, CAST(seq % 50 AS INT) AS lead_score, 'LOW' AS quality_tier
+FROM ({LEADS}) l
+"""
+LEAD_PEOPLE = """
+SELECT seq, pos, CASE (seq + pos) % 7 WHEN 0 THEN 'Jane Roe' WHEN 1 THEN 'JANE ROE' WHEN 2 THEN 'Max Power' WHEN 3 THEN '' WHEN 4 THEN 'Ann Lee' WHEN 5 THEN 'Max Power ' ELSE 'Zoe Kay' END AS name,
+  CASE (seq + 2 * pos) % 5 WHEN 0 THEN 'CEO' WHEN 1 THEN '' WHEN 2 THEN NULL WHEN 3 THEN 'Sales Director' ELSE 'Nurse' END AS title,
+  CASE (seq + pos) % 4 WHEN 1 THEN 'Jane@site' || CAST(seq % 211 AS STRING) || '.test' WHEN 3 THEN '' END AS email, CASE WHEN seq % 3 = 0 THEN '+1 415 555 0199' END AS phone,
+  CASE WHEN (seq + pos) % 3 = 1 THEN 'https://linkedin.com/in/p' || CAST(seq % 13 AS STRING) END AS linkedin_url, CAST(NULL AS STRING) AS profile_url, CASE WHEN seq % 4 = 0 THEN NULL ELSE CAST(seq % 4 AS DOUBLE) / 4 END AS confidence
+FROM ({LEADS}) l JOIN (VALUES (0), (1), (2)) AS v(pos) ON pos < seq % 4
+"""
+
 #: Odd texts as listing cards hold them.
 SNIPPETS = """
 SELECT p_partkey AS id, CASE p_partkey % 23
@@ -83,7 +102,7 @@ SELECT user_id AS run_id, event_id AS seq, ts, CAST(event_id % 7 AS INT) AS idx,
 FROM {events}
 """
 
-DERIVED = {"LEADS": LEADS, "SNIPPETS": SNIPPETS, "PEOPLE": PEOPLE, "EVIDENCE": EVIDENCE, "SITE_PAGES": SITE_PAGES, "SITE_LINKS": SITE_LINKS, "RUNS": RUNS}
+DERIVED = {"LEADS": LEADS, "RICH_LEADS": RICH_LEADS, "LEAD_PEOPLE": LEAD_PEOPLE, "SNIPPETS": SNIPPETS, "PEOPLE": PEOPLE, "EVIDENCE": EVIDENCE, "SITE_PAGES": SITE_PAGES, "SITE_LINKS": SITE_LINKS, "RUNS": RUNS}
 
 
 _INPUT, _TABLE = re.compile(r"\{(" + "|".join(DERIVED) + r")\}"), re.compile(r"\{(" + "|".join(TABLES) + r")\}")
