@@ -189,7 +189,7 @@ def _contacts(members: DataFrame, first: str, more: str, key: Callable[[Column],
 
 
 def _people(members: DataFrame, began: DataFrame) -> DataFrame:
-    """(kept, ranked): a merged lead's people, one for each address or else name, best first.
+    """(kept, _ranked): a merged lead's people, one for each address or else name, best first.
 
     A person has the first values that there are. Seniority is judged once, by the title at the end of the merge that
     brought the person: a title found later is kept, but doesn't move its person up.
@@ -202,7 +202,7 @@ def _people(members: DataFrame, began: DataFrame) -> DataFrame:
     one = rows.groupBy("kept", "key").agg(F.min(at).alias("at"), F.min_by("p", at).alias("p"), first("title"), first("email"), first("linkedin_url"), F.min(judged).alias("judged"))
     person = F.struct("p.name", "title", "email", "p.phone", "linkedin_url", "p.profile_url", "p.confidence")
     order = F.struct((-seniority(F.col("judged.title"))).alias("a"), (~nonblank(F.col("email"))).alias("b"), (~nonblank(F.col("linkedin_url"))).alias("c"), (-F.coalesce("p.confidence", F.lit(0.0))).alias("d"), F.col("at").alias("e"), person.alias("person"))
-    return one.groupBy("kept").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["person"]).alias("ranked"))
+    return one.groupBy("kept").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["person"]).alias("_ranked"))
 
 
 def merge_duplicates(leads: DataFrame, kept: DataFrame) -> DataFrame:
@@ -221,31 +221,32 @@ def merge_duplicates(leads: DataFrame, kept: DataFrame) -> DataFrame:
     value = lambda c: given if c == "phone" else F.col(c)
     pick = lambda c: F.min_by(value(c), F.when(truthy(value(c).cast("string")), F.col("seq"))).alias(f"m_{c}")
     fields = j.groupBy("kept").agg(F.count("*").alias("members"), *[pick(c) for c in (*PRIMITIVES, *PLATFORMS)])
-    mails = _contacts(j, "email", "additional_emails", normalize_email, 1, "mails")
-    phones = _contacts(j, "phone", "additional_phones", _digits, 7, "phones")
+    mails = _contacts(j, "email", "additional_emails", normalize_email, 1, "_mails")
+    phones = _contacts(j, "phone", "additional_phones", _digits, 7, "_phones")
     out = leads.withColumnRenamed("seq", "kept").join(fields, "kept")
     for t in (mails, phones, _people(j, began)):
         out = out.join(t, "kept", "left")
     many, none = F.col("members") > 1, F.array().cast("array<string>")
     out = out.withColumns({c: F.when(many, F.col(f"m_{c}")).otherwise(F.col(c)) for c in (*PRIMITIVES, *PLATFORMS)})
     has, own = truthy(F.col("email")), F.coalesce("additional_emails", none)
-    rest = F.when(has, F.col("mails")).otherwise(F.filter("mails", lambda x, i: i > 0))
+    rest = F.when(has, F.col("_mails")).otherwise(F.filter("_mails", lambda x, i: i > 0))
     known = F.transform(F.concat(F.array(F.coalesce("email", F.lit(""))), own), normalize_email)
     new = lambda found, seen: F.coalesce(F.transform(F.filter(found, lambda x: ~F.array_contains(seen, x["key"])), lambda x: x["raw"]), none)
-    out = out.withColumns({"additional_emails": F.when(many, F.concat(own, new(rest, known))).otherwise(F.col("additional_emails")), "email": F.when(many & ~has, F.coalesce(F.get("mails", F.lit(0))["raw"], F.col("email"))).otherwise(F.col("email"))})
+    out = out.withColumns({"additional_emails": F.when(many, F.concat(own, new(rest, known))).otherwise(F.col("additional_emails")), "email": F.when(many & ~has, F.coalesce(F.get("_mails", F.lit(0))["raw"], F.col("email"))).otherwise(F.col("email"))})
     own = F.coalesce("additional_phones", none)
     known = F.transform(F.concat(F.array(F.coalesce("phone", F.lit(""))), own), _digits)
-    out = out.withColumn("additional_phones", F.when(many, F.concat(own, new(F.col("phones"), known))).otherwise(F.col("additional_phones")))
-    top, people = F.get("ranked", F.lit(0)), F.col("people").cast(PERSON)
-    out = out.withColumn("people", F.when(many, F.coalesce("ranked", F.array().cast(PERSON))).otherwise(people)).withColumn("people_count", F.size(F.coalesce("people", F.array().cast(PERSON))))
+    out = out.withColumn("additional_phones", F.when(many, F.concat(own, new(F.col("_phones"), known))).otherwise(F.col("additional_phones")))
+    top, people = F.get("_ranked", F.lit(0)), F.col("people").cast(PERSON)
+    out = out.withColumn("people", F.when(many, F.coalesce("_ranked", F.array().cast(PERSON))).otherwise(people)).withColumn("people_count", F.size(F.coalesce("people", F.array().cast(PERSON))))
     out = out.withColumns({f"decision_maker_{c}": F.when(many & top.isNotNull(), top[f]).otherwise(F.col(f"decision_maker_{c}")) for c, f in (("name", "name"), ("title", "title"), ("email", "email"), ("linkedin", "linkedin_url"))})
     titled = F.exists(F.coalesce("people", F.array().cast(PERSON)), lambda p: nonblank(p["name"]) & nonblank(p["title"]))
     parts = {c: F.col(c) for c in ("company_name", "phone", "email", "address", "city", "region", "postal_code", "website", "decision_maker_name", "email_status", "has_social", "from_listing", "from_website")}
     out = out.withColumn("lead_score", F.when(many, score(parts | {"n_people": F.col("people_count"), "has_titled": titled})).otherwise(F.col("lead_score")))
     out = out.withColumn("quality_tier", F.when(many, tier(F.col("lead_score"))).otherwise(F.col("quality_tier")))
-    return out.withColumnRenamed("kept", "seq").drop("mails", "phones", "ranked", *[f"m_{c}" for c in (*PRIMITIVES, *PLATFORMS)])
+    return out.withColumnRenamed("kept", "seq").drop("_mails", "_phones", "_ranked", *[f"m_{c}" for c in (*PRIMITIVES, *PLATFORMS)])
 
 
 def deduplicated(leads: DataFrame) -> DataFrame:
-    """The leads that stay, merged with their duplicates."""
+    """The leads that stay, merged with their duplicates; the leads are written once, as fold and merge read them often."""
+    leads = cut(leads)
     return merge_duplicates(leads, greedy(leads))

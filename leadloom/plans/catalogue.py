@@ -411,18 +411,6 @@ def _crawl(s: SparkSession, d: str) -> DataFrame:
 _query("crawl_replay_stats", lambda s, d: _crawl(s, d).groupBy("site", "stop_reason").agg(F.count("*").alias("pages"), F.count_if(C("status") == "failed").alias("failed"), F.count_if((C("status") == "completed") & C("intent").isin(*crawl.HIGH_VALUE)).alias("high_value")))
 
 
-def _batch(s: SparkSession, d: str) -> DataFrame:
-    """Listings to enriched, scored, deduplicated leads: parse sites, validate and resolve evidence, merge, dedup."""
-    ev = html.extract(rows(s, d, HTML)).where("kind = 'evidence'").select(C("page_id").alias("id"), web.normalize_domain(C("url")).alias("site"), "seq", "field", "value", "source", "evidence_type", C("url").alias("page_url"), F.lit("CONTACT").alias("page_type"))
-    site = evidence.pivot(evidence.winners(evidence.validate(ev)))
-    web_leads = site.select(*[C(c) for c in ("company_name", "phone", "address", "city", "region", "country", "postal_code", "website", "booking_url", "ordering_url", "menu_url", "email")], F.lit(None).cast("string").alias("category"), F.lit("business_role").alias("email_status"), F.regexp_extract("site", r"s(\d+)\.test", 1).cast("long").alias("key"))
-    merged = leads.merge(rows(s, d, BASE), web_leads, "key")
-    kept = dedup.greedy(rows(s, d, "LEADS"))
-    return merged.join(kept.where("seq = kept").select("seq"), "seq").select("seq", "company_name", "website", "phone", "email", "email_status", "enrichment_status")
-
-
-_query("batch_pipeline_end_to_end", _batch)
-
 # exports -------------------------------------------------------------------------------------------------------------
 
 EXPORT = "SELECT seq, company_name, CASE WHEN seq % 5 = 0 THEN 'a \"b\", c' ELSE category END AS category, address, city, postal_code, phone, website, email, email_status, CAST(balance AS STRING) AS rating, place_id, CAST(n_people AS STRING) AS people_count FROM ({LEADS}) l"
@@ -442,4 +430,4 @@ _query(
     "SELECT c_name AS company_name, CASE WHEN c_custkey % 3 <> 0 THEN 'Jane' END AS name, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS title, CAST(NULL AS VARCHAR) AS email, CASE WHEN c_custkey % 3 <> 0 THEN '1' END AS phone, CASE WHEN c_custkey % 3 <> 0 THEN 'l' END AS linkedin, 'w' || CAST(c_custkey AS VARCHAR) AS website FROM {customer}",
 )
 
-from . import merging  # noqa: E402, F401  registers its queries
+from . import assembling, merging  # noqa: E402, F401  they register their queries
