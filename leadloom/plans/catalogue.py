@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import listing, text, web
-from ..operators import crawl, dedup, evidence, leads, links, runs
+from ..operators import dedup, evidence, leads, links, runs
 from ..sources import export, html
 from . import duck
 from .inputs import rows
@@ -399,18 +399,6 @@ _query("team_cards", _extracted("person", "source = 'team-card'", ["value", "tit
 _query("page_links", _extracted("link", "value LIKE '%.test/%'", ["field", "value", "title"]), f"SELECT s_suppkey AS page_id, 'NAV' AS field, 'https://www.s' || CAST(s_suppkey AS STRING) || '.test/about-us' AS value, 'About us' AS title {_SUPP} UNION ALL SELECT s_suppkey, '', 'https://www.s' || CAST(s_suppkey AS STRING) || '.test/shop', 'Shop' {_SUPP}")
 
 
-def _crawl(s: SparkSession, d: str) -> DataFrame:
-    pages = rows(s, d, "SITE_PAGES")
-    out = links.discover(rows(s, d, "SITE_LINKS")).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("target", C("anchor_text").alias("anchor"), C("container").alias("box")))).alias("links"))
-    first = pages.groupBy("site").agg(F.min("page_id").alias("first"))
-    found = F.when(C("page_id") % 3 == 0, F.array(F.lit("company_name"), F.lit("email"))).when(C("page_id") % 3 == 1, F.array(F.lit("phone"), F.lit("address"))).otherwise(F.array(F.lit("people")))
-    p = pages.join(first, "site").join(out, "page_id", "left").select("site", "url", (C("page_id") == C("first")).alias("root"), found.alias("found"), "links")
-    return crawl.replay(p.groupBy("site", "url").agg(F.bool_or("root").alias("root"), F.min("found").alias("found"), F.min("links").alias("links")), 5, 2)
-
-
-_query("crawl_replay_stats", lambda s, d: _crawl(s, d).groupBy("site", "stop_reason").agg(F.count("*").alias("pages"), F.count_if(C("status") == "failed").alias("failed"), F.count_if((C("status") == "completed") & C("intent").isin(*crawl.HIGH_VALUE)).alias("high_value")))
-
-
 # exports -------------------------------------------------------------------------------------------------------------
 
 EXPORT = "SELECT seq, company_name, CASE WHEN seq % 5 = 0 THEN 'a \"b\", c' ELSE category END AS category, address, city, postal_code, phone, website, email, email_status, CAST(balance AS STRING) AS rating, place_id, CAST(n_people AS STRING) AS people_count FROM ({LEADS}) l"
@@ -430,4 +418,4 @@ _query(
     "SELECT c_name AS company_name, CASE WHEN c_custkey % 3 <> 0 THEN 'Jane' END AS name, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS title, CAST(NULL AS VARCHAR) AS email, CASE WHEN c_custkey % 3 <> 0 THEN '1' END AS phone, CASE WHEN c_custkey % 3 <> 0 THEN 'l' END AS linkedin, 'w' || CAST(c_custkey AS VARCHAR) AS website FROM {customer}",
 )
 
-from . import assembling, merging  # noqa: E402, F401  they register their queries
+from . import assembling, crawling, merging  # noqa: E402, F401  they register their queries

@@ -7,7 +7,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from leadloom.operators import crawl, dedup, evidence, leads
+from leadloom.operators import dedup, evidence, leads
 from leadloom.plans import catalogue
 from leadloom.plans.inputs import rows
 from leadloom.sources import export, html
@@ -61,17 +61,6 @@ def test_listings_are_found_by_place_first(spark):
     assert sorted(map(tuple, leads.find_listing(known, asked).collect())) == [(10, 2, 1), (11, 1, 2)]
 
 
-def test_crawl_order_and_early_exit(spark):
-    root, contact, blog = "https://a.test", "https://a.test/contact", "https://a.test/blog/x"
-    link = lambda u: {"target": u, "anchor": "", "box": "NAV"}
-    ddl = "site long, url string, root boolean, found array<string>, links array<struct<target:string,anchor:string,box:string>>"
-    pages = [(1, root, True, ["company_name"], [link(blog), link(contact), link("https://a.test/about")]), (1, contact, False, ["email", "phone", "address", "people"], []), (1, blog, False, [], [])]
-    out = crawl.replay(spark.createDataFrame(pages, ddl), 5, 1).orderBy("visit").collect()
-    assert [r["url"] for r in out] == [root, contact] and out[0]["stop_reason"] == "all_requested_fields_satisfied"
-    out = crawl.replay(spark.createDataFrame(pages, ddl), 5, 1, early_exit=False).orderBy("visit").collect()
-    assert [(r["url"], r["status"]) for r in out] == [(root, "completed"), (contact, "completed"), ("https://a.test/about", "failed"), (blog, "completed")]
-
-
 def test_merge_never_overwrites(spark):
     base = ", ".join(f"{c} string" for c in (*leads.FILLED, "email", "email_status"))
     blank = dict.fromkeys((*leads.FILLED, "email", "email_status"))
