@@ -193,7 +193,7 @@ def compared(records_: DataFrame) -> tuple[DataFrame, DataFrame]:
 def segments(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """firsts with the bytes of their runs, read from the texts: a document's runs go to it as one list."""
     asked = cut_table(firsts.groupBy("doc", "sub").agg(F.collect_list(F.struct("anchor", "at")).alias("asked")))
-    both = docs.select("doc", "sub", "text").join(maybe_broadcast(asked), ["doc", "sub"])
+    both = docs.select("doc", "sub", "text").join(asked, ["doc", "sub"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, 64):
@@ -380,7 +380,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(schema.types)], schema=schema)
         release()
 
-    both = rows.join(maybe_broadcast(spans), ["doc", "sub"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "starts", "ends")
+    both = rows.join(spans, ["doc", "sub"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "starts", "ends")
     return in_arrow(both, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
