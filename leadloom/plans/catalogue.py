@@ -418,4 +418,4 @@ _query(
     "SELECT c_name AS company_name, CASE WHEN c_custkey % 3 <> 0 THEN 'Jane' END AS name, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS title, CAST(NULL AS VARCHAR) AS email, CASE WHEN c_custkey % 3 <> 0 THEN '1' END AS phone, CASE WHEN c_custkey % 3 <> 0 THEN 'l' END AS linkedin, 'w' || CAST(c_custkey AS VARCHAR) AS website FROM {customer}",
 )
 
-from . import assembling, cards, crawling, merging  # noqa: E402, F401  they register their queries
+from . import assembling, cards, crawling, merging, pages  # noqa: E402, F401  they register their queries

@@ -10,14 +10,15 @@ import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 from urllib.parse import parse_qsl, quote, urlencode, urljoin, urlsplit, urlunsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import or_null
-from ..functions.web import title_brand
+from ..functions.text import matches, or_null
+from ..functions.web import evaluate_email, is_job_title, is_person_name, is_phone, normalize_domain, normalize_email, normalize_phone, normalize_text, split_name_title, title_brand
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
@@ -26,6 +27,7 @@ BLOCKS = frozenset("address article aside blockquote div dl fieldset footer form
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "msclkid", "mc_cid", "mc_eid", "ref", "trk")
 SOCIAL = (("linkedin", r"linkedin\.com/(company|in)/"), ("twitter_x", r"(twitter\.com|x\.com)/[a-zA-Z0-9_]+"), ("facebook", r"facebook\.com/[a-zA-Z0-9_.-]+"), ("instagram", r"instagram\.com/[a-zA-Z0-9_.-]+"), ("youtube", r"(youtube\.com/(@|channel/|c/)|youtu\.be/)"), ("github", r"github\.com/[a-zA-Z0-9_.-]+"))
 LABELS = (("email", r"^(email|e-mail|write to us|contact email)\s*[:\-]\s*(.+)$"), ("phone", r"^(phone|tel|telephone|call us|mobile|contact number)\s*[:\-]\s*(.+)$"), ("address", r"^(address|headquarters|location|office|visit us)\s*[:\-]\s*(.+)$"))
+GENERIC = "info|sales|contact|support|hello|team|admin|help|office|inquiries|press|careers|billing"  # fixed values: addresses that are no person's
 TEXT_LIMIT = 100_000  # characters of a page searched for loose contacts, as the extraction contract says
 
 
@@ -144,7 +146,7 @@ def json_ld(root: Node) -> list:
 
 
 # JSON-LD types that are evidence even without a name or contact.
-ENTITY_TYPES = frozenset("organization corporation localbusiness store restaurant medicalbusiness financialservice professionalservice automotivebusiness lodgingbusiness foodestablishment dentist physician attorney legalagency realestateagent bakery cafe".split())
+ENTITY_TYPES = frozenset({"organization", "corporation", "localbusiness", "store", "restaurant", "medicalbusiness", "financialservice", "professionalservice", "automotivebusiness", "lodgingbusiness", "foodestablishment", "dentist", "physician", "attorney", "legalagency", "realestateagent", "bakery", "cafe"})
 
 
 def types_of(entity: dict) -> list[str]:
@@ -254,34 +256,114 @@ def evidence(root: Node, url: str) -> list[tuple[str, str, str, str]]:
     return out
 
 
-def people(root: Node) -> list[tuple[str, str | None, str | None, str | None, str | None, str]]:
-    """(name, title, email, phone, linkedin_url, source) of persons in JSON-LD, microdata and team cards."""
-    out = []
-    todo = json_ld(root)
+# Where JSON-LD nests people, and the classes and ids of their cards.
+NESTED = ("employee", "founder", "founders", "alumni", "member", "members")
+CARD = re.compile("team-member|team_member|team-card|member-card|person-card|leadership-card|speaker-card|bio-card")
+GRID, TEAM = re.compile("team-grid|leadership-grid"), re.compile("team|leadership")
+CARD_LIMIT = 2500  # characters of a card; longer ones are whole sections
+
+
+class Person(NamedTuple):
+    """A person as a page tells it. Of a card all that can be a name or title is kept, for the rules to choose from: names
+    in order, and titles (text, whether it is marked as one, the names that it is part of)."""
+
+    name: str | None
+    title: str | None
+    email: str | None
+    phone: str | None
+    linkedin_url: str | None
+    profile_url: str | None
+    source: str
+    names: list[str] | None = None
+    titles: list[dict] | None = None
+
+
+def people(root: Node, url: str, base: str) -> list[Person]:
+    """Persons in JSON-LD (nested in organizations too), microdata and cards."""
+    return [*_json_people(root, url), *_microdata_people(root), *_card_people(root, base)]
+
+
+def _text(value) -> str | None:
+    return squeeze(str(value)) if isinstance(value, (str, int, float)) and str(value).strip() else None
+
+
+def _json_people(root: Node, url: str) -> list[Person]:
+    out, todo = [], json_ld(root)
     while todo:
         v = todo.pop(0)
         if isinstance(v, list):
-            todo += v
+            todo[:0] = v
+        elif isinstance(v, dict) and isinstance(v.get("@graph"), list):
+            todo[:0] = v["@graph"]
         elif isinstance(v, dict):
-            if v.get("@type") == "Person" and first_text(v.get("name")):
+            if any(t.lower() == "person" for t in types_of(v)) and _text(v.get("name")):
                 same = v.get("sameAs") if isinstance(v.get("sameAs"), list) else [v.get("sameAs")]
-                link = next((s for s in same if isinstance(s, str) and "linkedin.com/" in s), None)
-                out.append((first_text(v.get("name")), first_text(v.get("jobTitle")), first_text(v.get("email")), first_text(v.get("telephone")), link, "json-ld"))
-            todo += [x for x in v.values() if isinstance(x, (dict, list))]
+                link = next((s for s in same if isinstance(s, str) and "linkedin.com/in/" in s), None)
+                page = v.get("url")
+                out.append(Person(_text(v["name"]), _text(v.get("jobTitle")), _text(v.get("email")), _text(v.get("telephone")), link and url_norm(link), url_norm(page, url) if isinstance(page, str) and page else None, "json-ld"))
+            todo[:0] = [v[k] for k in NESTED if v.get(k)]
+    return out
+
+
+def _microdata_people(root: Node) -> list[Person]:
+    out = []
     for scope in root.having("itemscope"):
-        if scope.attrs.get("itemtype", "").rstrip("/").endswith("schema.org/Person"):
-            props = {n.attrs["itemprop"]: n.attrs.get("content") or squeeze(n.text()) for n in reversed(scope.having("itemprop"))}
-            if props.get("name"):
-                out.append((props["name"], props.get("jobTitle"), props.get("email"), props.get("telephone"), None, "microdata"))
-    for n in root.walk():
-        if re.search(r"\b(team-member|team-card|member-card|staff-member|person-card|leadership-card|profile-card|our-team-item|bio-card)\b", n.mark()) and len(n.text()) <= 2500:
-            heads = [squeeze(h.text()) for h in n.all("h1", "h2", "h3", "h4", "h5", "h6", "strong")]
-            titles = [squeeze(t.text()) for t in n.walk() if t is not n and re.search(r"title|role|position|job", t.mark())] or [squeeze(t.text()) for t in n.all("p", "span")]
-            href = [a.attrs.get("href", "") for a in n.all("a")]
-            pick = lambda p: next((h.split("?")[0] for h in href if h.startswith(p)), None)
-            mail, tel = pick("mailto:"), pick("tel:")
-            if heads:
-                out.append((heads[0], titles[0] if titles else None, mail and mail[7:], tel and tel[4:], next((h for h in href if "linkedin.com/in/" in h), None), "team-card"))
+        if "schema.org/person" not in scope.attrs.get("itemtype", "").lower():
+            continue
+        props: dict[str, Node] = {}
+        link = None
+        for n in scope.having("itemprop"):
+            props.setdefault(n.attrs["itemprop"], n)
+            if link is None and n.attrs["itemprop"] == "sameAs" and "linkedin.com/in/" in n.attrs.get("href", ""):
+                link = url_norm(n.attrs["href"])
+        text = lambda k, props=props: squeeze(props[k].text()) or None if k in props else None
+        address = lambda k, props=props: (props[k].attrs.get("href") or squeeze(props[k].text()) or None) if k in props else None
+        if text("name"):
+            out.append(Person(text("name"), text("jobTitle"), address("email"), address("telephone"), link, None, "microdata"))
+    return out
+
+
+def _cards(root: Node) -> Iterator[Node]:
+    """Elements that look like one person's card, in the order of the page."""
+    size: dict[int, int] = {}
+    for n in reversed(list(root.walk())):
+        size[id(n)] = sum(len(k) if isinstance(k, str) else size[id(k)] for k in n.kids)
+    todo = [(root, False, False)]
+    while todo:
+        n, in_ids, in_classes = todo.pop()
+        mark, parent = n.attrs.get("class", "").lower(), n.parent.attrs.get("class", "").lower() if n.parent is not None else ""
+        hit = CARD.search(mark) or GRID.search(parent) or (in_ids and n.tag == "article") or (in_classes and n.tag == "li")
+        kids = [k for k in n.kids if isinstance(k, Node)]
+        if hit and kids and size[id(n)] <= CARD_LIMIT:
+            yield n
+        below = in_ids or bool(TEAM.search(n.attrs.get("id", "").lower())), in_classes or bool(TEAM.search(mark))
+        todo += [(k, *below) for k in reversed(kids)]
+
+
+def _card_people(root: Node, base: str) -> list[Person]:
+    out = []
+    for card in _cards(root):
+        inner = [n for n in card.walk() if n is not card]
+        heads = [n for n in inner if n.tag in ("h2", "h3", "h4", "h5", "strong") or "name" in n.attrs.get("class", "").lower()]
+        if not heads:
+            continue
+        number = {id(n): i for i, n in enumerate(heads)}
+
+        def inside(n: Node, card=card, number=number) -> list[int]:
+            found = []
+            while n is not None and n is not card:
+                found += [number[id(n)]] if id(n) in number else []
+                n = n.parent
+            return found
+
+        marked = next((n for n in inner if re.search("title|role|position|designation", n.attrs.get("class", "").lower())), None)
+        titles = [{"text": squeeze(marked.text()), "marked": True, "inside": inside(marked)}] if marked is not None else []
+        titles += [{"text": squeeze(n.text()), "marked": False, "inside": inside(n)} for n in inner if n.tag in ("p", "span", "div", "h4", "h5")]
+        href = [n.attrs.get("href", "") for n in inner if n.tag == "a"]
+        pick = lambda test, href=href: next((h for h in href if test(h)), None)
+        mail, tel = pick(lambda h: h.startswith("mailto:")), pick(lambda h: h.startswith("tel:"))
+        link, page = pick(lambda h: "linkedin.com/in/" in h), pick(lambda h: re.search("/(team|people|bio)/", h))
+        out.append(Person(None, None, mail and mail[7:].split("?")[0].strip(), tel and tel[4:].split("?")[0].strip(), link and url_norm(link), page and url_norm(page, base), "team-card", [squeeze(n.text()) for n in heads], titles))
     return out
 
 
@@ -308,14 +390,42 @@ def anchors(root: Node, url: str) -> list[tuple[str, str, str]]:
     return out
 
 
-SCHEMA = "page_id long, url string, seq long, kind string, field string, value string, source string, evidence_type string, title string, email string, phone string, linkedin_url string"
+SCHEMA = "page_id long, url string, seq long, kind string, field string, value string, source string, evidence_type string, title string, email string, phone string, linkedin_url string, profile_url string, names array<string>, titles array<struct<text:string,marked:boolean,inside:array<int>>>"
+_ARROW = {"long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string()), "array<struct<text:string,marked:boolean,inside:array<int>>>": pa.list_(pa.struct([("text", pa.string()), ("marked", pa.bool_()), ("inside", pa.list_(pa.int32()))]))}
+
+
+def _named(found: DataFrame) -> DataFrame:
+    """Persons by the rules of names, titles and contacts: of a card the first valid name, the title that is marked as one,
+    else the first other, else the one beside the name; a role's address is no person's."""
+    card, host = F.col("source") == "team-card", normalize_domain(F.col("url"))
+    split = F.transform("names", lambda x, i: F.struct(split_name_title(x).alias("s"), i.alias("i")))
+    found = found.withColumn("_who", F.get(F.filter(split, lambda x: is_person_name(x["s"]["name"])), F.lit(0)))
+    free = F.filter("titles", lambda t: ~F.array_contains(t["inside"], F.col("_who.i")))
+    pick = lambda marked: F.get(F.filter(free, lambda t: (t["marked"] == F.lit(marked)) & is_job_title(t["text"])), F.lit(0))["text"]
+    beside = F.col("_who.s.title")
+    title = F.coalesce(pick(True), pick(False), F.when(is_job_title(beside), beside))
+    name = normalize_text(F.col("value"))
+    judged = evaluate_email(F.col("email"), host)
+    own = judged["is_valid"] & (judged["classification"] != "business_role") & ~matches(F.substring_index(F.lower("email"), "@", 1), f"^({GENERIC})$")
+    mail, tel = or_null(normalize_email(F.col("email"))), or_null(normalize_phone(F.col("phone")))
+    person = F.col("kind") == "person"
+    return found.withColumns({
+        "value": F.when(~person, F.col("value")).when(card, F.col("_who.s.name")).otherwise(F.when(is_person_name(name), name)), "title": F.when(person & card, title).otherwise(F.col("title")),
+        "email": F.when(person & card, F.when(own, mail)).when(person, mail).otherwise(F.col("email")), "phone": F.when(person & card, F.when(is_phone(F.col("phone")), tel)).when(person, tel).otherwise(F.col("phone")),
+    }).drop("_who", "names", "titles")
+
+
+def page_people(found: DataFrame) -> DataFrame:
+    """(page_id, site, seq, name, title, profile_url, linkedin_url, email, phone, confidence, source, page_url) of the
+    persons that extract() found, as dedup_people takes them: seq is unique over a site's pages up to 2^20 rows a page."""
+    sure = F.when(F.col("source") == "json-ld", 0.98).when(F.col("source") == "microdata", 0.94).when(F.col("title").isNotNull(), 0.90).otherwise(0.75)
+    return found.where("kind = 'person'").select("page_id", normalize_domain(F.col("url")).alias("site"), (F.col("page_id") * (1 << 20) + F.col("seq")).alias("seq"), F.col("value").alias("name"), "title", "profile_url", "linkedin_url", "email", "phone", sure.alias("confidence"), "source", F.col("url").alias("page_url"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row for each piece of evidence (kind evidence), person (value: the name) and link (field: the container, title:
     the anchor) of (page_id, url, html). A null html is an empty page; broken markup is read as far as it goes."""
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
-    types = [pa.int64() if c.split()[1] == "long" else pa.string() for c in SCHEMA.split(", ")]
+    names, types = zip(*[(c.split(" ", 1)[0], _ARROW[c.split(" ", 1)[1]]) for c in SCHEMA.split(", ")])
 
     def run(batches):
         for batch in batches:
@@ -325,17 +435,17 @@ def extract(pages: DataFrame) -> DataFrame:
                     root, seq = parse(html), 0
                     base = next((n.attrs["href"] for n in root.all("base") if n.attrs.get("href")), url)
                     for f, v, s, k in evidence(root, url or ""):
-                        rows.append((page, url, seq, "evidence", f, v, s, k, None, None, None, None))
+                        rows.append((page, url, seq, "evidence", f, v, s, k, *[None] * 7))
                         seq += 1
-                    for name, title, mail, tel, link, s in people(root):
-                        rows.append((page, url, seq, "person", None, name, s, None, title, mail, tel, link))
+                    for p in people(root, url or "", base or ""):
+                        rows.append((page, url, seq, "person", None, p.name, p.source, None, p.title, p.email, p.phone, p.linkedin_url, p.profile_url, p.names, p.titles))
                         seq += 1
                     for target, text, box in anchors(root, base or ""):
-                        rows.append((page, url, seq, "link", box, target, None, None, text, None, None, None))
+                        rows.append((page, url, seq, "link", box, target, None, None, text, *[None] * 6))
                         seq += 1
                 columns = list(zip(*rows)) or [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     found = pages.select("page_id", "url", "html").mapInArrow(run, SCHEMA)
     value = F.when(F.col("evidence_type") == TITLE_KIND, or_null(title_brand(F.col("value")))).otherwise(F.col("value"))
-    return found.withColumn("value", value).where("value IS NOT NULL")
+    return _named(found.withColumn("value", value)).where("value IS NOT NULL")
