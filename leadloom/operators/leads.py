@@ -154,8 +154,15 @@ def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def find_listing(listings: DataFrame, asked: DataFrame) -> DataFrame:
     """The first of the listings (pos, place_id, source_url) for each asked (id, pid, url): by place id (rank 1), else by url
-    (rank 2). Two equi joins and a minimum, so nothing is compared pairwise."""
-    by_place = asked.join(listings, asked["pid"] == listings["place_id"]).select("id", "pos", F.lit(1).alias("rank"))
-    by_url = asked.join(listings, asked["url"] == listings["source_url"]).select("id", "pos", F.lit(2).alias("rank"))
-    best = by_place.unionByName(by_url).groupBy("id").agg(F.min(F.struct("rank", "pos")).alias("best"))
-    return best.select("id", "best.pos", "best.rank")
+    (rank 2). Listings are reduced to the first of each key before they are joined, so a common one multiplies nothing."""
+    first = lambda c: listings.where(F.col(c).isNotNull()).groupBy(F.col(c).alias(f"_{c}")).agg(F.min("pos").alias(f"_pos_{c}"))
+    j = asked.join(first("place_id"), F.col("pid") == F.col("_place_id"), "left").join(first("source_url"), F.col("url") == F.col("_source_url"), "left")
+    place, url = F.col("_pos_place_id"), F.col("_pos_source_url")
+    return j.where(place.isNotNull() | url.isNotNull()).select("id", F.coalesce(place, url).alias("pos"), F.when(place.isNotNull(), 1).otherwise(2).alias("rank"))
+
+
+def is_enriched(leads: DataFrame) -> DataFrame:
+    """One row: whether any lead is enriched, has people, further e-mails or profiles; false without leads."""
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    any_ = F.coalesce(F.col("enrichment_status") == "enriched", F.lit(False)) | some("people") | some("additional_emails") | some("social")
+    return leads.agg(F.coalesce(F.bool_or(any_), F.lit(False)).alias("enriched"))

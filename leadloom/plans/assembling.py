@@ -121,3 +121,5 @@ SELECT i.seq, f.members, i.company_name, CASE WHEN f.members > 1 THEN f.website
 
 
 query("batch_pipeline_end_to_end", batch, _batch_sql())
+
+query("enriched_switch", lambda s, d: leads.is_enriched(enriched(s, d).where("enrichment_status <> 'enriched'")), f"SELECT coalesce(bool_or(profiles <> ''), false) AS enriched FROM ({_enriched_sql()}) e WHERE enrichment_status <> 'enriched'")

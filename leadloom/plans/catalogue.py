@@ -147,6 +147,7 @@ _query(
     "SELECT c_custkey AS id, c_name || '@x.test' AS email FROM {customer}",
 )
 SOCIAL = "SELECT s_suppkey AS id, CASE s_suppkey % 12 WHEN 0 THEN 'https://www.linkedin.com/company/acme/?trk=1' WHEN 1 THEN 'https://linkedin.com/pulse/x' WHEN 2 THEN 'https://twitter.com/acme/' WHEN 3 THEN 'https://x.com/intent/post' WHEN 4 THEN 'https://netflix.com/title' WHEN 5 THEN 'https://facebook.com/sharer/x' WHEN 6 THEN 'https://facebook.com/acme#a' WHEN 7 THEN 'https://instagram.com/p/abc' WHEN 8 THEN 'https://youtube.com/@acme' WHEN 9 THEN 'https://youtu.be/abc' WHEN 10 THEN 'https://github.com/acme//' ELSE 'https://github.com/login' END AS link FROM {supplier}"
+# Parts that profile addresses have, must not have, and must have besides, for the SQL.
 _SOCIAL = {"linkedin": ("linkedin.com/company/|linkedin.com/in/", "/sharing/|/login|/signup", ""), "twitter": ("twitter.com/|x.com/", "/intent/|/share|/home|/login", ""), "facebook": ("facebook.com/", "/sharer|/share.php|/events/|/login|/dialog/", ""), "instagram": ("instagram.com/", "/p/|/reel/|/stories/|/explore/", ""), "youtube": ("youtube.com/|youtu.be/", "/watch|/embed/|/share", "/@|/channel/|/c/"), "github": ("github.com/", "/login|/join|/pricing|/features", "")}
 _any = lambda x, ps: "(" + " OR ".join(f"contains({x}, '{p}')" for p in ps.split("|")) + ")"
 _columns("social_valid", SOCIAL, ["id"], {k: (lambda k=k: web.is_social_profile(C("link"), k), f"{_any('lower(link)', yes)} AND NOT {_any('lower(link)', no)}" + (f" AND {_any('lower(link)', also)}" if also else "")) for k, (yes, no, also) in _SOCIAL.items()})
