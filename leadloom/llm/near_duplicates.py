@@ -21,11 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, in_arrow, map_rows, maybe_broadcast, narrow, pieces, release
+from .common import components, cut, cut_table, in_arrow, map_rows, maybe_broadcast, narrow, pieces, release
 
 CHUNK = 200_000  # shingles of the sets that one task group verifies against their hub
 GROUP_BYTES = 8 << 20  # of sketches (a set counts as SMALLEST bytes at least) on either side of a compared group
 SMALLEST = 2048
+WIDE = 1  # places of a compared sketch for each shingle of a set
 WORD_CACHE = 100_000  # words whose hashes a task keeps
 SEEN = 100_000  # sets and texts that a task knows again
 _M1, _M2, _K = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
@@ -111,12 +112,12 @@ def part_keys(hashes: np.ndarray, bands: Bands) -> list[int]:
 
 
 def bit_sketches(hashes: np.ndarray, bands: Bands) -> tuple[bytes | None, bytes | None]:
-    """Parity sketches of a place for each shingle in the set's even and odd band: what candidates are compared by."""
+    """Parity sketches of WIDE places for each shingle in the set's even and odd band: what candidates are compared by."""
     out: list[bytes | None] = [None, None]
     with np.errstate(over="ignore"):
         places = mix(hashes ^ _M2) >> _S32
         for b in bands.of(len(hashes)):
-            m = -(-int(bands.start[b + 1]) // 64) * 64
+            m = -(-WIDE * int(bands.start[b + 1]) // 64) * 64
             out[b & 1] = np.packbits((np.bincount(((places * np.uint64(m)) >> _S32).astype(np.int64), minlength=m) & 1).astype(np.uint8)).tobytes()
     return out[0], out[1]
 
@@ -242,19 +243,19 @@ def starred(found: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     return near.groupBy("v").agg(F.min(F.struct("apart", "u")).alias("best")).select("best.u", "v")
 
 
-def across(members: DataFrame, labels: DataFrame, percent: int, every: bool) -> DataFrame:
+def across(members: DataFrame, bits: DataFrame, labels: DataFrame, percent: int, every: bool) -> DataFrame:
     """(u, v, apart) of sets that share a key but no component, and are near enough: of each u the nearest, or every v.
 
-    Members (key, fp, n, bits) of a key are one component, that of its first set, and the rest. Both are dealt into
+    Members (key, fp, size: bytes of the sketch) of a key are one component, that of its first set, and the rest. Both are dealt into
     blocks of bounded bytes by hash, and the blocks of the rest meet all others. So a key that very many sets share is
     many groups, and while nearly all of its sets are of one component their work is linear.
     """
     m = members.join(maybe_broadcast(labels), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-    size = F.greatest(F.length("bits"), F.lit(SMALLEST))
-    parts = m.groupBy("key", "comp").agg(F.min("fp").alias("first"), F.sum(size).alias("bytes"))
+    parts = m.groupBy("key", "comp").agg(F.min("fp").alias("first"), F.sum(F.greatest("size", F.lit(SMALLEST))).alias("bytes"))
     keys = parts.groupBy("key").agg(F.count("*").alias("comps"), F.min_by("comp", "first").alias("main"), F.min_by("bytes", "first").alias("main_bytes"), F.sum("bytes").alias("bytes"))
     keys = cut(narrow(keys.where("comps > 1").select("key", "main", "main_bytes", (F.col("bytes") - F.col("main_bytes")).alias("rest_bytes"))))
     m = m.join(maybe_broadcast(keys), "key").withColumn("rest", F.col("comp") != F.col("main"))
+    m = m.join(bits, "fp").withColumn("bits", _band_bits())
     blocks = lambda c: F.ceil(c / GROUP_BYTES).cast("int")
     m = m.withColumn("rests", blocks(F.col("rest_bytes"))).withColumn("mains", blocks(F.col("main_bytes")))
     m = m.withColumn("block", F.pmod(F.xxhash64("fp"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("mains"))).cast("int"))
@@ -320,23 +321,29 @@ def across(members: DataFrame, labels: DataFrame, percent: int, every: bool) ->
     return near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def verified(docs: DataFrame, sets: DataFrame, again: DataFrame | None, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (u, v) of sets that link, by the whole texts of one row of each set (fp, n, own).
+def texts_of(docs: DataFrame, sets: DataFrame, again: DataFrame | None) -> DataFrame:
+    """(fp, text) of one row of each of the sets (fp, own), written once: no round reads the documents again. Rows that
+    are repeated (`again` has their row_id) are made one first."""
+    rows = docs.select(row_id().alias("row_id"), "text").join(maybe_broadcast(sets.select("fp", F.col("own.row_id").alias("row_id"))), "row_id")
+    if again is not None:
+        single = rows.join(maybe_broadcast(again), "row_id", "left_anti")
+        rows = single.unionByName(rows.join(maybe_broadcast(again), "row_id", "left_semi").dropDuplicates(["row_id", "fp"]))
+    return cut_table(rows.select("fp", "text"))
+
+
+def verified(texts: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the pairs (u, v) of sets that link, by the whole texts of one row of each set.
 
     v's text goes to its hub u, in chunks of CHUNK shingles that each get the hub's text too; a task walks through a chunk
-    with two sets in memory. Rows that are repeated (`again` has their row_id) are made one first.
+    with two sets in memory.
     """
-    row = sets.select("fp", "n", F.col("own.row_id").alias("row_id"))
-    v = pairs.join(row.select(F.col("fp").alias("v"), F.col("n").alias("nv"), F.col("row_id").alias("row_v")), "v")
+    row = sets.select("fp", "n")
+    v = pairs.join(row.select(F.col("fp").alias("v"), F.col("n").alias("nv")), "v")
     hubs = v.groupBy("u").agg(F.ceil(F.sum("nv") / CHUNK).cast("int").alias("chunks"))
-    v = v.join(hubs, "u").select(F.col("row_v").alias("row_id"), F.col("u").alias("hub"), F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("role"), F.col("v").alias("fp"))
-    u = hubs.join(row, hubs["u"] == row["fp"]).select("row_id", F.col("u").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"), "fp")
+    v = v.join(hubs, "u").select(F.col("u").alias("hub"), F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("role"), F.col("v").alias("fp"))
+    u = hubs.select(F.col("u").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"), F.col("u").alias("fp"))
     need = maybe_broadcast(cut(narrow(v.unionByName(u))))
-    rows = docs.select(row_id().alias("row_id"), "text")
-    if again is not None:
-        single = rows.join(maybe_broadcast(again), "row_id", "left_anti")
-        rows = single.unionByName(rows.join(maybe_broadcast(again), "row_id", "left_semi").dropDuplicates(["row_id"]))
-    work = rows.join(need, "row_id").select("hub", "chunk", "role", "fp", "text").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "role", "fp")
+    work = texts.join(need, "fp").select("hub", "chunk", "role", "fp", "text").repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "role", "fp")
 
     def run(batches):
         shingles, at, base = Shingles(k), None, None
@@ -388,14 +395,15 @@ def classes_of(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFr
     bits = cut(narrow(every.where("even IS NOT NULL OR odd IS NOT NULL").join(asked, "fp", "left_semi").groupBy("fp").agg(F.first("n").alias("n"), F.first("even", True).alias("even"), F.first("odd", True).alias("odd"))))
     sets = cut(narrow(classes.join(asked, "fp", "left_semi").groupBy("fp").agg(F.first("n").alias("n"), F.min("own").alias("own"))))
 
+    texts = texts_of(docs, sets, again)
     tested = cut(narrow(starred(found, bits, percent).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()))
-    labels = joined(None, cut(narrow(verified(docs, sets, again, tested, k, percent))))
-    members = cut(narrow(sharers.join(bits, "fp").select("key", "fp", "n", _band_bits().alias("bits"))))
+    labels = joined(None, cut(narrow(verified(texts, sets, tested, k, percent))))
+    members = cut(narrow(sharers.join(bits, "fp").select("key", "fp", F.length(_band_bits()).alias("size"))))
     every_pair = False
     while True:
-        pairs = across(members, labels, percent, every_pair)
+        pairs = across(members, bits, labels, percent, every_pair)
         pairs = cut(narrow(pairs.join(maybe_broadcast(tested), ["u", "v"], "left_anti")))
-        links = None if pairs.isEmpty() else cut(narrow(verified(docs, sets, again, pairs, k, percent)))
+        links = None if pairs.isEmpty() else cut(narrow(verified(texts, sets, pairs, k, percent)))
         some = 0 if links is None else links.count()
         if some:
             labels = joined(labels, links)
