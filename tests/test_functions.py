@@ -85,3 +85,15 @@ def test_priority(spark):
     assert p("https://a.test/contact", "Contact us", 1, "NAV") == 255
     assert p("https://a.test/blog", "News", 2, "") == -50
     assert one(spark, links.intent(F.lit("https://a.test/x"), F.lit("About us"))) == "TEAM"
+
+
+def test_protected_address_is_made_once(spark):
+    df = spark.range(1).select(web.decode_protected_email(F.concat(F.lit("2a4b6a"), F.lit("MARK"), F.col("id").cast("string"))).alias("x"))
+    assert df._jdf.queryExecution().analyzed().toString().count("MARK") == 1
+
+
+def test_identity_pairs_equal_the_rule(spark):
+    names = ["Milano Pizza", "Milano's Pizza Shop", "", None, "Blue River", "the restaurant", "Milano Pizza"]
+    a, b = spark.createDataFrame([(i, i % 2, n) for i, n in enumerate(names)], "a int, k int, x string"), spark.createDataFrame([(i, i % 3, n) for i, n in enumerate(names)], "b int, k int, y string")
+    plain = a.join(b, "k").select("a", "b", listing.is_identity_match(F.col("x"), F.col("y")).alias("same"))
+    assert sorted(listing.identity_pairs(a, b, "k").collect()) == sorted(plain.collect())
