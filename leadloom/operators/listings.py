@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.listing import coordinates, is_identity_match, is_internal_url, parse_address, phone_from_text, place_id, resolve_website, sanitize_url
-from ..functions.text import LEFT, RIGHT, STATUS, clean_address, clean_unicode, is_noise, is_plus_code, is_price_text, is_rating_text, is_ui_title, is_website_text, js_trim, let, matches, number, opening_status, or_null, sanitize_field, strip_prefix, truthy
+from ..functions.text import LEFT, PLUS_CODE, RIGHT, STATUS, _price, _rating, _ui, clean_address, clean_unicode, is_noise, is_plus_code, is_price_text, is_rating_text, is_ui_title, is_website_text, js_trim, let, matches, number, opening_status, or_null, sanitize_field, strip_prefix, truthy
+from ..sources.storage import dealt
 
 PHONE = r"(\+?\d[\d\-\s().]{6,}\d)"
 STATE = LEFT + STATUS + RIGHT
@@ -30,25 +31,25 @@ def validated(leads: DataFrame) -> DataFrame:
     """Leads with FIELDS (missing ones are null) cleaned by each field's rule, and `valid` and `reason`: a lead without a
     business name has neither fields nor place. Ratings are 1 to 5, reviews whole and not negative."""
     df = leads.withColumns({c: F.lit(None).cast(_KINDS.get(c, "string")) for c in FIELDS if c not in leads.columns})
-    name = clean_unicode(F.col("company_name"))
-    valid = ~is_ui_title(F.col("company_name"))
-    status = opening_status(F.col("opening_status"))
+    # What several fields' rules look at is a column of its own, so that it is computed once for a lead.
+    df = df.withColumns({"valid": ~is_ui_title(F.col("company_name")), "_status": opening_status(F.col("opening_status")), "_category": sanitize_field(F.col("category"))})
+    name, valid, status = clean_unicode(F.col("company_name")), F.col("valid"), F.col("_status")
     kept = lambda c: let(clean_unicode(F.col(c)), lambda t: F.when((t != "") & ~is_noise(t), t))
     rating, reviews = F.col("rating").cast("double"), F.col("review_count").cast("double")
     whole = let(js_trim(F.col("postal_code").cast("string")), lambda t: F.when((t != "") & ~is_noise(t), t))
     finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
     clean = {
-        "company_name": name, "opening_status": status, "address": clean_address(F.col("address"), status), "category": sanitize_field(F.col("category")), "business_type": sanitize_field(F.coalesce(or_null(F.col("business_type")), sanitize_field(F.col("category")))),
+        "company_name": name, "opening_status": status, "address": clean_address(F.col("address"), status), "category": F.col("_category"), "business_type": sanitize_field(F.coalesce(or_null(F.col("business_type")), F.col("_category"))),
         **{c: sanitize_field(F.col(c)) for c in ("city", "region", "country")}, "postal_code": whole, "phone": kept("phone"), "rating": F.when(rating.between(1.0, 5.0), rating), "review_count": F.when(finite(reviews) >= 0, F.floor(reviews).cast("long")),
         **{c: sanitize_url(F.col(c)) for c in ("website", "booking_url", "ordering_url", "menu_url", "source_url")}, "price_range": let(clean_unicode(F.col("price_range")), lambda t: F.when(is_price_text(t), t)),
         "latitude": finite(F.col("latitude").cast("double")), "longitude": finite(F.col("longitude").cast("double")), "place_id": F.col("place_id"), "extraction_mode": F.col("extraction_mode"),
     }
-    out = df.withColumns({"valid": valid, "reason": F.when(~valid, F.lit("Invalid or blacklisted UI title"))})
-    return out.withColumns({c: F.when(valid, x) for c, x in clean.items()})
+    clean = {c: F.when(valid, x) for c, x in clean.items()}
+    return df.withColumns(clean | {"reason": F.when(~valid, F.lit("Invalid or blacklisted UI title"))}).drop("_status", "_category")
 
 
 def _location(address: Column) -> Column:
-    return F.when(address.isNotNull(), parse_address(address))
+    return let(address, lambda a: F.when(a.isNotNull(), parse_address(a)))
 
 
 # cards ---------------------------------------------------------------------------------------------------------------
@@ -73,11 +74,11 @@ def _facts(part: Column, name: Column) -> Column:
     """What a part could be, whatever came before it."""
     get = lambda pattern, i: or_null(F.regexp_extract(part, pattern, i))
     count = lambda x: F.regexp_replace(x, r"\D", "").try_cast("double")
-    text = ~is_rating_text(part) & ~is_price_text(part) & ~is_ui_title(part) & ~is_plus_code(part)
-    return F.struct(
-        part.alias("part"), get(PAIR, 1).cast("double").alias("both"), count(get(PAIR, 2)).alias("of"), get(RATING, 1).cast("double").alias("rating"), count(get(REVIEWS, 1)).alias("reviews"), is_price_text(part).alias("price"), or_null(js_trim(get(PHONE, 1))).alias("phone"),
+    known = let(clean_unicode(part), lambda t: F.struct(_price(t).alias("price"), _rating(t).alias("rating"), (_ui(t) | matches(t, LEFT + PLUS_CODE + RIGHT)).alias("other")))
+    return let(known, lambda k: let(~k["rating"] & ~k["price"] & ~k["other"], lambda text: F.struct(
+        part.alias("part"), get(PAIR, 1).cast("double").alias("both"), count(get(PAIR, 2)).alias("of"), get(RATING, 1).cast("double").alias("rating"), count(get(REVIEWS, 1)).alias("reviews"), k["price"].alias("price"), or_null(js_trim(get(PHONE, 1))).alias("phone"),
         (matches(part, STATE) | matches(part, SERVICE)).alias("skip"), text.alias("text"), (text & ~part.rlike(r"\d") & (F.length(part) < 50)).alias("short"), (part == name).alias("named"),
-    )
+    )))
 
 
 def _read(state: Column, p: Column) -> Column:
@@ -98,7 +99,7 @@ def _read(state: Column, p: Column) -> Column:
 def card_leads(cards: DataFrame, key: str) -> DataFrame:
     """The lead of each business's card: `key`, FIELDS. Cards have title, link_label, card_label, in_panel, href, rows
     (array of texts), rating_text, reviews_text, phone (struct href, label, text), site (struct href, text)."""
-    c = qualified(cards).where("why_not IS NULL")
+    c = qualified(dealt(cards)).where("why_not IS NULL")
     parts = F.flatten(F.transform(F.coalesce("rows", F.array().cast("array<string>")), lambda r: F.filter(F.transform(F.split(clean_unicode(r, boxes=False), "·"), lambda p: clean_unicode(p, boxes=False)), lambda p: p != "")))
     found = lambda x: or_null(js_trim(F.regexp_extract(x, PHONE, 1)))
     dialled = F.when(F.col("phone.href").startswith("tel:"), js_trim(F.regexp_replace("phone.href", "(?i)^tel:", ""))).otherwise(F.coalesce(found(F.col("phone.label")), found(clean_unicode(F.col("phone.text"), boxes=False))))
@@ -149,7 +150,7 @@ def panel_leads(panels: DataFrame, key: str) -> DataFrame:
     hrefs (see panel_phone and panel_website), booking, ordering, menu. A panel without such a heading gives no lead."""
     expected = F.coalesce("expected", F.lit(""))
     heads = F.filter(F.transform(F.coalesce("headings", F.array().cast("array<string>")), lambda h: clean_unicode(h, boxes=False)), lambda h: ~is_ui_title(h))
-    p = panels.withColumn("_name", F.get(F.filter(heads, lambda h: (expected == "") | is_identity_match(h, expected)), F.lit(0))).where("_name IS NOT NULL")
+    p = dealt(panels).withColumn("_name", F.get(F.filter(heads, lambda h: (expected == "") | is_identity_match(h, expected)), F.lit(0))).where("_name IS NOT NULL")
     p = p.withColumns({"_hours": shown(F.col("hours")), "_phone": panel_phone(F.col("phones"), F.col("calls")), "_site": panel_website(F.col("authority"), F.col("labelled"), F.col("hrefs")), "_at": coordinates(F.col("url"))})
     rating = F.coalesce(number(shown(F.col("rating_text"))), or_null(F.regexp_extract("rating_label", r"(\d+\.\d+)", 1)).try_cast("double"))
     reviews = F.coalesce(number(shown(F.col("reviews_text"))), F.replace(or_null(F.regexp_extract("reviews_label", r"(?i)([\d,]+)\s*reviews?", 1)), F.lit(","), F.lit("")).try_cast("double"))

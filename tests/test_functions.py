@@ -97,3 +97,14 @@ def test_identity_pairs_equal_the_rule(spark):
     a, b = spark.createDataFrame([(i, i % 2, n) for i, n in enumerate(names)], "a int, k int, x string"), spark.createDataFrame([(i, i % 3, n) for i, n in enumerate(names)], "b int, k int, y string")
     plain = a.join(b, "k").select("a", "b", listing.is_identity_match(F.col("x"), F.col("y")).alias("same"))
     assert sorted(listing.identity_pairs(a, b, "k").collect()) == sorted(plain.collect())
+
+
+def test_trim_and_squeeze(spark):
+    from pyspark.sql import functions as F
+
+    from leadloom.functions.text import clean_unicode, js_trim, squeeze
+
+    texts = [" \ta  b c \n", " \u0085", "a \u0085", "a b", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").orderBy("id")
+    out = df.select(js_trim(F.col("t")), squeeze(F.col("t")), clean_unicode(F.concat(F.lit("★ "), "t"))).collect()
+    assert [tuple(r) for r in out] == [("a  b c", "a b c", "a b c"), ("\u0085", "\u0085", "\u0085"), ("a \u0085", "a \u0085", "a \u0085"), ("a b", "a b", "a b"), ("", "", ""), (None, None, "")]

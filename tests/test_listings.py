@@ -52,3 +52,8 @@ def test_validated(spark):
 
 def test_no_cards(spark):
     assert listings.card_leads(card(spark), "id").count() == 0
+
+
+def test_rules_are_dealt_to_tasks(spark):
+    cards = card(spark, {"title": "A B"}, {"title": "C D"}, {"title": "E F"}).coalesce(1)
+    assert listings.card_leads(cards, "id").rdd.getNumPartitions() > 1
