@@ -57,3 +57,14 @@ def test_no_cards(spark):
 def test_rules_are_dealt_to_tasks(spark):
     cards = card(spark, {"title": "A B"}, {"title": "C D"}, {"title": "E F"}).coalesce(1)
     assert listings.card_leads(cards, "id").rdd.getNumPartitions() > 1
+
+
+def test_enrichment_is_dealt_to_tasks(spark):
+    from leadloom.operators import assembly
+    from leadloom.plans import assembling
+
+    webs = assembling.web_leads(spark, "/root/testdata/sf0.001")
+    assert webs.count() == webs.select("site").distinct().count() == 199
+    rows = spark.createDataFrame([(i, i % 3, "A") for i in range(20)], "seq long, site long, company_name string").coalesce(1)
+    out = assembly.enrich(rows, webs, "site")
+    assert out.rdd.getNumPartitions() > 1 and out.count() == 20
