@@ -8,8 +8,10 @@ Candidates whose sketches are near enough are verified on their whole sets.
 
 Equal sets are one class. Links between classes are found in rounds, each of which emits rows in proportion to what it
 reads: first every set against one set of each part value it shares; then, where sets that share a value are still in
-different components, each one against the nearest set of another component, for as long as that joins many; last all
-pairs of different components that are left, so that no link is lost.
+different components, each one against the nearest set of another component, for as long as that joins many; last, so
+that no link is lost, all that is left. Its pairs may be many, as sets that are just below the threshold to one another
+stay apart, so none is a row: sets of different components that are near enough by their sketches only name a cluster
+they have in common, every set comes to its cluster once, and its pairs are counted out on the whole sets there.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from .common import components, cut, cut_table, in_arrow, map_rows, maybe_broadc
 
 CHUNK = 200_000  # shingles of the sets that one task group verifies against their hub
 GROUP_BYTES = 8 << 20  # of sketches (a set counts as SMALLEST bytes at least) on either side of a compared group
+WHOLE_BYTES = 4 << 20  # of whole sets (likewise)
 SMALLEST = 2048
 WIDE = 1  # places of a compared sketch for each shingle of a set
 WORD_CACHE = 100_000  # words whose hashes a task keeps
@@ -243,59 +246,72 @@ def starred(found: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     return near.groupBy("v").agg(F.min(F.struct("apart", "u")).alias("best")).select("best.u", "v")
 
 
-def across(members: DataFrame, bits: DataFrame, labels: DataFrame, percent: int, every: bool) -> DataFrame:
-    """(u, v, apart) of sets that share a key but no component, and are near enough: of each u the nearest, or every v.
+def grouped(members: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
+    """(key, a, b, rest, block, fp, comp): the members (key, fp, size in bytes) of a key that has several components, in groups
+    (key, a, b) that bring together all those of different components.
 
-    Members (key, fp, size: bytes of the sketch) of a key are one component, that of its first set, and the rest. Both are dealt into
-    blocks of bounded bytes by hash, and the blocks of the rest meet all others. So a key that very many sets share is
-    many groups, and while nearly all of its sets are of one component their work is linear.
+    Members of a key are its main component and the rest. Both are dealt into blocks of `limit` bytes by hash, and the
+    blocks of the rest meet all others. So a key that very many sets share is many groups, and while nearly all of its sets
+    are of one component their work is linear.
     """
     m = members.join(maybe_broadcast(labels), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     parts = m.groupBy("key", "comp").agg(F.min("fp").alias("first"), F.sum(F.greatest("size", F.lit(SMALLEST))).alias("bytes"))
     keys = parts.groupBy("key").agg(F.count("*").alias("comps"), F.min_by("comp", "first").alias("main"), F.min_by("bytes", "first").alias("main_bytes"), F.sum("bytes").alias("bytes"))
     keys = cut(narrow(keys.where("comps > 1").select("key", "main", "main_bytes", (F.col("bytes") - F.col("main_bytes")).alias("rest_bytes"))))
     m = m.join(maybe_broadcast(keys), "key").withColumn("rest", F.col("comp") != F.col("main"))
-    m = m.join(bits, "fp").withColumn("bits", _band_bits())
-    blocks = lambda c: F.ceil(c / GROUP_BYTES).cast("int")
+    blocks = lambda c: F.ceil(c / limit).cast("int")
     m = m.withColumn("rests", blocks(F.col("rest_bytes"))).withColumn("mains", blocks(F.col("main_bytes")))
     m = m.withColumn("block", F.pmod(F.xxhash64("fp"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("mains"))).cast("int"))
     # A group is (a block of the rest, another block): numbers from 0 are main blocks, from -1 down blocks of the rest.
     pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
     to_rest = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda x: F.when(F.col("rest"), pair(F.least(x, F.col("block")), -1 - F.greatest(x, F.col("block")))).otherwise(pair(x, F.col("block"))))
     to_main = F.when(F.col("rest"), F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda x: pair(F.col("block"), x))).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
-    work = m.withColumn("pair", F.explode(F.concat(to_rest, to_main))).select("key", "pair.a", "pair.b", F.col("rest").cast("int").alias("rest"), "block", "fp", "comp", "n", "bits")
+    return m.withColumn("pair", F.explode(F.concat(to_rest, to_main))).select("key", "pair.a", "pair.b", F.col("rest").cast("int").alias("rest"), "block", "fp", "comp")
+
+
+def first_block(held: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """The rows of a group's first block, and those to compare them with: within one block, the same."""
+    _, a, b = held[0][:3]
+    first = [r for r in held if r[3] and r[4] == a]
+    return first, first if b == -1 - a else [r for r in held if not (r[3] and r[4] == a)]
+
+
+class Union:
+    """Components of what has been joined in one group."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def of(self, x: int) -> int:
+        root = x
+        while root in self.up:
+            root = self.up[root]
+        while x != root:
+            self.up[x], x = root, self.up[x]
+        return root
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether they were apart."""
+        x, y = self.of(x), self.of(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def in_groups(work: DataFrame, links, names: list[str]) -> DataFrame:
+    """Rows (long columns) of links(), which yields arrays of them for the rows of each group (the first three columns)."""
     work = work.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
 
+    def batch_of(found):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=names)
+
     def run(batches):
         held: list[tuple] = []
-
-        def links():
-            """Rows of the group's first block against the others; within one block against those after."""
-            one = held[0][2] == -1 - held[0][1]
-            first = [r for r in held if r[3] and r[4] == held[0][1]]
-            other = first if one else [r for r in held if not (r[3] and r[4] == held[0][1])]
-            if not first or not other:
-                return
-            y = np.frombuffer(b"".join(r[8] for r in other), np.uint64).reshape(len(other), -1)
-            n, comp, fp = (np.array([r[c] for r in other], np.int64) for c in (7, 6, 5))
-            for r in first:
-                apart, near = _near(y, np.frombuffer(r[8], np.uint64), n, r[7], percent)
-                at = np.flatnonzero(near & (comp != r[6]))
-                if one and every:
-                    at = at[fp[at] < r[5]]
-                if len(at) and not every:
-                    at = at[[np.lexsort((fp[at], apart[at]))[0]]]
-                if len(at):
-                    yield np.full(len(at), r[5]), fp[at], apart[at]
-
-        def batch_of(found):
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["u", "v", "apart"])
-
         out, size = [], 0
 
         def ready():
             nonlocal out, size
-            for found in links():
+            for found in links(held):
                 out.append(found)
                 size += len(found[0])
                 if size >= 50_000:
@@ -315,12 +331,68 @@ def across(members: DataFrame, bits: DataFrame, labels: DataFrame, percent: int,
         held = []
         release()
 
-    near = in_arrow(work, run, "u long, v long, apart long")
+    return in_arrow(work, run, ", ".join(f"{c} long" for c in names))
+
+
+def across(members: DataFrame, bits: DataFrame, labels: DataFrame, percent: int, every: bool) -> DataFrame:
+    """(u, v) of sets that share a key (members: key, fp, size of the sketch) but no component, and are near enough: of each
+    u the nearest v; or (every) such links that whoever is near to another one is joined with it, a tree for each group."""
+    work = grouped(members, labels, GROUP_BYTES).join(bits, "fp").withColumn("bits", _band_bits()).select("key", "a", "b", "rest", "block", "fp", "comp", "n", "bits")
+
+    def links(held):
+        first, other = first_block(held)
+        if not first or not other:
+            return
+        y = np.frombuffer(b"".join(r[8] for r in other), np.uint64).reshape(len(other), -1)
+        n, comp, fp = (np.array([r[c] for r in other], np.int64) for c in (7, 6, 5))
+        known = Union()
+        for r in first:
+            apart, near = _near(y, np.frombuffer(r[8], np.uint64), n, r[7], percent)
+            at = np.flatnonzero(near & (comp != r[6]))
+            if every:
+                at = at[[known.join(r[5], v) for v in fp[at].tolist()]] if len(at) else at
+            elif len(at):
+                at = at[[np.lexsort((fp[at], apart[at]))[0]]]
+            if len(at):
+                yield np.full(len(at), r[5]), fp[at], apart[at]
+
+    near = in_groups(work, links, ["u", "v", "apart"])
     if not every:
-        return near.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("best")).select(F.greatest("u", "best.v").alias("u"), F.least("u", "best.v").alias("v")).distinct()
+        near = near.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("best")).select("u", "best.v")
     return near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def clustered(texts: DataFrame, sets: DataFrame, near: DataFrame, labels: DataFrame, k: int, percent: int) -> DataFrame:
+    """(u, v): links between sets of different components that near (u, v) joins to one cluster, on their whole sets: a tree
+    of them in each group of a cluster, so no more rows than sets."""
+    clusters = components(near).select(F.col("label").alias("key"), F.col("node").alias("fp"))
+    members = cut(narrow(clusters.join(sets.select("fp", (F.col("n") * 8).alias("size")), "fp")))
+    work = texts.join(maybe_broadcast(cut(narrow(grouped(members, labels, WHOLE_BYTES)))), "fp").select("key", "a", "b", "rest", "block", "fp", "comp", "text")
+
+    def links(held):
+        first, other = first_block(held)
+        if not first or not other:
+            return
+        shingles, known = Shingles(k), Union()
+        hashes = [shingles(r[7]) for r in other]
+        mine = hashes if first is other else [shingles(r[7]) for r in first]
+        n, comp = np.array([len(h) for h in hashes], np.int64), np.array([r[6] for r in other], np.int64)
+        start = np.cumsum(n) - n
+        names, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        has = np.zeros(len(names), bool)
+        for r, h in zip(first, mine):
+            at = np.searchsorted(names, h)
+            at = at[names[np.minimum(at, len(names) - 1)] == h]
+            has[at] = True
+            common = np.add.reduceat(has[place], start, dtype=np.int64)
+            has[at] = False
+            for i in np.flatnonzero((comp != r[6]) & (100 * common >= percent * (n + len(h) - common))).tolist():
+                if known.join(r[6], other[i][6]):
+                    yield np.array([r[5]]), np.array([other[i][5]])
+
+    return in_groups(work, links, ["u", "v"])
+
+
 def texts_of(docs: DataFrame, sets: DataFrame, again: DataFrame | None) -> DataFrame:
     """(fp, text) of one row of each of the sets (fp, own), written once: no round reads the documents again. Rows that
     are repeated (`again` has their row_id) are made one first."""
@@ -399,18 +471,19 @@ def classes_of(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFr
     tested = cut(narrow(starred(found, bits, percent).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()))
     labels = joined(None, cut(narrow(verified(texts, sets, tested, k, percent))))
     members = cut(narrow(sharers.join(bits, "fp").select("key", "fp", F.length(_band_bits()).alias("size"))))
-    every_pair = False
     while True:
-        pairs = across(members, bits, labels, percent, every_pair)
-        pairs = cut(narrow(pairs.join(maybe_broadcast(tested), ["u", "v"], "left_anti")))
+        pairs = cut(narrow(across(members, bits, labels, percent, False).join(maybe_broadcast(tested), ["u", "v"], "left_anti")))
         links = None if pairs.isEmpty() else cut(narrow(verified(texts, sets, pairs, k, percent)))
         some = 0 if links is None else links.count()
         if some:
             labels = joined(labels, links)
-        if every_pair:
-            break
         tested = tested.unionByName(pairs)
-        every_pair = some <= labels.count() // 2  # few are left that anything joins
+        if some <= labels.count() // 2:  # few are left that anything joins
+            break
+    near = cut(narrow(across(members, bits, labels, percent, True)))
+    links = None if near.isEmpty() else cut(narrow(clustered(texts, sets, near, labels, k, percent)))
+    if links is not None and not links.isEmpty():
+        labels = joined(labels, links)
 
     mine = classes.join(maybe_broadcast(labels), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     best = mine.groupBy("comp").agg(F.min("own").alias("best"))

@@ -379,6 +379,29 @@ def test_join_of_large_keys_and_blocks(spark, monkeypatch):
         assert {x["doc_id"]: x["component_id"] for x in out} == _clusters(texts, 3, 90)
 
 
+def test_join_of_sets_just_below_the_threshold(spark, monkeypatch):
+    """Their pairs are near by sketch and no links: none may be a row, while the few links among them are found."""
+    texts = {}
+    for i in range(36):
+        w = [f"w{j}" for j in range(220)]
+        w[3 * i + 3], w[3 * i + 111] = f"own{i}", f"other{i}"
+        texts[i] = " ".join(w)
+        if i % 9 == 0:
+            texts[100 - i] = texts[i] + " more"
+    asked, verified = [], near_duplicates.verified
+
+    def counted(texts, sets, pairs, *how):
+        asked.append(pairs.count())
+        return verified(texts, sets, pairs, *how)
+
+    monkeypatch.setattr(near_duplicates, "verified", counted)
+    monkeypatch.setattr(near_duplicates, "WHOLE_BYTES", 6 * near_duplicates.SMALLEST, raising=False)
+    out = near_duplicates.join(docs(spark, [(i, t, "en", "a") for i, t in texts.items()]), 3, 90).collect()
+    found = {x["doc_id"]: x["component_id"] for x in out}
+    assert found == _clusters(texts, 3, 90) and len(set(found.values())) == 36
+    assert max(asked) <= 2 * len(texts)
+
+
 def test_join_of_a_row_repeated_very_often(spark):
     text = " ".join(f"w{i}" for i in range(120))
     rows = docs(spark, [(5, text, "en", "a")]).crossJoin(spark.range(100_000).select()).union(docs(spark, [(3, text + " more", "en", "b"), (4, "nothing alike here", "en", "b")]))
