@@ -53,3 +53,14 @@ def test_products_equal_cross_joins(spark):
     df = spark.createDataFrame([(n, list(range(i)), list(range(1000, 1000 + j))) for n, (i, j) in enumerate(sizes)], "n int, x array<long>, y array<long>").where(F.size("x") > 0)
     want = [(n, a, b) for n, (i, j) in enumerate(sizes) for a in range(i) for b in range(1000, 1000 + j)]
     assert sorted(map(tuple, products.products(df, "x", "y").select("n", "x", "y").collect())) == sorted(want)
+
+
+def test_joins_make_no_pairs_of_names(spark):
+    from leadloom.functions import listing
+
+    texts = ["Milano Pizza", "Milano's Pizza Shop", "", None, "Blue River", "the restaurant"]
+    a = spark.createDataFrame([(i, i % 2, texts[i % 6]) for i in range(240)] + [(240, None, "Blue River")], "a int, k int, x string")
+    b = spark.createDataFrame([(i, i % 3, texts[i % 5]) for i in range(90)] + [(90, None, "Blue River")], "b int, k int, y string")
+    plain = a.join(b, "k").select("a", "b", listing.is_identity_match(F.col("x"), F.col("y")).alias("same"))
+    rows, most = join_rows(listing.identity_pairs(a, b, "k"))
+    assert rows == sorted(map(tuple, plain.collect())) and most < 100
